@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +53,12 @@ def random_matrix() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((TERMS, DIMS)).astype(np.float32)
 
 
+def _words(text: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of lower-cased runs of letters and digits, and bounds of the texts."""
+    for _, _, h, bounds in word_hashes(pc.utf8_lower(text), NOT_ALNUM):
+        yield h, bounds
+
+
 def _blocks(bounds: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """First word of each block, and the text of each block; blocks don't cross texts, the last of a text may be short."""
     lengths = np.diff(bounds)
@@ -68,7 +75,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     frequency = np.zeros(TERMS, np.int64)
     passages = 0
     for batch in batches:
-        for _, _, h, bounds in word_hashes(batch.column(0), NOT_ALNUM):
+        for h, bounds in _words(batch.column(0)):
             if not len(h):
                 continue
             term = (h & np.uint64(TERMS - 1)).astype(np.int64)
@@ -144,7 +151,7 @@ def _windows(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _text_words(text: str | None) -> np.ndarray:
-    return next(word_hashes(pa.array([text or ""]), NOT_ALNUM))[2]
+    return next(_words(pa.array([text or ""])))[0]
 
 
 def prepare(items: list[tuple[object, str | None]], table: np.ndarray) -> Items:
@@ -249,7 +256,7 @@ def _searcher(held):
     def search(text: pa.Array) -> pa.Array:
         items, table = held.value
         out: list[list[dict]] = []
-        for _, _, h, bounds in word_hashes(text, NOT_ALNUM):
+        for h, bounds in _words(text):
             out += [[{"item": items.ids[k], "share": s} for k, s in found.items()] for found in _search(h, bounds, items, table)]
         return pa.array(out, kind)
 

@@ -20,6 +20,8 @@ from xxhash import xxh64_intdigest
 #: Largest share of word characters inside repeated n-grams, by n (published web-text rules).
 NGRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_SHARE = 0.20
+#: Fewer repeated characters than this are no evidence against a text: a short text may have a heading or a line twice.
+LEAST_REPEATED = 200
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -91,7 +93,8 @@ def repetition(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = docs.withColumn("repetition", _measures(F.col(text_col)))
     r = F.col("repetition")
     failed = (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > 50 * r["n_words"])
-    bad = r["line_share"] > LINE_SHARE
+    bad = (r["line_share"] > LINE_SHARE) & (r["dup_line_chars"] >= LEAST_REPEATED)
     for k, limit in enumerate(NGRAM_SHARES.values()):
-        bad = bad | (r["ngram_shares"][k] > limit)
+        share = r["ngram_shares"][k]
+        bad = bad | ((share > limit) & (share * r["word_chars"] >= LEAST_REPEATED))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~bad)
