@@ -22,8 +22,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     Edges are undirected; repeated edges and self-loops are allowed, edges with a null end are
     ignored.  An empty table gives an empty result.
     """
-    ends = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
-    live = cut(ends.where("u <> v").groupBy("u", "v").agg(F.lit(1).alias("one")).select("u", "v"))
+    u, v = F.col(src), F.col(dst)
+    ends = edges.where(u.isNotNull() & v.isNotNull()).groupBy(F.least(u, v).alias("u"), F.greatest(u, v).alias("v"))
+    ends = cut(ends.agg(F.lit(1).alias("one")).select("u", "v"))
+    live = ends.where("u <> v")
     maps: list[DataFrame] = []
     while live.limit(1).count():
         if len(maps) >= max_rounds:
@@ -41,7 +43,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .agg(F.lit(1).alias("one"))
             .select("u", "v")
         )
-    loops = ends.where("u = v").groupBy("u").agg(F.lit(1).alias("one")).select(F.col("u").alias("node"), F.col("u").alias("root"))
+    loops = ends.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
     if not maps:
         return loops.select("node", F.col("root").alias("component"))
     roots = maps[-1].select(F.col("u").alias("node"), F.col("p").alias("root"))
