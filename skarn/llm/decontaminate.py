@@ -45,6 +45,8 @@ PARAPHRASED = 0.6
 ANSWERED = 0.75
 MIN_ITEM = 8
 ITEM_BLOCK = 20_000
+#: Items that are compared with all windows of a run of texts at once.
+ITEM_STEP = 256
 SKETCH_ROWS = 128
 SEED = 11
 
@@ -68,6 +70,18 @@ def _blocks(bounds: np.ndarray, size: int = BLOCK) -> tuple[np.ndarray, np.ndarr
     return bounds[doc] + within * size, doc
 
 
+def _summed_rows(table: np.ndarray, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the table's rows of each block's words; blocks hold up to ``size`` words."""
+    out = np.zeros((len(starts), table.shape[1]), table.dtype)
+    for k in range(size):
+        live = np.flatnonzero(starts + k < ends)
+        if len(live) == len(starts):
+            out += table[ids[starts + k]]
+        else:
+            out[live] += table[ids[starts[live] + k]]
+    return out
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of rows of TF'TF W and of passage frequencies, summed over the task's texts."""
     w = random_matrix()
@@ -81,7 +95,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             term = (h & np.uint64(TERMS - 1)).astype(np.int64)
             starts, _ = _blocks(bounds, 2 * BLOCK)
             passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
-            summed = np.add.reduceat(w[term], starts, axis=0)
+            summed = _summed_rows(w, term, starts, np.append(starts[1:], len(h)), 2 * BLOCK)
             for d in range(DIMS):
                 product[d] += np.bincount(term, summed[:, d][passage], TERMS)
             frequency += np.bincount(np.unique(passage * TERMS + term) % TERMS, minlength=TERMS)
@@ -133,13 +147,14 @@ class Items:
     """A block of benchmark items in the latent space."""
 
     ids: list
-    words: list[np.ndarray]
+    words: list[np.ndarray]  # as positions in the vocabulary
     answers: list[np.ndarray]
+    masks: list[dict[int, int]]  # where each word of an item stands in it, as bits
     vectors: np.ndarray  # windows x DIMS, of length one
     owner: np.ndarray  # item of each window
     need: np.ndarray  # words that a window must share
     vocabulary: np.ndarray  # sorted hashes of all words of items
-    has: np.ndarray  # items x vocabulary
+    has: np.ndarray  # (vocabulary + 1) x items; the last row is for other words
 
 
 def _windows(words: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,31 +184,41 @@ def prepare(items: list[tuple[object, str | None]], table: np.ndarray) -> Items:
         words.append(own)
         answers.append(_text_words(sentences[-1]) if sentences else own)
     vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
-    has = np.zeros((len(ids), len(vocabulary) + 1), np.uint8)  # the last column is for other words
+    words = [np.searchsorted(vocabulary, own) for own in words]
+    answers = [np.searchsorted(vocabulary, own) for own in answers]
+    has = np.zeros((len(vocabulary) + 1, len(ids)), np.uint8)
     for k, own in enumerate(words):
-        has[k, np.searchsorted(vocabulary, own)] = 1
+        has[own, k] = 1
     z = np.concatenate(vectors).astype(np.float32) if vectors else np.zeros((0, DIMS), np.float32)
-    return Items(ids, words, answers, z, np.array(owner, np.int64), np.array(need), vocabulary, has)
+    return Items(ids, words, answers, [positions(own) for own in words], z, np.array(owner, np.int64), np.array(need), vocabulary, has)
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, bit-parallel over ``a``."""
+def positions(words: np.ndarray) -> dict[int, int]:
     masks: dict[int, int] = {}
-    for k, w in enumerate(a.tolist()):
+    for k, w in enumerate(words.tolist()):
         masks[w] = masks.get(w, 0) | 1 << k
-    full = (1 << len(a)) - 1
+    return masks
+
+
+def common(masks: dict[int, int], length: int, words: np.ndarray) -> int:
+    """Length of the longest common subsequence, bit-parallel over the text that ``masks`` describes."""
+    full = (1 << length) - 1
     row = full
-    for w in b.tolist():
+    for w in words.tolist():
         if hit := masks.get(w, 0):
             both = row & hit
             row = (row + both | row - both) & full
-    return len(a) - row.bit_count()
+    return length - row.bit_count()
 
 
-def verify(item: np.ndarray, answer: np.ndarray, text: np.ndarray) -> float:
+def verify(items: Items, number: int, text: np.ndarray) -> float:
     """The share of the item that the text holds, negative if that is no leak."""
-    share = common(item, text) / len(item)
-    if share >= COPIED or share >= PARAPHRASED and common(answer, text) >= ANSWERED * len(answer):
+    length = len(items.words[number])
+    share = common(items.masks[number], length, text) / length
+    if share >= COPIED:
+        return share
+    answer = items.answers[number]
+    if share >= PARAPHRASED and common(positions(answer), len(answer), text) >= ANSWERED * len(answer):
         return share
     return -share
 
@@ -208,27 +233,30 @@ def _search(words: np.ndarray, bounds: np.ndarray, items: Items, table: np.ndarr
         return out
     term = (words & np.uint64(TERMS - 1)).astype(np.int64)
     starts, doc = _blocks(bounds)
-    z = np.add.reduceat(table[term], starts, axis=0)
+    ends = np.append(starts[1:], len(words))
+    z = _summed_rows(table, term, starts, ends, BLOCK)
     z[:-1] += np.where((doc[:-1] == doc[1:])[:, None], z[1:], 0)
     z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    other = len(items.vocabulary)
     known = np.searchsorted(items.vocabulary, words)
-    known[known == len(items.vocabulary)] = 0
-    known = np.where(items.vocabulary[known] == words, known, len(items.vocabulary))
-    padded = np.append(known, np.full(2 * BLOCK, len(items.vocabulary)))
-    step = max(1, (1 << 22) // max(1, len(items.owner)))
-    for k in range(0, len(z), step):
-        near, at = np.nonzero(z[k : k + step] @ items.vectors.T >= NEAR)
-        near += k
-        for part in range(0, len(near), 1 << 16):
-            w, i = near[part : part + (1 << 16)], at[part : part + (1 << 16)]
-            item = items.owner[i]
-            inside = padded[starts[w][:, None] + np.arange(2 * BLOCK)]
-            inside[starts[w][:, None] + np.arange(2 * BLOCK) >= bounds[doc[w] + 1][:, None]] = len(items.vocabulary)
-            enough = items.has[item[:, None], inside].sum(1) >= items.need[i]
-            for window, number in set(zip(w[enough].tolist(), item[enough].tolist(), strict=True)):
-                own, d = items.words[number], int(doc[window])
-                low, high = max(bounds[d], starts[window] - len(own)), min(bounds[d + 1], starts[window] + 2 * BLOCK + len(own))
-                share = verify(own, items.answers[number], words[low:high])
+    known[known == other] = 0
+    known = np.where(items.vocabulary[known] == words, known, other)
+    seen = np.zeros(other + 1, bool)
+    for first in range(0, len(items.ids), ITEM_STEP):
+        span = slice(*np.searchsorted(items.owner, (first, first + ITEM_STEP)))
+        shared = _summed_rows(items.has[:, first : first + ITEM_STEP], known, starts, ends, BLOCK)
+        shared[:-1] += np.where((doc[:-1] == doc[1:])[:, None], shared[1:], 0).astype(np.uint8)
+        owner, need = items.owner[span] - first, items.need[span]
+        near, at = np.nonzero((shared[:, owner] >= need) & (z @ items.vectors[span].T >= NEAR))
+        for window, number in sorted(set(zip(near.tolist(), (owner[at] + first).tolist(), strict=True))):
+            own, d = items.words[number], int(doc[window])
+            text = known[max(bounds[d], starts[window] - len(own)) : min(bounds[d + 1], starts[window] + 2 * BLOCK + len(own))]
+            seen[text] = True
+            seen[other] = False
+            possible = np.count_nonzero(seen[own])  # no common subsequence is longer
+            seen[text] = False
+            if possible >= PARAPHRASED * len(own):
+                share = verify(items, number, text)
                 if share > out[d].get(number, 0):
                     out[d][number] = share
     return out

@@ -24,7 +24,7 @@ def test_common_subsequence():
     rng = random.Random(1)
     for _ in range(200):
         a, b = ([rng.randrange(6) for _ in range(rng.randrange(1, 90))] for _ in range(2))
-        assert decontaminate.common(np.array(a), np.array(b)) == brute_common(a, b)
+        assert decontaminate.common(decontaminate.positions(np.array(a)), len(a), np.array(b)) == brute_common(a, b)
 
 
 def test_query_finds_copied_items(spark, sf01):
