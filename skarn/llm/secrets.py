@@ -115,7 +115,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id
     for k, rule in enumerate(rules):
         indexed = bool(trigrams.query(rule.pattern))
         least = rule.pattern[:-1] + f"{{{rule.least},}}" if not indexed and rule.pattern.endswith("+") else rule.pattern
-        may = F.array_contains("_rules", k) if indexed else F.lit(True)
+        may = F.coalesce(F.array_contains("_rules", k), F.lit(False)) if indexed else F.lit(True)  # null AND x would still run x
         every.append(F.when(may & text.rlike(least), spans(text, rule, k)).otherwise(empty))
     return joined.withColumn("secret_spans", F.array_sort(F.concat(*every))).select(*docs.columns, "secret_spans")
 
