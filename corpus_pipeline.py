@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.core.durable import shared_path
-from skarn.llm import decontaminate, mixing, quality, secrets, simhash
+from skarn.llm import decontaminate, mixing, neardup, quality, secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -21,8 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Of each class of near-duplicates (five-word shingles, similarity 0.8) the document with the smallest id stays."""
+    return neardup.keep_one(docs).select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

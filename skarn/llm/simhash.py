@@ -143,16 +143,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def hex_digits(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """``docs`` without near-duplicates: of each class the row with the smallest id stays.
-
-    Rows alike in id and text count as one; rows without an id stay if one of them does.
-    """
-    found = near_duplicates(docs, id_col, text_col, bits)
-    kept = cut(found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy(F.col("id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n")))
-    semi = lambda some: docs.join(some.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
-    if not kept.where("_n > 1").limit(1).count():
-        return semi(kept)
-    return semi(kept.where("_n = 1")).unionByName(semi(kept.where("_n > 1")).dropDuplicates([id_col, text_col]))
