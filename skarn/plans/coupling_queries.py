@@ -12,7 +12,7 @@ from skarn.plans.corpus_queries import STATS, _lists
 from skarn.plans.grammar_queries import ADDRESS, _signals_sql
 from skarn.plans.registry import query, table
 
-THETA = 0.5
+THETA = 0.55
 
 _E = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 _G = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: least(abs(p[1]), abs(p[2])))) / list_sum(list_transform(list_zip(a.v, b.v), lambda p: greatest(abs(p[1]), abs(p[2]))))"
@@ -103,7 +103,7 @@ def f03_components(spark, sf):
 @query()
 def f04_fission(spark, sf):
     """Components after oversized ones are split."""
-    edges = coupling.couple(_vectors(spark, sf), "vec_id", "v", 0.45)
+    edges = coupling.couple(_vectors(spark, sf), "vec_id", "v", 0.5)
     return coupling.fission(edges, table(spark, sf, "embeddings").count())
 
 
