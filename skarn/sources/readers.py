@@ -104,8 +104,8 @@ def bounded_chunks(text: Column) -> Column:
 def _files(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
     """(source, text) of whole text files with a suffix, below a folder."""
     glob = "*.{" + ",".join(suffixes) + "}"
-    read = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-    return read.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
+    read = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    return read.select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text"))
 
 
 def _chunks(files: DataFrame, pieces: Column, kind: str = "narrative", least: int = 20, section: Column | None = None) -> DataFrame:
