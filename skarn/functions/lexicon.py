@@ -92,3 +92,14 @@ ADJACENCY = {
 
 # Patterns that mark a turn as worth keeping.
 DOCTRINE = (r"\bnew rule\b", r"\bfrom now on\b", r"\b(don'?t|always|never)\b", r"§[A-Z][A-Z\.]+", r"\bdoctrine\b", r"\bcanon\b")
+
+# Words that mark how something is said.
+MODIFIERS = {
+    "depth": "because although whereas while since therefore however moreover furthermore specifically particularly essentially".split(),
+    "scope": "and or also both either neither various many several multiple all".split(),
+    "focus": "specifically exactly precisely only particular certain specific this that".split(),
+    "flex": "maybe perhaps possibly might could probably somewhat rather quite seems apparently roughly approximately".split(),
+}
+
+# Operations that speak of themselves.
+SELF_OPERATIONS = ("meta", "reflect", "adapt", "evolv", "comp", "learn")

@@ -129,3 +129,38 @@ def deposit_score(user: Column, assistant: Column, markers=L.DOCTRINE, high_valu
     for word in high_value:
         score = score + F.when(F.lower(both).contains(word.lower()), 1.0).otherwise(0.0)
     return score, score >= threshold
+
+
+def modifiers(text: Column) -> dict[str, Column]:
+    """depth, scope, focus, flex and urgent of a text, each at most 1; 0 without words.
+
+    Words used three times are found by comparing the sorted words with themselves two places on,
+    which is linear where counting each word would be quadratic.
+    """
+    text = F.coalesce(text, F.lit(""))
+    words = F.regexp_extract_all(text, F.lit("([a-zA-Z]+)"), F.lit(1))
+    n = F.greatest(F.size(words), F.lit(1)).cast("double")
+    count = lambda keep: F.size(F.filter(words, keep)).cast("double")
+    share = {k: count(_among(v)) / n for k, v in L.MODIFIERS.items()}
+    commas = F.regexp_count(text, F.lit(","))
+    middle = F.size(F.filter(words, lambda w, i: (i > 0) & w.rlike("^[A-Z]") & (F.length(w) > 1))).cast("double")
+    capitals = count(lambda w: w.rlike("^[A-Z]{2,}$"))
+    ordered = F.array_sort(F.transform(F.filter(words, lambda w: F.length(w) > 2), lambda w: F.lower(w)))
+    m = F.size(ordered)
+    ahead = F.slice(ordered, F.lit(3), F.greatest(m - 2, F.lit(0)))
+    before = F.concat(F.array(F.lit("")), F.slice(ordered, F.lit(1), F.greatest(m - 3, F.lit(0))))
+    here = F.slice(ordered, F.lit(1), F.greatest(m - 2, F.lit(0)))
+    first = F.zip_with(F.zip_with(here, ahead, lambda a, b: F.when(a == b, a)), before, lambda a, b: a.isNotNull() & ~a.eqNullSafe(b))
+    repeated = F.size(F.filter(first, lambda x: x)).cast("double")
+    raw = {
+        "depth": share["depth"] + F.least(n / 50, F.lit(0.5)),
+        "scope": share["scope"] + F.least(commas / F.greatest(n / 5, F.lit(1.0)), F.lit(0.5)),
+        "focus": share["focus"] + F.least(middle / n, F.lit(0.3)),
+        "flex": share["flex"],
+        "urgent": F.when(text.contains("!"), 0.3).otherwise(0.0) + F.least(capitals / n, F.lit(0.4)) + F.least(repeated * 0.15, F.lit(0.3)),
+    }
+    return {k: F.when(F.size(words) > 0, F.least(F.lit(1.0), v)).otherwise(0.0) for k, v in raw.items()}
+
+
+def _among(words: list[str]):
+    return lambda w: F.lower(w).isin(words)

@@ -94,3 +94,26 @@ def deltas(snapshots: DataFrame, order: str, columns: list[str]) -> DataFrame:
     """Snapshots with the change of each column since the one before."""
     w = Window.orderBy(order)
     return snapshots.select("*", *((F.col(c) - F.lag(c).over(w)).alias(f"d_{c}") for c in columns))
+
+
+def emergence(members: DataFrame, key: str, operations: str, dominant: str, known: list[str] | None = None, previous: list[str] | None = None) -> DataFrame:
+    """(key, novelty, meta, self_reference, mutation, phase) of groups of passages by their operations."""
+    ops = members.select(key, F.col(dominant).alias("dominant"), F.explode(operations).alias("op"))
+    is_self = F.col("op").isin(list(L.SELF_OPERATIONS))
+    distinct = lambda keep: F.count_distinct(F.when(keep, F.col("op")))
+    uses = F.count(F.lit(1))
+    out = ops.groupBy(key).agg(
+        (distinct(~F.col("op").isin(known or [])) / F.count_distinct("op")).alias("novelty"),
+        (F.sum((F.col("dominant") == "AI").cast("int")) / uses).alias("meta"),
+        (F.sum(is_self.cast("int")) / uses).alias("self_reference"),
+        (F.lit(0.0) if previous is None else distinct(~F.col("op").isin(previous)) / F.count_distinct("op")).alias("mutation"),
+    )
+    second = (F.col("novelty") > 0) & (F.col("meta") > 0.1)
+    return out.withColumn("phase", F.when(second & (F.col("mutation") > 0.2), 3).when(second, 2).when(F.col("novelty") > 0, 1).otherwise(0))
+
+
+def fingerprint(members: DataFrame, chain: str, top: int = 8) -> DataFrame:
+    """(chain, n, share): the most used chains, ties by chain."""
+    total = members.agg(F.count(F.lit(1)).alias("total"))
+    counts = members.where(F.col(chain) != "").groupBy(chain).agg(F.count(F.lit(1)).alias("n"))
+    return counts.orderBy(F.desc("n"), chain).limit(top).crossJoin(F.broadcast(total)).select(chain, "n", (F.col("n") / F.col("total")).alias("share"))

@@ -12,7 +12,7 @@ from skarn.plans.corpus_queries import STATS, _lists
 from skarn.plans.grammar_queries import ADDRESS, _signals_sql
 from skarn.plans.registry import query, table
 
-THETA = 0.55
+THETA = 0.51
 
 _E = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
 _G = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: least(abs(p[1]), abs(p[2])))) / list_sum(list_transform(list_zip(a.v, b.v), lambda p: greatest(abs(p[1]), abs(p[2]))))"
@@ -216,3 +216,10 @@ def f15_text_partition(spark, sf):
 def f16_equivalence_classes(spark, sf):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select("doc_id", "lang", "source", F.col("quality").cast("string").alias("quality"))
     return formations.equivalence_classes(rows, "doc_id", ["lang", "source", "quality"])
+
+
+@query(f"{_AGG}, r AS (SELECT address, row_number() OVER (ORDER BY round(score, 6) DESC, size DESC, address) AS rank, count(*) OVER () AS n FROM scored) SELECT address FROM r WHERE rank = least(3, n)")
+def r10_whisper(spark, sf):
+    """The third formation, or the last if there are fewer."""
+    top = _formations(spark, sf).select("address", "size", F.round("score", 6).alias("score")).orderBy(F.desc("score"), F.desc("size"), "address").limit(3)
+    return top.orderBy("score", "size", F.desc("address")).limit(1).select("address")

@@ -126,3 +126,40 @@ def g23_deposits(spark, sf):
 )
 def g24_prose(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.is_prose(F.col("text")).alias("prose"))
+
+
+_LOW = {k: ", ".join(f"'{w}'" for w in v) for k, v in L.MODIFIERS.items()}
+_SHARE = {k: f"len(list_filter(ws, lambda x: lower(x) IN ({v}))) / n" for k, v in _LOW.items()}
+
+
+@query(
+    "WITH w AS (SELECT doc_id, text, regexp_extract_all(text, '[a-zA-Z]+') AS ws FROM documents), c AS (SELECT *, greatest(len(ws), 1)::DOUBLE AS n,"
+    " length(text) - length(replace(text, ',', '')) AS commas, len(list_filter(ws[2:], lambda x: regexp_matches(x, '^[A-Z]') AND length(x) > 1)) AS middle,"
+    " len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Z]{2,}$'))) AS capitals FROM w),"
+    " r AS (SELECT doc_id, count(*) AS repeated FROM (SELECT doc_id, x, count(*) AS k FROM (SELECT doc_id, lower(unnest(ws)) AS x FROM w) WHERE length(x) > 2 GROUP BY 1, 2) WHERE k >= 3 GROUP BY doc_id)"
+    f" SELECT c.doc_id, round(least(1.0, {_SHARE['depth']} + least(n / 50, 0.5)), 6) AS depth, round(least(1.0, {_SHARE['scope']} + least(commas / greatest(n / 5, 1.0), 0.5)), 6) AS scope,"
+    f" round(least(1.0, {_SHARE['focus']} + least(middle / n, 0.3)), 6) AS focus, round(least(1.0, {_SHARE['flex']}), 6) AS flex,"
+    " round(least(1.0, CASE WHEN contains(text, '!') THEN 0.3 ELSE 0.0 END + least(capitals / n, 0.4) + least(coalesce(repeated, 0) * 0.15, 0.3)), 6) AS urgent"
+    " FROM c LEFT JOIN r ON r.doc_id = c.doc_id WHERE len(ws) > 0"
+)
+def g07_modifiers(spark, sf):
+    docs = table(spark, sf, "documents").where(F.col("text").rlike("[a-zA-Z]"))
+    return docs.select("doc_id", *(F.round(v, 6).alias(k) for k, v in X.modifiers(F.col("text")).items()))
+
+
+@query()
+def a13_fingerprint(spark, sf):
+    """The most used chains and their shares."""
+    from skarn.operators import profile
+
+    return profile.fingerprint(g18_digest(spark, sf), "chain")
+
+
+@query()
+def a11_emergence(spark, sf):
+    """Novelty and phase of each member's passages, by the dimensions of their chains."""
+    from skarn.operators import profile
+
+    members = g18_digest(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    members = members.where("chain <> ''").withColumn("operations", F.split("chain", ">"))
+    return profile.emergence(members, "source", "operations", "dominant", previous=["CR", "EW"])

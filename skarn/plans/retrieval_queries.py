@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 from skarn.functions import lexicon as L
 from skarn.functions import text as X
 from skarn.operators import corpus, retrieval
-from skarn.plans.corpus_queries import PAIRS, TOK, _lists
+from skarn.functions import similarity as S
+from skarn.plans.corpus_queries import HIGH, LINKS, PAIRS, PMI, TOK, VOCAB, _lists, _model
 from skarn.plans.registry import query, table
 
 PROBE = "the clown of nd"
@@ -139,3 +140,31 @@ def c05_opening_sentence(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.try_element_at(parts, F.lit(1)).alias("opening"))
 
 
+
+
+_TASTE = (
+    f"WITH {PMI}{HIGH}{LINKS}, w AS (SELECT DISTINCT id, term FROM tok), v AS (SELECT id, pos, avg(value) AS x FROM w JOIN links USING (term) GROUP BY 1, 2),"
+    " q AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark WHERE item_id = 0), p AS (SELECT pos, avg(value) AS y FROM q JOIN links USING (term) GROUP BY pos),"
+    " m AS (SELECT id, sum(least(abs(coalesce(x, 0)), abs(coalesce(y, 0)))) AS low FROM v LEFT JOIN p USING (pos) GROUP BY id), a AS (SELECT id, sum(abs(x)) AS sx FROM v GROUP BY id), b AS (SELECT sum(abs(y)) AS sy FROM p),"
+    " g AS (SELECT id, low / (sx + sy - low) AS gamma FROM m JOIN a USING (id), b)"
+)
+
+
+def _probed(spark, sf, least):
+    """Passages by gamma with one probe, vectorised with the frozen statistics; the probe is one broadcast row."""
+    lists, _, _, _, vocab, links = _model(spark, sf)
+    passages = corpus.dense(corpus.vectors(lists, vocab, links), VOCAB)
+    probe = corpus.token_lists(table(spark, sf, "benchmark").where("item_id = 0"), "item_id")
+    asked = corpus.dense(corpus.vectors(probe, vocab, links), VOCAB).select(F.col("vector").alias("asked"))
+    scored = passages.crossJoin(F.broadcast(asked)).select(F.col("id").alias("doc_id"), F.round(S.gamma(F.col("vector"), F.col("asked")), 5).alias("gamma"))
+    return scored.where(F.col("gamma") > least).orderBy(F.desc("gamma"), "doc_id")
+
+
+@query(f"{_TASTE} SELECT id AS doc_id, round(gamma, 5) AS gamma FROM g WHERE round(gamma, 5) > 0.2 ORDER BY round(gamma, 5) DESC, id LIMIT 5")
+def r01_taste(spark, sf):
+    return _probed(spark, sf, 0.2).limit(5)
+
+
+@query(f"{_TASTE} SELECT id AS doc_id, round(gamma, 5) AS gamma FROM g WHERE round(gamma, 5) > 0.4 ORDER BY round(gamma, 5) DESC, id LIMIT 3")
+def r02_match(spark, sf):
+    return _probed(spark, sf, 0.4).limit(3)
