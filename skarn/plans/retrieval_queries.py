@@ -119,7 +119,7 @@ def r14_heart_bands(spark, sf):
 
 @query("SELECT event_id, event_type, user_id FROM events WHERE ts > TIMESTAMP '2024-01-15' AND starts_with(event_type, 'p')")
 def r16_pull_since(spark, sf):
-    rows = table(spark, sf, "events").where((F.col("ts") > F.lit("2024-01-15").cast("timestamp")) & F.col("event_type").startswith("p"))
+    rows = table(spark, sf, "events").where((F.col("ts") > F.lit("2024-01-15").cast("timestamp_ntz")) & F.col("event_type").startswith("p"))
     return rows.select("event_id", "event_type", "user_id")
 
 
