@@ -74,3 +74,32 @@ def drift(before: DataFrame, after: DataFrame, key: str, rank: str, least: int =
     joined = b.join(a, key, "full_outer").withColumn("shift", F.col("before") - F.col("after"))
     change = F.when(F.col("before").isNull(), "emerged").when(F.col("after").isNull(), "dissolved").when(F.abs("shift") >= least, "drifted").otherwise("survived")
     return joined.withColumn("change", change)
+
+
+def merge(centroids: DataFrame, key: str, vector: str, weight: str, target: int = 50, start: float = 0.65, step: float = 0.05, most: float = 0.95) -> DataFrame:
+    """(key, merged) of formations whose centroids are alike, merged until at most ``target`` are left.
+
+    Addresses are ordered choices of up to three of eight dimensions, so there are at most 401
+    centroids and comparing all of them is bounded.  Each round links centroids with gamma at the
+    threshold, replaces classes by weighted means and raises the threshold.
+    """
+    from skarn.core.durable import cut
+    from skarn.functions.similarity import gamma
+    from skarn.operators.components import connected_components
+
+    names = cut(centroids.select(key, F.col(key).alias("merged")))
+    level = cut(centroids.select(F.col(key).alias("merged"), F.col(vector).cast("array<double>").alias("v"), F.col(weight).cast("double").alias("w")))
+    threshold = start
+    while level.count() > target and threshold <= most:
+        a, b = (level.select(F.col("merged").alias(m), F.col("v").alias(x)) for m, x in (("src", "x"), ("dst", "y")))
+        pairs = a.join(b, F.col("src") < F.col("dst")).where(gamma(F.col("x"), F.col("y")) >= threshold)
+        found = connected_components(pairs.select("src", "dst"))
+        moved = level.join(found.withColumnRenamed("node", "merged"), "merged", "left").withColumn("to", F.coalesce("component", "merged"))
+        parts = moved.select("to", "w", F.posexplode("v").alias("pos", "x"))
+        means = parts.groupBy("to", "pos").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("x"))
+        vectors = means.groupBy("to").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
+        step_to = cut(moved.select("merged", "to"))
+        level = cut(vectors.join(moved.groupBy("to").agg(F.sum("w").alias("w")), "to").withColumnRenamed("to", "merged"))
+        names = cut(names.join(step_to, "merged").select(key, F.col("to").alias("merged")))
+        threshold += step
+    return names

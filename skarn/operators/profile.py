@@ -117,3 +117,45 @@ def fingerprint(members: DataFrame, chain: str, top: int = 8) -> DataFrame:
     total = members.agg(F.count(F.lit(1)).alias("total"))
     counts = members.where(F.col(chain) != "").groupBy(chain).agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), chain).limit(top).crossJoin(F.broadcast(total)).select(chain, "n", (F.col("n") / F.col("total")).alias("share"))
+
+
+def effective_dimension(rows: DataFrame, vector: str, share: float = 0.9) -> tuple[int, list[float]]:
+    """The least number of principal directions that explain ``share`` of the variance, and all shares.
+
+    Each task sums x and x x'; only those sums, as large as the dimension squared, reach the driver.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def sums(batches):
+        total = outer = None
+        n = 0
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            if len(column):
+                x = np.stack([np.asarray(v.as_py(), float) for v in column])
+                total = x.sum(0) if total is None else total + x.sum(0)
+                outer = x.T @ x if outer is None else outer + x.T @ x
+                n += len(x)
+        if n:
+            yield pa.RecordBatch.from_pylist([{"n": n, "total": total.tolist(), "outer": outer.ravel().tolist()}])
+
+    parts = rows.select(vector).mapInArrow(sums, "n long, total array<double>, outer array<double>").collect()
+    if not parts:
+        return 0, []
+    n = sum(p.n for p in parts)
+    mean = np.sum([p.total for p in parts], 0) / n
+    d = len(mean)
+    spread = np.sum([p.outer for p in parts], 0).reshape(d, d) / n - np.outer(mean, mean)
+    values = np.clip(np.linalg.eigvalsh(spread)[::-1], 0, None)
+    shares = np.cumsum(values) / max(values.sum(), 1e-300)
+    return int(np.searchsorted(shares, share - 1e-12) + 1), shares.tolist()
+
+
+def dimension_shares(rows: DataFrame, vector: str, width: int = 8) -> DataFrame:
+    """(place, share, entropy): mean magnitudes of the first entries, normalised, and their entropy."""
+    means = rows.agg(*(F.avg(F.abs(F.col(vector)[k].cast("double"))).alias(f"m{k}") for k in range(width)))
+    total = sum((F.col(f"m{k}") for k in range(1, width)), F.col("m0"))
+    shares = means.select(F.posexplode(F.array(*(F.when(total > 0, F.col(f"m{k}") / total).otherwise(0.0) for k in range(width)))).alias("place", "share"))
+    entropy = shares.agg((-F.sum(F.when(F.col("share") > 0, F.col("share") * F.log2("share")).otherwise(0.0))).alias("entropy"))
+    return shares.crossJoin(F.broadcast(entropy))

@@ -223,3 +223,55 @@ def r10_whisper(spark, sf):
     """The third formation, or the last if there are fewer."""
     top = _formations(spark, sf).select("address", "size", F.round("score", 6).alias("score")).orderBy(F.desc("score"), F.desc("size"), "address").limit(3)
     return top.orderBy("score", "size", F.desc("address")).limit(1).select("address")
+
+
+@query()
+def f06_merged_formations(spark, sf):
+    """Formations merged until at most five are left."""
+    members = _members(spark, sf)
+    centres = members.groupBy("address").agg(F.count(F.lit(1)).alias("size"), F.array(*(F.avg(F.col("vector")[k]) for k in range(8))).alias("centre"))
+    return formations.merge(centres, "address", "centre", "size", target=5)
+
+
+@query(f"WITH {_EDGES}, c AS (SELECT count(DISTINCT id) AS coupled FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges)) SELECT coupled, (SELECT count(*) FROM embeddings) AS total, round(coupled / (SELECT count(*) FROM embeddings), 9) AS r FROM c")
+def a06_coupled_share(spark, sf):
+    d = coupling.degrees(_edges(spark, sf), table(spark, sf, "embeddings"), "vec_id")
+    out = d.agg(F.sum((F.col("degree") > 0).cast("long")).alias("coupled"), F.count(F.lit(1)).alias("total"))
+    return out.withColumn("r", F.round(F.col("coupled") / F.col("total"), 9))
+
+
+@query(
+    "WITH m AS (SELECT k AS place, avg(abs(embedding[k + 1]::DOUBLE)) AS m FROM embeddings, range(8) t(k) GROUP BY k), s AS (SELECT place, m / sum(m) OVER () AS share FROM m)"
+    " SELECT place::INT AS place, round(share, 7) AS share, round((SELECT -sum(share * log2(share)) FROM s), 6) AS entropy FROM s"
+)
+def a09_dimension_shares(spark, sf):
+    from skarn.operators import profile
+
+    return profile.dimension_shares(table(spark, sf, "embeddings"), "embedding").select("place", F.round("share", 7).alias("share"), F.round("entropy", 6).alias("entropy"))
+
+
+@query()
+def t14_effective_dimension(spark, sf):
+    from skarn.operators import profile
+
+    d, shares = profile.effective_dimension(table(spark, sf, "embeddings"), "embedding")
+    return spark.createDataFrame([(d, round(shares[d - 1], 6))], "dimension int, explained double")
+
+
+@query("SELECT d, (d * d - 1)::INT AS dimensions, ((d * d - 1) * (d * d - 2) * (d * d - 3) / 6)::BIGINT AS mappings FROM (SELECT unnest([2, 3, 4, 5, 6, 7, 8]) AS d)")
+def t15_group_dimensions(spark, sf):
+    n = F.col("d") * F.col("d") - 1
+    rows = spark.createDataFrame([(d,) for d in range(2, 9)], "d int")
+    return rows.select("d", n.alias("dimensions"), (n.cast("long") * (n - 1) * (n - 2) / 6).cast("long").alias("mappings"))
+
+
+@query("SELECT doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)")
+def j12_partition_intersection(spark, sf):
+    """Rows that both partitions label."""
+    docs, labels = table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels").select("doc_id", "quality")
+    return docs.join(labels, "doc_id")
+
+
+@query("SELECT text FROM benchmark UNION ALL SELECT text FROM conversations")
+def u01_absorbed(spark, sf):
+    return table(spark, sf, "benchmark").select("text").unionByName(table(spark, sf, "conversations").select("text"))

@@ -122,3 +122,15 @@ def test_routing_and_recall(spark):
     index = retrieval.member_index(docs, "source")
     assert [r.member for r in retrieval.route(index, "beta?").collect()] == ["m"]
     assert [r.id for r in retrieval.recall(docs, "alpha beta").collect()] == [1, 2]
+
+
+def test_sql_functions_and_dimensions(spark):
+    from skarn.functions import sql
+
+    sql.register(spark)
+    row = spark.sql("SELECT gamma(array(1D, 1D), array(0.4D, 0.4D)) g, gamma(array(0D), array(0D)) z, tokens('Ab c1D') t, su_dimensions(6) d").first()
+    assert (row.g, row.z, row.t, row.d) == (pytest.approx(0.4), 0.0, ["ab", "c", "d"], 35)
+    rows = spark.createDataFrame([([float(k), 2.0 * k, 0.0],) for k in range(10)], "v array<double>")
+    assert profile.effective_dimension(rows, "v")[0] == 1
+    centres = spark.createDataFrame([("A", [1.0, 0.0], 2), ("B", [0.9, 0.0], 1), ("C", [0.0, 1.0], 1)], "k string, v array<double>, n int")
+    assert {r.k: r.merged for r in formations.merge(centres, "k", "v", "n", target=2).collect()} == {"A": "A", "B": "A", "C": "C"}
