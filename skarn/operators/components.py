@@ -51,7 +51,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         onward = roots.select(F.col("node").alias("p"), F.col("root"))
         roots = step.join(onward, "p", "left").select(F.col("u").alias("node"), F.coalesce("root", "p").alias("root"))
     roots = cut(roots)
-    least = roots.groupBy("root").agg(F.min("node").alias("component"))
+    least = cut(roots.groupBy("root").agg(F.min("node").alias("component")))  # cut, so that a large class can be split in the join
     found = roots.join(least, "root").select("node", F.least("node", "component").alias("component"))
     alone = loops.join(roots.select("node"), "node", "left_anti").select("node", F.col("root").alias("component"))
     return found.unionByName(alone)
