@@ -173,7 +173,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar(nodes: DataFrame) -> DataFrame:
     """(src, dst) links between nodes (node, w0, w1, s0, s1) at most LIMIT bits apart in shingles."""
-    dealt = nodes.select("node", "w0", "w1", "s0", "s1").mapInArrow(_deal, "key long, node long, s0 long, s1 long")
+    spread = nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")  # 128 rows come of each
+    dealt = spread.select("node", "w0", "w1", "s0", "s1").mapInArrow(_deal, "key long, node long, s0 long, s1 long")
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "src long, dst long")
 
 
@@ -188,7 +189,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alike = nodes.groupBy("node", "w0", "w1", "s0", "s1").agg(F.lit(1).alias("one"))
     found = connected_components(similar(alike).unionByName(close).unionByName(of_exact))
     placed = cut(nodes.select("node", "exact", "least").join(found, "node").select("node", "exact", "least", F.col("component").alias("root")))
-    least = placed.groupBy("root").agg(F.min("least").alias("component"))
+    least = cut(placed.groupBy("root").agg(F.min("least").alias("component")))
     of_node = placed.join(least, "root").groupBy("node").agg(F.min("component").alias("component"))
     return named.select("id", "node").join(of_node, "node").select("id", "component")
 

@@ -125,7 +125,8 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(src, dst) links that join distinct fingerprints (column ``fp``) into their classes."""
     if not 0 <= bits <= 2:
         raise ValueError("radius 1 plus half the threshold is laid out for up to 2 bits")
-    dealt = fps.select(F.explode(anchors(F.col("fp"))).alias("anchor"), "fp").repartition("anchor").sortWithinPartitions("anchor")
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # 32 rows come of each
+    dealt = spread.select(F.explode(anchors(F.col("fp"))).alias("anchor"), "fp").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(_linker(bits), "src long, dst long")
 
 
@@ -137,7 +138,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = cut(
         distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    least = cut(named.groupBy("root").agg(F.min("least").alias("component")))
     return fps.join(named.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
 
 
