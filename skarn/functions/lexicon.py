@@ -103,3 +103,12 @@ MODIFIERS = {
 
 # Operations that speak of themselves.
 SELF_OPERATIONS = ("meta", "reflect", "adapt", "evolv", "comp", "learn")
+
+# Basins that passages are drawn to: weights of dimensions, chains that sign them.
+BASINS = {
+    "SELF": ({"IC": 0.4, "AI": 0.3, "CR": 0.2}, ("AI>IC", "IC>AI")),
+    "OTHERS": ({"CR": 0.5, "IC": 0.3, "EW": 0.1}, ("CR>IC", "IC>CR")),
+    "MAKING": ({"EW": 0.4, "KO": 0.2, "SF": 0.2}, ("EW>KO", "KO>EW")),
+    "UNDERSTANDING": ({"KO": 0.3, "TE": 0.3, "SF": 0.2}, ("KO>TE", "TE>KO")),
+    "WANTING": ({"IC": 0.4, "EW": 0.3, "DE": 0.1}, ("IC>EW", "EW>IC")),
+}

@@ -164,3 +164,29 @@ def modifiers(text: Column) -> dict[str, Column]:
 
 def _among(words: list[str]):
     return lambda w: F.lower(w).isin(words)
+
+
+def basin(vector: Column, chains: Column | None = None, least: float = 0.05) -> Column:
+    """The basin of most weight, the first of equals; empty at ``least`` or below."""
+    scores = []
+    for weights, signs in L.BASINS.values():
+        score = F.lit(0.0)
+        for dimension, weight in weights.items():
+            score = score + vector[L.DIMENSIONS.index(dimension)] * weight
+        if chains is not None:
+            for sign in signs:
+                score = score + F.when(F.array_contains(chains, sign), 0.1).otherwise(0.0)
+        scores.append(score)
+    best = F.greatest(*scores)
+    name = F.coalesce(*(F.when(s == best, n) for s, n in zip(scores, L.BASINS, strict=True)))
+    return F.when(best > least, name).otherwise("")
+
+
+def address_parts(address: Column) -> Column:
+    """The dimension names of an address, in order."""
+    return F.filter(F.transform(F.split(F.replace(address, F.lit("_via_"), F.lit("+")), r"\+"), lambda p: F.upper(F.trim(p))), lambda p: p != "")
+
+
+def signature(steps: Column) -> Column:
+    """DIM:op > DIM of an array of steps."""
+    return F.array_join(steps, " > ")

@@ -103,3 +103,39 @@ def merge(centroids: DataFrame, key: str, vector: str, weight: str, target: int
         names = cut(names.join(step_to, "merged").select(key, F.col("to").alias("merged")))
         threshold += step
     return names
+
+
+def evolve(state: DataFrame | None, observed: DataFrame, cycle: int, least: int = 3, floor: float = 0.3, age: int = 10, alike: float = 0.8) -> DataFrame:
+    """One cycle of a vocabulary of chains: (chain, n, ache, born, uses).
+
+    Chains gather uses and ache; a chain of more than one step is born once it was seen ``least``
+    times with a mean ache of at least the floor and of the median of those not yet born; a born
+    chain that stays unused for ``age`` cycles goes; of born chains with bigrams alike the most
+    used stays (ties by chain).
+    """
+    spark = observed.sparkSession
+    seen = observed.groupBy("chain").agg(F.count(F.lit(1)).alias("dn"), F.sum("ache").alias("da"))
+    if state is None:
+        state = spark.createDataFrame([], "chain string, n long, ache double, born int, uses long")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    grown = state.join(seen, "chain", "full_outer").select(
+        "chain",
+        (zero("n") + zero("dn")).alias("n"),
+        (zero("ache") + zero("da")).cast("double").alias("ache"),
+        "born",
+        F.when(F.col("born").isNotNull(), zero("uses") + zero("dn")).otherwise(0).cast("long").alias("uses"),
+    )
+    mean = F.col("ache") / F.col("n")
+    bar = grown.where("born is null and n >= %d" % least).agg(F.greatest(F.lit(floor), F.coalesce(F.percentile(mean, 0.5), F.lit(floor))).alias("bar"))
+    ready = (F.col("n") >= least) & F.col("chain").contains(">") & (mean >= F.col("bar"))
+    born = grown.crossJoin(F.broadcast(bar)).withColumn("born", F.coalesce("born", F.when(ready, cycle))).drop("bar")
+    born = born.where(F.col("born").isNull() | (cycle - F.col("born") < age) | (F.col("uses") >= 2))
+    steps = F.split("chain", ">")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda k: F.concat_ws(">", F.slice(steps, k, F.lit(2))))
+    alive = born.where("born is not null").select("chain", "n", F.array_distinct(grams).alias("grams"))
+    a = alive.select(F.col("chain").alias("c1"), F.col("n").alias("n1"), F.col("grams").alias("g1"), F.explode("grams").alias("g"))
+    b = alive.select(F.col("chain").alias("c2"), F.col("n").alias("n2"), F.col("grams").alias("g2"), F.explode("grams").alias("g"))
+    near = F.size(F.array_intersect("g1", "g2")) / F.size(F.array_union("g1", "g2")) >= alike
+    beaten = (F.col("n2") > F.col("n1")) | ((F.col("n2") == F.col("n1")) & (F.col("c2") < F.col("c1")))
+    gone = a.join(b, "g").where((F.col("c1") != F.col("c2")) & near & beaten).select(F.col("c1").alias("chain")).distinct()
+    return born.join(gone, "chain", "left_anti")

@@ -10,7 +10,7 @@ from skarn.functions import lexicon as L
 
 
 def seed_table(spark) -> DataFrame:
-    """(term, dimension): the 80 seed terms."""
+    """(term, dimension): the seed terms."""
     return spark.createDataFrame([(t, d) for d, terms in L.SEEDS.items() for t in terms], "term string, dimension string")
 
 
@@ -31,7 +31,7 @@ def presence(lists: DataFrame) -> DataFrame:
     """(dimension, uses, found, share, gap): use of each dimension's seed terms; a gap below a tenth of them."""
     seeds = seed_table(lists.sparkSession)
     words = lists.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    joined = F.broadcast(seeds).join(words, "term", "left")  # 80 rows
+    joined = F.broadcast(seeds).join(words, "term", "left")  # the seed terms alone
     out = joined.groupBy("dimension").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("uses"), F.count("n").alias("found"), F.count(F.lit(1)).alias("size"))
     return out.withColumn("share", F.col("found") / F.col("size")).withColumn("gap", F.col("share") < 0.1)
 
@@ -159,3 +159,17 @@ def dimension_shares(rows: DataFrame, vector: str, width: int = 8) -> DataFrame:
     shares = means.select(F.posexplode(F.array(*(F.when(total > 0, F.col(f"m{k}") / total).otherwise(0.0) for k in range(width)))).alias("place", "share"))
     entropy = shares.agg((-F.sum(F.when(F.col("share") > 0, F.col("share") * F.log2("share")).otherwise(0.0))).alias("entropy"))
     return shares.crossJoin(F.broadcast(entropy))
+
+
+def seed_weights(presence_rows: DataFrame, uses: DataFrame, misread: DataFrame | None = None) -> DataFrame:
+    """(term, weight) of the seed terms: 3 in a gap, 2.5 if misread, 1.5 if used, else 2."""
+    seeds = seed_table(presence_rows.sparkSession)
+    wrong = misread.select("term", F.lit(True).alias("misread")) if misread is not None else seeds.select("term", F.lit(True).alias("misread")).limit(0)
+    joined = seeds.join(presence_rows.select("dimension", "gap"), "dimension").join(uses.select("term", F.col("cf").alias("used")), "term", "left").join(wrong, "term", "left")
+    weight = F.when(F.col("gap"), 3.0).when(F.col("misread"), 2.5).when(F.col("used") > 0, 1.5).otherwise(2.0)
+    return joined.select("term", "dimension", weight.alias("weight"))
+
+
+def load_bearing(weights: DataFrame, key: str, top: int = 5) -> DataFrame:
+    """The used keys of most weight, ties by key."""
+    return weights.where("hits > 0").orderBy(F.desc(F.round("weight", 3)), key).limit(top).select(key, F.round("weight", 3).alias("weight"), "hits")

@@ -163,3 +163,23 @@ def a11_emergence(spark, sf):
     members = g18_digest(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
     members = members.where("chain <> ''").withColumn("operations", F.split("chain", ">"))
     return profile.emergence(members, "source", "operations", "dominant", previous=["CR", "EW"])
+
+
+_D = {d: f"v[{k}]" for k, d in enumerate(L.DIMENSIONS, 1)}
+_BASINS = ", ".join("0.0::DOUBLE + " + " + ".join(f"{_D[d]} * {w}::DOUBLE" for d, w in weights.items()) + f" AS {name.lower()}" for name, (weights, _) in L.BASINS.items())
+_FIRST = " ".join(f"WHEN {name.lower()} = best THEN '{name}'" for name in L.BASINS)
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, [ko, te, sf, cr, ic, de, ew, ai] AS v FROM (SELECT doc_id, {_signals_sql()} FROM documents)), b AS (SELECT doc_id, {_BASINS} FROM s),"
+    f" g AS (SELECT *, greatest({', '.join(n.lower() for n in L.BASINS)}) AS best FROM b) SELECT doc_id, CASE WHEN best > 0.05 THEN CASE {_FIRST} END ELSE '' END AS basin FROM g"
+)
+def g21_basins(spark, sf):
+    signals = table(spark, sf, "documents").select("doc_id", F.transform(X.structural(F.col("text")), lambda x: F.round(x, 6)).alias("v"))
+    return signals.select("doc_id", X.basin(F.col("v")).alias("basin"))
+
+
+@query(f"WITH {ADDRESS} SELECT address, regexp_split_to_array(replace(address, '_via_', '+'), '\\+') AS p FROM addressed GROUP BY address".replace("AS p FROM", "[1] AS leading FROM"))
+def g25_address_parts(spark, sf):
+    """Addresses and the dimension that leads them."""
+    return g22_address(spark, sf).select("address").distinct().select("address", X.address_parts(F.col("address"))[0].alias("leading"))

@@ -144,3 +144,25 @@ def st7_throttle(spark, sf):
 def a07_daily_deltas(spark, sf):
     daily = table(spark, sf, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("hits"))
     return profile.deltas(daily, "day", ["hits"])
+
+
+@query(
+    f"WITH {STATS}, {_SEEDS}, p AS (SELECT dimension, count(cf) / count(*) < 0.1 AS gap FROM seeds LEFT JOIN stats USING (term) GROUP BY dimension)"
+    " SELECT term, dimension, (CASE WHEN gap THEN 3.0 WHEN cf > 0 THEN 1.5 ELSE 2.0 END)::DOUBLE AS weight FROM seeds JOIN p USING (dimension) LEFT JOIN stats USING (term)"
+)
+def a04_seed_weights(spark, sf):
+    lists = _lists(spark, sf)
+    return profile.seed_weights(profile.presence(lists), corpus.token_stats(lists))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_type = 'purchase' AS helpful, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),"
+    " f AS (SELECT user_id, 0::BIGINT AS k, 1.0::DOUBLE AS weight FROM e WHERE k = 1 UNION ALL"
+    " SELECT f.user_id, e.k, CASE WHEN helpful THEN least(3.0, weight * 1.1::DOUBLE) ELSE greatest(0.1, weight * 0.85::DOUBLE) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1),"
+    " w AS (SELECT user_id, max(k) AS hits, arg_max(weight, k) AS weight FROM f GROUP BY user_id)"
+    " SELECT user_id, round(weight, 3) AS weight, hits FROM w WHERE hits > 0 ORDER BY round(weight, 3) DESC, user_id LIMIT 5"
+)
+def r09_load_bearing(spark, sf):
+    """What is reached for most, by the feedback weights."""
+    events = table(spark, sf, "events").withColumn("helpful", F.col("event_type") == "purchase")
+    return profile.load_bearing(profile.feedback(events, "user_id", ["ts", "event_id"], "helpful"), "user_id")

@@ -134,3 +134,14 @@ def test_sql_functions_and_dimensions(spark):
     assert profile.effective_dimension(rows, "v")[0] == 1
     centres = spark.createDataFrame([("A", [1.0, 0.0], 2), ("B", [0.9, 0.0], 1), ("C", [0.0, 1.0], 1)], "k string, v array<double>, n int")
     assert {r.k: r.merged for r in formations.merge(centres, "k", "v", "n", target=2).collect()} == {"A": "A", "B": "A", "C": "C"}
+
+
+def test_chains_evolve(spark):
+    rows = lambda *cs: spark.createDataFrame([(c, 0.5) for c in cs], "chain string, ache double")
+    first = formations.evolve(None, rows(*["A>B"] * 3, *["C"] * 5, "D>E"), 1)
+    assert {(r.chain, r.n, r.born) for r in first.collect()} == {("A>B", 3, 1), ("C", 5, None), ("D>E", 1, None)}
+    second = formations.evolve(first, rows(*["A>B>A>B"] * 4, "D>E", "D>E"), 2)
+    got = {r.chain: (r.n, r.born, r.uses) for r in second.collect()}
+    assert got["D>E"] == (3, 2, 0) and got["A>B"] == (3, 1, 0)
+    last = formations.evolve(second, rows("C"), 30)
+    assert "A>B" not in {r.chain for r in last.collect()}
