@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.core.durable import cut
 from skarn.functions import lexicon as L
 from skarn.functions import text as X
 
@@ -92,6 +93,14 @@ def extended(current: DataFrame, fresh: DataFrame) -> DataFrame:
     return current.select("pos", "term").unionByName(added.select((F.col("rank") + F.col("start")).alias("pos"), "term"))
 
 
+def touching(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Pairs with a vocabulary term on either side, so that only these are joined with term statistics."""
+    v = vocab.select("term")  # as many rows as the vocabulary's size
+    one, two = (F.broadcast(v.select(F.col("term").alias(c))) for c in ("v1", "v2"))
+    marked = pairs.join(one, F.col("t1") == F.col("v1"), "left").join(two, F.col("t2") == F.col("v2"), "left")
+    return marked.where("v1 is not null or v2 is not null").select("t1", "t2", "n")
+
+
 def links_to(vocab: DataFrame, pmis: DataFrame) -> DataFrame:
     """(term, pos, value): nonzero PMI of any term with a vocabulary term, either way round."""
     v = vocab.select(F.col("term").alias("v"), "pos")
@@ -139,3 +148,11 @@ def retained_pairs(pmis: DataFrame, totals: DataFrame, cap: int) -> DataFrame:
     """The ``cap`` pairs that add most to mutual information (a bounded saved state is the feature)."""
     gain = F.round(F.col("n") / F.col("pair_mass") * F.col("pmi"), 12)
     return pmis.crossJoin(F.broadcast(totals.select("pair_mass"))).withColumn("gain", gain).orderBy(F.desc("gain"), "t1", "t2").limit(cap)
+
+
+def learn(lists: DataFrame, size: int, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(stats, totals, vocab, links) of a corpus: everything is counted once, then frozen in the shared folder."""
+    stats, pairs = cut(token_stats(lists)), cut(pair_stats(lists))
+    totals = cut(corpus_stats(lists, pairs))
+    vocab = cut(vocabulary(stats, totals, size, **options))
+    return stats, totals, vocab, cut(links_to(vocab, pmi(touching(pairs, vocab), stats, totals)))

@@ -18,10 +18,7 @@ def build(docs: DataFrame, vocab_size: int = 200, id_col: str = "doc_id", text_c
     frozen vocabulary.
     """
     lists = corpus.token_lists(docs, id_col, text_col)
-    stats, pairs = corpus.token_stats(lists), corpus.pair_stats(lists)
-    totals = corpus.corpus_stats(lists, pairs)
-    vocab = corpus.vocabulary(stats, totals, vocab_size)
-    links = corpus.links_to(vocab, corpus.pmi(pairs, stats, totals))
+    stats, totals, vocab, links = corpus.learn(lists, vocab_size)
     ache = corpus.surprise(lists, stats, totals)
     vectors = corpus.dense(corpus.vectors(lists, vocab, links), vocab_size)
     words = corpus.keywords(lists, stats, totals, links).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("keywords"))

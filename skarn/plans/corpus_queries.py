@@ -50,13 +50,9 @@ def _lists(spark, sf):
 
 
 def _model(spark, sf):
-    """lists, stats, totals, pmis, vocab and links over the documents."""
+    """lists, stats, totals, vocab and links over the documents."""
     lists = _lists(spark, sf)
-    stats, pairs = corpus.token_stats(lists), corpus.pair_stats(lists)
-    totals = corpus.corpus_stats(lists, pairs)
-    pmis = corpus.pmi(pairs, stats, totals)
-    vocab = corpus.vocabulary(stats, totals, VOCAB, seeds=SEED_WEIGHTS)
-    return lists, stats, totals, pmis, vocab, corpus.links_to(vocab, pmis)
+    return lists, *corpus.learn(lists, VOCAB, seeds=SEED_WEIGHTS)
 
 
 @query(
@@ -150,7 +146,7 @@ def t07_living_vocabulary(spark, sf):
     f"WITH {PMI}{HIGH}{LINKS}, w AS (SELECT DISTINCT id, term FROM tok) SELECT id AS doc_id, pos, round(avg(value), 6) AS value FROM w JOIN links USING (term) GROUP BY 1, 2"
 )
 def t09_mi_vectors(spark, sf):
-    lists, _, _, _, vocab, links = _model(spark, sf)
+    lists, _, _, vocab, links = _model(spark, sf)
     return corpus.vectors(lists, vocab, links).select(F.col("id").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.round("value", 6).alias("value"))
 
 
@@ -165,7 +161,7 @@ def t10_ache(spark, sf):
     " SELECT id AS doc_id, pos, round(avg(value) * any_value(ache), 5) AS value FROM w JOIN links USING (term) JOIN a USING (id) GROUP BY 1, 2"
 )
 def t11_mi_ache_vectors(spark, sf):
-    lists, stats, totals, _, vocab, links = _model(spark, sf)
+    lists, stats, totals, vocab, links = _model(spark, sf)
     ache = corpus.surprise(lists, stats, totals)
     joined = corpus.vectors(lists, vocab, links).join(ache, "id")
     return joined.select(F.col("id").alias("doc_id"), F.col("pos").cast("long").alias("pos"), F.round(F.col("value") * F.col("ache"), 5).alias("value"))
@@ -178,7 +174,7 @@ def t11_mi_ache_vectors(spark, sf):
     " SELECT id AS doc_id, rank, term, round(score, 5) AS score FROM r WHERE rank <= 5"
 )
 def t12_keywords(spark, sf):
-    lists, stats, totals, _, _, links = _model(spark, sf)
+    lists, stats, totals, _, links = _model(spark, sf)
     return corpus.keywords(lists, stats, totals, links).select(F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "term", F.round("score", 5).alias("score"))
 
 

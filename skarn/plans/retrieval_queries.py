@@ -152,7 +152,7 @@ _TASTE = (
 
 def _probed(spark, sf, least):
     """Passages by gamma with one probe, vectorised with the frozen statistics; the probe is one broadcast row."""
-    lists, _, _, _, vocab, links = _model(spark, sf)
+    lists, _, _, vocab, links = _model(spark, sf)
     passages = corpus.dense(corpus.vectors(lists, vocab, links), VOCAB)
     probe = corpus.token_lists(table(spark, sf, "benchmark").where("item_id = 0"), "item_id")
     asked = corpus.dense(corpus.vectors(probe, vocab, links), VOCAB).select(F.col("vector").alias("asked"))
