@@ -7,11 +7,14 @@ A listed word gets its smoothed share, every other word the state's remaining ma
 shorter state's probability, so each state's distribution sums to one.  A text's score walks
 its words, each predicted by the longest retained state that ends there.
 
-All counts are distributed sums over all training texts.  What a state or a listed word must
-reach is a share of all training tokens: states at least STATE_SHARE, listed words ENTRY_SHARE,
-so there are at most 1/STATE_SHARE and 1/ENTRY_SHARE of them at each length, whatever the size
-of the corpus; that is the proven bound of what is broadcast (16 MB for a million entries).
-Words below ENTRY_SHARE are looked up by a join that carries one row per text and word.
+All counts are distributed sums over all training texts.  A state must occur LEAST_STATE times
+and a listed word LEAST_ENTRY times after it, at any size of the corpus, so the tree grows with
+its input.  Gains add up over the n-grams of a text: a state adds the mass that it leaves, a
+listed word what it has above that, and each is one value under the n-gram's code.  Values stay
+distributed and are joined by code, one row per text and n-gram; only those of n-grams with
+ENTRY_SHARE of all training tokens or more, at most 1/ENTRY_SHARE of each kind, are broadcast
+instead.  That moves rows and never changes a result.  Filters of a fixed number of bits keep
+n-grams out of the shuffle that can't be in a table; they have no false negatives.
 
 Defined results: a null or wordless text is one end token; a null id counts as training;
 repeated rows each learn and each give a row; without training rows N and V are 0.
@@ -19,6 +22,7 @@ repeated rows each learn and each give a row; without training rows N and V are
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -27,11 +31,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skarn.core.durable import cut
-from skarn.llm.tokens import word_hashes
+from skarn.llm.tokens import _mixed, word_hashes
 
-STATE_SHARE = 1e-5
+#: Share of all training tokens from which a value is broadcast and not joined.
 ENTRY_SHARE = 1e-6
 LEAST_STATE = 8
 LEAST_ENTRY = 3
@@ -40,6 +45,9 @@ BACKOFF = 2.0
 END = np.uint64(0x656E645F6F665F74)
 #: Tokens counted together before they are handed on.
 COUNT_BLOCK = 1 << 21
+#: Bits of a filter, and of each of the parts that it is put together from.
+FILTER = 1 << 27
+FILTER_PART = 1 << 14
 
 
 def held_out(row_id: Column) -> Column:
@@ -59,20 +67,36 @@ def with_ends(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, moved
 
 
-def _counted(codes: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """(code, n) sums of blocks of codes."""
-    held: list[np.ndarray] = []
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The code of a followed by b: of two words a pair, of two overlapping pairs three words."""
+    return _mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
+
+
+@F.arrow_udf(T.LongType())
+def _joined(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array(joined(*(x.to_numpy().astype(np.int64).view(np.uint64) for x in (a, b))).view(np.int64))
+
+
+def _counted(parts: Iterator[tuple[np.ndarray, ...]], names: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """(names, n) sums of blocks of columns."""
+    held: list[tuple[np.ndarray, ...]] = []
     size = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        for k in range(0, len(values), 1 << 16):
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        if len(columns) == 1:
+            values, counts = np.unique(columns[0], return_counts=True)
+            columns = [values]
+        else:
+            _, first, counts = np.unique(joined(*columns), return_index=True, return_counts=True)
+            columns = [x[first] for x in columns]
+        for k in range(0, len(counts), 1 << 16):
             part = slice(k, k + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(values[part].view(np.int64)), pa.array(counts[part].astype(np.int64))], ["code", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[part].view(np.int64)) for x in columns), pa.array(counts[part].astype(np.int64))], [*names, "n"])
 
-    for x in codes:
+    for x in parts:
         held.append(x)
-        size += len(x)
+        size += len(x[0])
         if size >= COUNT_BLOCK:
             yield from flush()
             held, size = [], 0
@@ -80,23 +104,67 @@ def _counted(codes: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
-def _sums(text: DataFrame, codes) -> DataFrame:
-    """(code, n) over all texts; ``codes`` maps (words with ends, bounds) to an array of codes."""
+def _sums(text: DataFrame, codes, *names: str) -> DataFrame:
+    """(names, n) over all texts; ``codes`` maps (words with ends, bounds) to arrays of these columns."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = (codes(*with_ends(h, b)) for batch in batches for _, _, h, b in word_hashes(batch.column(0)))
-        yield from _counted(x for x in found if len(x))
+        yield from _counted((x for x in found if len(x[0])), names)
+
+    return text.mapInArrow(count, ", ".join(f"{c} long" for c in (*names, "n"))).groupBy(*names).agg(F.sum("n").alias("n"))
 
-    return text.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
+def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of a filter that stand for a code."""
+    return codes & np.uint64(FILTER - 1), codes >> np.uint64(32) & np.uint64(FILTER - 1)
 
-def _bounded(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (sorted) and counts of what has at least ``least``, a share of all tokens: a bounded number."""
-    table = counts.where(F.col("n") >= F.lit(float(least))).toArrow()
-    code = table.column("code").to_numpy().astype(np.int64).view(np.uint64)
-    n = table.column("n").to_numpy().astype(np.float64)
-    order = np.argsort(code)
-    return code[order], n[order]
+
+def _filter(table: DataFrame) -> np.ndarray:
+    """A Bloom filter of column ``code``, FILTER bits whatever the size of the table; empty for an empty table."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.concatenate(_places(batch.column(0).to_numpy().view(np.uint64))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // FILTER_PART).astype(np.int32)), pa.array((at % FILTER_PART).astype(np.int32))], ["part", "bit"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros((FILTER // FILTER_PART, FILTER_PART), bool)  # pages that no bit is set in take no memory
+        parts: set[int] = set()
+        for batch in batches:
+            part, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            bits[part, bit] = True
+            parts.update(np.unique(part).tolist())
+        for k in sorted(parts):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits[k], bitorder="little").tobytes()])], ["part", "bits"])
+
+    found = table.select("code").mapInArrow(spread, "part int, bit int").repartition("part").mapInArrow(gather, "part int, bits binary").collect()
+    if not found:
+        return np.zeros(0, np.uint8)
+    out = np.zeros((FILTER // FILTER_PART, FILTER_PART // 8), np.uint8)
+    for r in found:
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
+def maybe(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Which codes may be in the filtered table."""
+    if not len(bits):
+        return np.zeros(len(codes), bool)
+    one, two = _places(codes)
+    hit = (bits[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    at = np.flatnonzero(hit)
+    two = two[at]
+    hit[at] = bits[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8) & 1
+    return hit
+
+
+def _bounded(table: DataFrame, least: float) -> list[np.ndarray]:
+    """Columns of what has n of at least ``least``, a share of all tokens: a bounded number. The first, codes, is sorted and unsigned."""
+    found = table.where(F.col("n") >= F.lit(float(least))).toArrow()
+    columns = [found.column(k).to_numpy() for k in range(found.num_columns)]
+    columns[0] = columns[0].astype(np.int64).view(np.uint64)
+    order = np.argsort(columns[0])
+    return [x[order] for x in columns]
 
 
 def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -110,134 +178,146 @@ def find(table: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """Retained states of one length, and their listed next words."""
+    """Broadcast states of one length, and their broadcast next words."""
 
-    states: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    states: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # numbers of the state's symbols, one after the other in the radix
+    codes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # of the states, sorted
     rest: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of the mass left to the shorter state
-    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # state number * radix + next word
-    gain: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of probability over the root's
+    entries: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # codes of state and next word, sorted
+    gain: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of probability over what the state leaves to the word
 
 
 @dataclass
 class Tree:
-    """total and distinct training tokens, frequent words (hash, count), and the deeper levels."""
+    """total and distinct training tokens, frequent words (hash, count), and of the deeper levels what is broadcast."""
 
     total: int
     distinct: int
     words: np.ndarray
     counts: np.ndarray
-    symbols: np.ndarray  # words that may be part of a state, sorted hashes
     levels: list[Level]
+    others: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint8))  # filter of the codes of values that are joined
+
+    @property
+    def symbols(self) -> np.ndarray:
+        return self.words
 
     @property
     def radix(self) -> int:
         return len(self.symbols)
 
     def gains(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """log10 of each word's probability over the root's, by the longest retained state."""
-        ids = find(self.symbols, words)
+        """log10 of each word's probability over the root's, as far as the broadcast values say."""
         gain = np.zeros(len(words))
-        at = np.arange(len(words))
-        ahead = at - np.repeat(bounds[:-1], np.diff(bounds))
-        live = at
-        code = np.zeros(len(words), np.uint64)
-        for depth, level in enumerate(self.levels, 1):
-            live = live[ahead[live] >= depth]
-            live = live[ids[live - depth] >= 0]
-            code = ids[live - depth].astype(np.uint64)
-            for k in range(depth - 1, 0, -1):
-                code = code * np.uint64(self.radix) + ids[live - k].astype(np.uint64)
-            state = find(level.states, code)
-            here, state = live[state >= 0], state[state >= 0]
-            entry = np.where(ids[here] >= 0, state * self.radix + ids[here], -1)
-            hit = find(level.entries, entry.astype(np.uint64))
-            hit[entry < 0] = -1
-            gain[here] += level.rest[state]
-            gain[here[hit >= 0]] = level.gain[hit[hit >= 0]]
+        last = np.zeros(len(words), bool)
+        last[bounds[1:] - 1] = True
+        for length, (at, code) in enumerate(ngrams(words, bounds), 1):
+            if length > 1 and length - 2 < len(self.levels):  # the last word is listed
+                level = self.levels[length - 2]
+                hit = find(level.entries, code)
+                gain[at[hit >= 0]] += level.gain[hit[hit >= 0]]
+            if length - 1 < len(self.levels):  # a word follows the state
+                level = self.levels[length - 1]
+                hit = find(level.codes, code)
+                hit[last[at]] = -1
+                gain[at[hit >= 0] + 1] += level.rest[hit[hit >= 0]]
         return gain
 
 
-def _level(code: np.ndarray, n: np.ndarray, radix: int, state_code: np.ndarray, state_n: np.ndarray, root: np.ndarray, shorter: np.ndarray, total: int) -> Level:
-    """A level from counts of (state number * radix + next); shorter: log10 gain of next after the shorter state, by entry."""
-    state, word = (code // np.uint64(radix)).astype(np.int64), (code % np.uint64(radix)).astype(np.int64)
-    parent = root[word] * 10.0**shorter
-    share = n / state_n[state]
-    kept = n * np.log(np.maximum(share, 1e-300) / parent) > np.log(max(total, 2))  # diverges by more than a listed word costs
-    code, n, state, word, parent = code[kept], n[kept], state[kept], word[kept], parent[kept]
-    listed = np.bincount(state, n, len(state_n))
-    rest = (np.maximum(state_n - listed, 0) + BACKOFF) / (state_n + BACKOFF)
-    gain = np.log10((n / (state_n[state] + BACKOFF) + rest[state] * parent) / root[word])
-    used = np.flatnonzero(np.bincount(state, minlength=len(state_n)))
-    renumbered = np.zeros(len(state_n), np.int64)
-    renumbered[used] = np.arange(len(used))
-    entries = (renumbered[state] * radix + word).astype(np.uint64)
-    order = np.argsort(entries)
-    return Level(state_code[used], np.log10(rest[used]), entries[order], gain[order])
+def ngrams(words: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of the last word, and codes, of all runs of one, two and three words of a text."""
+    at = np.arange(len(words))
+    ahead = at - np.repeat(bounds[:-1], np.diff(bounds))
+    two, three = np.flatnonzero(ahead >= 1), np.flatnonzero(ahead >= 2)
+    pair = np.zeros(len(words), np.uint64)
+    pair[two] = joined(words[two - 1], words[two])
+    return [(at, words), (two, pair[two]), (three, joined(pair[three - 1], pair[three]))]
+
+
+def _diverging(counted: DataFrame, state: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (state, n, state_n, parent, ...) with whether they are listed; and (state, n, rest) of states that list some.
+
+    parent: probability of the next word after the shorter state.
+    """
+    diverges = F.col("n") * F.log(F.col("n") / F.col("state_n") / F.col("parent")) > float(np.log(max(total, 2)))  # by more than a listed word costs
+    rows = cut(counted.withColumn("listed", (F.col("state_n") >= LEAST_STATE) & diverges))
+    left = F.greatest(F.max("state_n") - F.sum("n"), F.lit(0))
+    states = rows.where("listed").groupBy(state).agg(((left + BACKOFF) / (F.max("state_n") + BACKOFF)).alias("rest"), F.max("state_n").alias("total"))
+    return rows, cut(states.select(state, F.col("total").alias("n"), "rest"))
 
 
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
-    """The tree, and (code, n) counts of every training token."""
+    """The tree, and (code, n, gain): counts of every training token, and values that are not broadcast."""
     text = docs.select(F.col(text_col).alias("text"))
     spark = docs.sparkSession
-    counts = cut(_sums(text, lambda words, bounds: words))
+    counts = cut(_sums(text, lambda words, bounds: (words,), "code"))
     row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = int(row["total"]), int(row["distinct"])
+    least = max(LEAST_ENTRY, total * ENTRY_SHARE)
     words, n = _bounded(counts, total * ENTRY_SHARE)
-    least_state, least_entry = max(LEAST_STATE, total * STATE_SHARE), max(LEAST_ENTRY, total * ENTRY_SHARE)
-    symbols, symbol_n = words[n >= least_state], n[n >= least_state]
-    tree = Tree(total, distinct, words, n, symbols, [])
-    if not len(symbols):
-        return tree, counts
-    root = (symbol_n + 1) / (total + distinct + 1)
-    radix = np.uint64(len(symbols))
-    held = spark.sparkContext.broadcast(symbols)
-
-    def pairs(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        ids = find(held.value, words)
-        ok = (ids[:-1] >= 0) & (ids[1:] >= 0)
+    tree = Tree(total, distinct, words, n.astype(np.float64), [])
+    tokens = counts.withColumn("gain", F.lit(0.0))
+    frequent = counts.where(F.col("n") >= LEAST_ENTRY)
+    held = spark.sparkContext.broadcast(_filter(frequent))
+
+    def pairs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = maybe(held.value, words)
+        ok = ok[:-1] & ok[1:]
         ok[bounds[1:-1] - 1] = False
         at = np.flatnonzero(ok)
-        return ids[at].astype(np.uint64) * radix + ids[at + 1].astype(np.uint64)
-
-    code, n2 = _bounded(_sums(text, pairs), least_entry)
-    order = np.arange(len(symbols), dtype=np.uint64)
-    tree.levels.append(first := _level(code, n2, len(symbols), order, symbol_n, root, np.zeros(len(code)), total))
-    end = find(symbols, np.array([END]))[0]
-    wide = (n2 >= least_state) & (code % radix != np.uint64(end if end >= 0 else len(symbols)))
-    states, state_n = code[wide], n2[wide]
-    if not len(states):
-        return tree, counts
-    held2 = spark.sparkContext.broadcast((symbols, states))
-
-    def triples(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        symbols, states = held2.value
-        ids = find(symbols, words)
-        ok = (ids[:-2] >= 0) & (ids[1:-1] >= 0) & (ids[2:] >= 0)
-        for k in (1, 2):
-            cuts = bounds[1:-1] - k
-            ok[cuts[(cuts >= 0) & (cuts < len(ok))]] = False
-        at = np.flatnonzero(ok)
-        state = find(states, ids[at].astype(np.uint64) * radix + ids[at + 1].astype(np.uint64))
-        at, state = at[state >= 0], state[state >= 0]
-        return state.astype(np.uint64) * radix + ids[at + 2].astype(np.uint64)
-
-    code, n3 = _bounded(_sums(text, triples), least_entry)
-    state, word = (code // radix).astype(np.int64), code % radix
-    before = states[state] % radix  # the nearer word of the state
-    nearer = find(first.states, before)
-    shorter = np.where(nearer >= 0, first.rest[nearer] if len(first.rest) else 0.0, 0.0)
-    hit = find(first.entries, np.where(nearer >= 0, nearer, 0).astype(np.uint64) * radix + word)
-    hit[nearer < 0] = -1
-    if len(first.gain):
-        shorter = np.where(hit >= 0, first.gain[hit], shorter)
-    tree.levels.append(_level(code, n3, len(symbols), states, state_n, root, shorter, total))
-    return tree, counts
+        return words[at], words[at + 1]
+
+    two = cut(_sums(text, pairs, "a", "b").where(F.col("n") >= LEAST_ENTRY))
+    root = ((F.col("n") + 1) / float(total + distinct + 1)).alias("parent")
+    of_state = frequent.select(F.col("code").alias("a"), F.col("n").alias("state_n"))
+    rows, states = _diverging(two.join(of_state, "a").join(frequent.select(F.col("code").alias("b"), root), "b"), "a", total)
+    share = F.col("n") / (F.col("state_n") + BACKOFF)  # what a listed word has of its state
+    rest = F.coalesce("rest", F.lit(1.0)) * F.col("parent")
+    after = F.when(F.col("listed"), share + rest).otherwise(rest)
+    two = cut(
+        rows.join(states.select("a", "rest"), "a", "left").select(
+            _joined("a", "b").alias("code"), "n", "a", "b", "listed", after.alias("after"), F.log10(after / rest).alias("gain")
+        )
+    )
+    values = [states.select(F.col("a").alias("code"), "n", F.log10("rest").alias("gain")), two.where("listed").select("code", "n", "gain")]
+    code, _, gain = _bounded(values[0], least)
+    entry, _, more = _bounded(values[1], least)
+    tree.levels.append(Level(find(words, code).astype(np.uint64), code, gain, entry, more))
+
+    held2 = spark.sparkContext.broadcast((_filter(two.where(F.col("n") >= LEAST_STATE)), _filter(two)))
+
+    def triples(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of_state, of_next = held2.value
+        at, code = ngrams(words, bounds)[1]
+        near = np.flatnonzero(at[1:] == at[:-1] + 1)  # pairs that overlap in one text
+        near = near[maybe(of_state, code[near])]
+        near = near[maybe(of_next, code[near + 1])]
+        return code[near], code[near + 1]
+
+    three = cut(_sums(text, triples, "s", "t").where(F.col("n") >= LEAST_ENTRY))
+    of_state = two.where(F.col("n") >= LEAST_STATE).select(F.col("code").alias("s"), F.col("n").alias("state_n"))
+    of_next = two.select(F.col("code").alias("t"), F.col("after").alias("parent"))
+    rows, states = _diverging(three.join(of_state, "s").join(of_next, "t"), "s", total)
+    rest = F.col("rest") * F.col("parent")
+    listed = rows.where("listed").join(states.select("s", "rest"), "s")
+    values += [
+        states.select(F.col("s").alias("code"), "n", F.log10("rest").alias("gain")),
+        cut(listed.select(_joined("s", "t").alias("code"), "n", F.log10((share + rest) / rest).alias("gain"))),
+    ]
+    named = states.where(F.col("n") >= F.lit(float(least))).join(two.select(F.col("code").alias("s"), "a", "b"), "s")
+    code, _, gain, a, b = _bounded(named.select("s", "n", F.log10("rest").alias("gain"), "a", "b"), least)
+    a, b = (find(words, x.astype(np.int64).view(np.uint64)).astype(np.uint64) for x in (a, b))
+    entry, _, more = _bounded(values[3], least)
+    tree.levels.append(Level(a * np.uint64(tree.radix) + b, code, gain, entry, more))
+    others = functools.reduce(DataFrame.unionByName, values).where(F.col("n") < F.lit(float(least)))
+    tree.others = _filter(others)
+    return tree, tokens.unionByName(others.withColumn("n", F.lit(0).cast("long")))
 
 
 SCORED = "row long, row_id long, held boolean, token long, tf long, n_tokens long, n_known long, logs double, gains double"
 
 
-def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, tree: Tree, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_id, held, n_tokens, n_known, base_score, score for every row."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(tree)
@@ -257,7 +337,12 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
                 known = at >= 0
                 base = np.bincount(doc[known], logs[at[known]], docs)
                 gains = np.bincount(doc, tree.gains(words, bounds), docs)
-                rare_doc, rare = doc[~known], words[~known]
+                rare_doc, rare = [doc[~known]], [words[~known]]
+                for at, code in ngrams(words, bounds)[1:]:
+                    hit = maybe(tree.others, code)
+                    rare_doc.append(doc[at[hit]])
+                    rare.append(code[hit])
+                rare_doc, rare = np.concatenate(rare_doc), np.concatenate(rare)
                 order = np.lexsort((rare, rare_doc))
                 rare_doc, rare = rare_doc[order], rare[order]
                 new = np.ones(len(rare), bool)
@@ -287,7 +372,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
 
     source = docs.select(F.col(id_col).cast("long").alias("row_id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
     walked = source.mapInArrow(walk, SCORED)
-    joined = walked.join(counts.withColumnsRenamed({"code": "token", "n": "c"}), "token", "left")
+    joined = walked.join(table.withColumnsRenamed({"code": "token", "n": "c", "gain": "more"}), "token", "left")  # a word has a row for its count and one for its gain
     c = F.when(F.col("tf") > 0, F.coalesce("c", F.lit(0))).otherwise(0)
     sums = joined.groupBy("row").agg(
         F.max("row_id").alias("row_id"),
@@ -295,7 +380,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("n_known") + F.when(c > 0, F.col("tf")).otherwise(0)).alias("n_known"),
         F.sum(F.col("logs") + F.col("tf") * F.log10(c + 1)).alias("logs"),
-        F.sum("gains").alias("gains"),
+        F.sum(F.col("gains") + F.col("tf") * F.coalesce("more", F.lit(0.0))).alias("gains"),
     )
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.lit(float(tree.total + tree.distinct + 1)))
     return sums.select("row_id", "held", "n_tokens", "n_known", base.alias("base_score"), (base + F.col("gains")).alias("score"))
@@ -303,5 +388,5 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame, id_col: str = "doc_id"
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Tree]:
     """Train on the rows that are not held out, then score all rows."""
-    tree, counts = train(docs.where(~held_out(F.col(id_col))), text_col)
-    return score(docs, tree, counts, id_col, text_col), tree
+    tree, table = train(docs.where(~held_out(F.col(id_col))), text_col)
+    return score(docs, tree, table, id_col, text_col), tree

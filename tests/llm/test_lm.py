@@ -71,6 +71,16 @@ def test_longest_state_is_used(spark):
     assert per_word > -0.25 and got.base_score / got.n_tokens < -0.6  # two words before decide the next
 
 
+def test_what_is_broadcast_changes_no_score(spark, sf01, monkeypatch):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    scores = lambda: {r.row_id: r.score for r in lm.lm_scores(docs)[0].collect()}
+    want = scores()
+    monkeypatch.setattr(lm, "ENTRY_SHARE", 1e-3)
+    got = scores()
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
 def test_odd_rows(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     found, tree = lm.lm_scores(odd)
