@@ -46,8 +46,8 @@ END = np.uint64(0x656E645F6F665F74)
 #: Tokens counted together before they are handed on.
 COUNT_BLOCK = 1 << 21
 #: Bits of a filter, and of each of the parts that it is put together from.
-FILTER = 1 << 27
-FILTER_PART = 1 << 14
+FILTER = 1 << 25
+FILTER_PART = 1 << 12
 
 
 def held_out(row_id: Column) -> Column:
@@ -119,7 +119,7 @@ def _places(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes & np.uint64(FILTER - 1), codes >> np.uint64(32) & np.uint64(FILTER - 1)
 
 
-def _filter(table: DataFrame) -> np.ndarray:
+def bloom(table: DataFrame) -> np.ndarray:
     """A Bloom filter of column ``code``, FILTER bits whatever the size of the table; empty for an empty table."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,7 +258,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
     tree = Tree(total, distinct, words, n.astype(np.float64), [])
     tokens = counts.withColumn("gain", F.lit(0.0))
     frequent = counts.where(F.col("n") >= LEAST_ENTRY)
-    held = spark.sparkContext.broadcast(_filter(frequent))
+    held = spark.sparkContext.broadcast(bloom(frequent))
 
     def pairs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         ok = maybe(held.value, words)
@@ -284,7 +284,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
     entry, _, more = _bounded(values[1], least)
     tree.levels.append(Level(find(words, code).astype(np.uint64), code, gain, entry, more))
 
-    held2 = spark.sparkContext.broadcast((_filter(two.where(F.col("n") >= LEAST_STATE)), _filter(two)))
+    held2 = spark.sparkContext.broadcast((bloom(two.where(F.col("n") >= LEAST_STATE)), bloom(two)))
 
     def triples(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         of_state, of_next = held2.value
@@ -310,7 +310,7 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
     entry, _, more = _bounded(values[3], least)
     tree.levels.append(Level(a * np.uint64(tree.radix) + b, code, gain, entry, more))
     others = functools.reduce(DataFrame.unionByName, values).where(F.col("n") < F.lit(float(least)))
-    tree.others = _filter(others)
+    tree.others = bloom(others)
     return tree, tokens.unionByName(others.withColumn("n", F.lit(0).cast("long")))
 
 

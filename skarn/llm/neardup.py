@@ -1,20 +1,16 @@
-"""Near-duplicate classes at shingle similarity, by SimHash and anchor-point covering.
-
-Two SimHash signatures of 128 bits are taken of a text's sets: of its words, to search by, and
-of its five-word shingles, to decide by.  A Jaccard similarity of 0.8 in shingles is an angle
-that flips 19.4 of 128 bits in expectation; LIMIT takes what is one and a half deviations above
-as similar.  The same edits flip 4 to 8 % of the bits of the word signature, so some of TABLES
-choices of 31 bits differs in at most two.  For each choice the anchors are the words of the
-perfect Hamming code of length 31 (covering radius 1), and a signature goes to every anchor
-within radius plus half the threshold of two, 16 of them.  Under an anchor signatures are
-compared by breadth-first search, so a large group of copies is absorbed by its first members
-and costs no pairs; links are emitted as a forest.
-
-Texts with both signatures alike are one node.  Links of the exact operator (``simhash``:
-three-word shingles, two bits of 64) are added, so its classes are never split here.
-
-Expected recall at similarity 0.8 is 0.98 (measured in the tests); unrelated texts meet under
-some anchor once in about 10**6 pairs and are then told apart by the shingle signature.
+"""Near-duplicate classes at the similarity of five-word shingle sets.
+
+Search: MinHash of a text's distinct five-word shingles, BANDS bands of ROWS values.  Two texts
+at Jaccard similarity 0.8 agree in some band with probability 0.99, whatever kind of edit made
+the one from the other.  Decision: a pair that meets in a band is linked only if the Jaccard
+similarity of the two sets, taken from the sets themselves, is SIMILAR or more.
+
+Under each band key all are first compared with one of them, so a large group of copies costs a
+link per member; then every pair of one key whose ends are not yet in one class is compared.
+No group is cut short: the pairs are a join by key that can be split at any size.
+
+Texts with equal sets are one node.  Links of the exact operator (``simhash``: three-word
+shingles, two bits of 64) are added, so its classes are never split here.
 """
 
 from __future__ import annotations
@@ -26,51 +22,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_128_digest
+from xxhash import xxh3_64_intdigest
 
 from skarn.core.durable import cut
 from skarn.llm import simhash
+from skarn.llm.lm import bloom, maybe
+from skarn.llm.tokens import _mixed, word_hashes
 from skarn.operators.components import connected_components
 
 SHINGLE = 5
+SIMILAR = 0.8
+BANDS = 20
+ROWS = 7
 LIMIT = 25  # of 128 bits
-WIDTH = 31
-TABLES = 8
 #: So many signatures of one anchor are held at a time; beyond them one of each class found so far goes on.
 HELD = 20_000
 
-_CHOICES = np.concatenate([np.random.default_rng(k).permutation(128)[: 4 * WIDTH].reshape(4, WIDTH) for k in range(TABLES // 4)])
-
-
-def _signature(features: list[bytes]) -> tuple[int, int]:
-    """The 128-bit SimHash of a list of features, as two unsigned numbers."""
-    ones = np.zeros(128, np.int64)
-    for k in range(0, len(features), 4096):
-        data = np.frombuffer(b"".join(map(xxh3_128_digest, features[k : k + 4096])), np.uint8)
-        ones += np.unpackbits(data, bitorder="little").reshape(-1, 128).sum(0, dtype=np.int32)
-    low, high = np.packbits(2 * ones > len(features), bitorder="little").view(np.uint64)
-    return int(low), int(high)
-
-
-def signatures(text: str | None) -> tuple[int, int, int, int, int]:
-    """The exact operator's fingerprint, then the signatures of words and of shingles."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if len(words) < SHINGLE:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = list(dict.fromkeys(map(b" ".join, zip(*(words[k:] for k in range(SHINGLE)), strict=False))))
-    return (simhash.fingerprint(text), *_signature(list(dict.fromkeys(words)) or [b""]), *_signature(shingles))
-
-
-_NAMES = ("fp", "w0", "w1", "s0", "s1")
-
-
-@F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in _NAMES]))
-def _signed(text: pa.Array) -> pa.Array:
-    table = np.array([signatures(x.as_py()) for x in text], np.uint64).reshape(-1, len(_NAMES)).view(np.int64)
-    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(table[:, k])) for k in range(len(_NAMES))], list(_NAMES))
-
-
 def _flips() -> np.ndarray:
     """For each syndrome of the Hamming code of length 31, the 16 pairs of flips that end in a code word."""
     bit = lambda i: 1 << (i - 1) if i else 0
@@ -92,20 +59,6 @@ def anchors(sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, counts
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, w0, w1, s0, s1 = (batch.column(k).to_numpy() for k in range(5))
-        bits = np.unpackbits(np.stack([w0, w1], 1).view(np.uint8), axis=1, bitorder="little")
-        for t, choice in enumerate(_CHOICES):
-            padded = np.zeros((len(node), 64), np.uint8)
-            padded[:, :WIDTH] = bits[:, choice]
-            sub = np.packbits(padded, axis=1, bitorder="little").view(np.uint64)[:, 0]
-            found, counts = anchors(sub)
-            row, way = np.nonzero(counts)
-            key = found[row, way] | np.uint64(t << WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), node[row], s0[row], s1[row])], ["key", "node", "s0", "s1"])
-
-
 def group_links(node: np.ndarray, sig: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     """Forest links (from, to) of one anchor's signatures (n x 2), and one index per class."""
     src: list[int] = []
@@ -171,22 +124,110 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(True)
 
 
-def similar(nodes: DataFrame) -> DataFrame:
-    """(src, dst) links between nodes (node, w0, w1, s0, s1) at most LIMIT bits apart in shingles."""
-    dealt = nodes.select("node", "w0", "w1", "s0", "s1").mapInArrow(_deal, "key long, node long, s0 long, s1 long")
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "src long, dst long")
+_RANDOM = np.random.default_rng(5).integers(0, 1 << 63, (3, BANDS * ROWS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_sets(text: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted hashes of each text's distinct five-word shingles; fewer words are one shingle."""
+    for _, _, h, bounds in word_hashes(text):
+        rolled = _rolled([h[k : max(k, len(h) - SHINGLE + 1 + k)] for k in range(SHINGLE)])
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield np.unique(rolled[a : b - SHINGLE + 1]) if b - a >= SHINGLE else _rolled([h[k : k + 1] for k in range(a, b)])
+
+
+def _rolled(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.full(len(columns[0]) if columns else 1, len(columns), np.uint64)
+    for x in columns:
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + x)
+    return out
+
+
+def _node(own: np.ndarray) -> int:
+    return xxh3_64_intdigest(own.tobytes())
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """A set's keys, one for each band."""
+    salt, factor, fold = _RANDOM
+    least = np.full(len(salt), np.iinfo(np.uint64).max)
+    for k in range(0, len(own), 4096):
+        least = np.minimum(least, ((own[k : k + 4096] ^ salt[:, None]) * factor[:, None]).min(1))
+    return _mixed((least * fold).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+def _signed(text: pa.Array) -> pa.Array:
+    fps = np.fromiter((simhash.fingerprint(x.as_py()) for x in text), np.uint64, len(text))
+    nodes, keys = np.zeros(len(text), np.uint64), np.zeros((len(text), BANDS), np.uint64)
+    for k, own in enumerate(shingle_sets(text)):
+        nodes[k], keys[k] = _node(own), bands(own)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+    return pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), lists], ["fp", "node", "keys"])
+
+
+@F.arrow_udf(T.DoubleType())
+def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
+    out = np.zeros(len(a))
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out[k] = both / (len(x) + len(y) - both)
+    return pa.array(out)
+
+
+def _sets(text: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, own) of the wanted nodes."""
+    held = text.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.col("node").alias("code"))))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, found, size = [], [], 0
+            for own in shingle_sets(batch.column(0)):
+                node = np.array([_node(own)], np.uint64)
+                if maybe(held.value, node)[0]:
+                    nodes.append(node.view(np.int64)[0])
+                    found.append(own.tobytes())
+                    size += len(found[-1])
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "own"])
+                    nodes, found, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], ["node", "own"])
+
+    return text.mapInArrow(find, "node long, own binary").groupBy("node").agg(F.first("own").alias("own"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose sets are similar."""
+    of_src, of_dst = (sets.select(F.col("node").alias(c), F.col("own").alias(f"{c}_own")) for c in ("src", "dst"))
+    both = pairs.join(of_src, "src").join(of_dst, "dst")
+    return cut(both.where(_jaccard("src_own", "dst_own") >= SIMILAR).select("src", "dst"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) for every row; component is the least id of the class, nulls aside."""
     signed = docs.select(F.col(id_col).alias("id"), _signed(F.col(text_col)).alias("s")).select("id", "s.*")
-    named = cut(signed.withColumn("node", F.xxhash64(F.lit(2), "w0", "w1", "s0", "s1")).withColumn("exact", F.xxhash64(F.lit(1), "fp")))
-    nodes = cut(named.groupBy("node", "exact", *_NAMES).agg(F.min("id").alias("least")))
+    named = cut(signed.withColumn("exact", F.xxhash64(F.lit(1), "fp")))
+    nodes = cut(named.groupBy("node", "exact", "fp").agg(F.min("id").alias("least")))
     fps = nodes.groupBy("fp").agg(F.lit(1).alias("one")).select("fp")
     close = simhash.links(fps).select(F.xxhash64(F.lit(1), "src").alias("src"), F.xxhash64(F.lit(1), "dst").alias("dst"))
     of_exact = nodes.select(F.col("node").alias("src"), F.col("exact").alias("dst"))
-    alike = nodes.groupBy("node", "w0", "w1", "s0", "s1").agg(F.lit(1).alias("one"))
-    found = connected_components(similar(alike).unionByName(close).unionByName(of_exact))
+
+    met = cut(named.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node"))
+    firsts = cut(met.groupBy("key").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"))
+    met = cut(met.join(firsts, "key"))
+    sets = cut(_sets(docs.select(F.col(text_col).alias("text")), met.select("node")))
+    pairs = cut(met.where("first < node").select(F.col("first").alias("src"), F.col("node").alias("dst")).distinct())
+    found = connected_components(_verified(pairs, sets).unionByName(close).unionByName(of_exact))
+    found = cut(found)
+    placed = cut(met.select("key", "node").join(found, "node"))
+    apart = cut(placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("apart")).where("apart").select("key"))
+    placed = cut(placed.join(apart, "key"))
+    a, b = (placed.select("key", F.col("node").alias(n), F.col("component").alias(f"{n}_class")) for n in ("src", "dst"))
+    rest = a.join(b, "key").where("src < dst and src_class <> dst_class").select("src", "dst").distinct()
+    rest = cut(rest.join(pairs, ["src", "dst"], "left_anti"))
+    more = _verified(rest, sets)
+    found = connected_components(more.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
+
     placed = cut(nodes.select("node", "exact", "least").join(found, "node").select("node", "exact", "least", F.col("component").alias("root")))
     least = cut(placed.groupBy("root").agg(F.min("least").alias("component")))
     of_node = placed.join(least, "root").groupBy("node").agg(F.min("component").alias("component"))

@@ -94,3 +94,51 @@ def test_large_groups_are_split(monkeypatch):
     batch = lambda k: pa.RecordBatch.from_arrays([pa.array(x[k : k + 30]) for x in (key, node, sig[:, 0].copy(), sig[:, 1].copy())], ["key", "node", "s0", "s1"])
     links = [(s, d) for b in neardup._meet(batch(k) for k in range(0, n, 30)) for s, d in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)]
     assert len({x for pair in links for x in pair}) == n and len(links) == n - 1
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def made(rng, n, tag):
+    return [f"{tag}{k}" for k in rng.integers(0, 5000, n)]
+
+
+def test_recall_on_passages_appended_cut_and_moved(spark):
+    rng = np.random.default_rng(8)
+    docs, pairs = {}, []
+    for k in range(240):
+        own = made(rng, [60, 400, 3000][k % 3], f"d{k}w")
+        n = len(own)
+        extra = made(rng, int(n * 0.2), f"e{k}w")
+        other = [own + extra, own[: int(n * 0.84)], own[n // 3 : 2 * n // 3] + own[: n // 3] + own[2 * n // 3 :]][k // 3 % 3]
+        docs[2 * k], docs[2 * k + 1] = " ".join(own), " ".join(other)
+        if jaccard(docs[2 * k], docs[2 * k + 1]) >= 0.8:
+            pairs.append((2 * k, 2 * k + 1))
+    assert len(pairs) > 200
+    got = {r.id: r.component for r in neardup.classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+
+
+def test_texts_below_the_similarity_stay_apart(spark):
+    rng = np.random.default_rng(9)
+    docs = {}
+    for k in range(200):
+        docs[2 * k] = " ".join(made(rng, 400, f"d{k}w"))
+        docs[2 * k + 1] = edit(docs[2 * k], rng, rng.uniform(0.05, 0.1))
+    low = [k for k in range(200) if 0.5 <= jaccard(docs[2 * k], docs[2 * k + 1]) < 0.78]
+    assert len(low) > 100
+    got = {r.id: r.component for r in neardup.classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    assert all(got[2 * k] != got[2 * k + 1] for k in low)
+
+
+def test_a_chain_of_near_copies_is_one_class(spark, monkeypatch):
+    """The ends are unlike; each is like its neighbours alone."""
+    monkeypatch.setattr(neardup, "HELD", 20)
+    rng = np.random.default_rng(10)
+    own = made(rng, 2000, "w")
+    docs = [(k, " ".join(own[12 * k : 12 * k + 400])) for k in range(130)]
+    assert jaccard(docs[0][1], docs[-1][1]) == 0
+    got = {r.component for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0}
