@@ -5,8 +5,12 @@ over all texts gives passage frequencies of hashed terms and the sketch TF'TF W
 W; with the inverse frequencies D that is a sketch of the Gram matrix of all TF-IDF passages,
 from which a Nystroem step takes its leading singular vectors and values on the driver (a fixed
 number of hashed terms times DIMS).  A second pass projects every window of every text and
-every window of the benchmark into that space, scaled by the singular values, and takes every
-pair with cosine NEAR or more as a candidate; candidates are verified on the words themselves.
+every window of the benchmark into that space, scaled by the singular values.  Candidates are
+pairs that share SHARED of the words and have cosine NEAR or more; for an item shorter than a
+window, whose direction foreign words around it turn, the shared words alone decide, and for
+any item VERBATIM of them do.  Windows of a text begin every BLOCK words, so of a verbatim copy
+some window holds three quarters of min(item, window) words: none is lost.  Candidates are
+verified on the words themselves.
 
 A document leaks an item if the longest common subsequence of item and neighbourhood holds
 COPIED of the item's words, or PARAPHRASED of them and the item's answer (its last sentence)
@@ -40,6 +44,8 @@ BLOCK = 16
 NEAR = 0.35
 #: Least share of an item window's words among the candidate's, a bound on any common subsequence.
 SHARED = 0.5
+#: The share that makes a candidate whatever the cosine.
+VERBATIM = 0.75
 COPIED = 0.8
 PARAPHRASED = 0.6
 ANSWERED = 0.75
@@ -153,6 +159,7 @@ class Items:
     vectors: np.ndarray  # windows x DIMS, of length one
     owner: np.ndarray  # item of each window
     need: np.ndarray  # words that a window must share
+    enough: np.ndarray  # words that make it a candidate whatever the cosine
     vocabulary: np.ndarray  # sorted hashes of all words of items
     has: np.ndarray  # (vocabulary + 1) x items; the last row is for other words
 
@@ -170,7 +177,7 @@ def _text_words(text: str | None) -> np.ndarray:
 
 
 def prepare(items: list[tuple[object, str | None]], table: np.ndarray) -> Items:
-    ids, words, answers, vectors, owner, need = [], [], [], [], [], []
+    ids, words, answers, vectors, owner, need, enough = [], [], [], [], [], [], []
     for item, text in items:
         own = _text_words(text)
         if len(own) < MIN_ITEM:
@@ -179,6 +186,7 @@ def prepare(items: list[tuple[object, str | None]], table: np.ndarray) -> Items:
         starts, z = _windows(own, table)
         owner += [len(ids)] * len(starts)
         need += [SHARED * min(2 * BLOCK, len(own)) for _ in starts]
+        enough += [(VERBATIM if len(own) >= 2 * BLOCK else SHARED) * min(2 * BLOCK, len(own)) for _ in starts]
         vectors.append(z)
         ids.append(item)
         words.append(own)
@@ -190,7 +198,7 @@ def prepare(items: list[tuple[object, str | None]], table: np.ndarray) -> Items:
     for k, own in enumerate(words):
         has[own, k] = 1
     z = np.concatenate(vectors).astype(np.float32) if vectors else np.zeros((0, DIMS), np.float32)
-    return Items(ids, words, answers, [positions(own) for own in words], z, np.array(owner, np.int64), np.array(need), vocabulary, has)
+    return Items(ids, words, answers, [positions(own) for own in words], z, np.array(owner, np.int64), np.array(need), np.array(enough), vocabulary, has)
 
 
 def positions(words: np.ndarray) -> dict[int, int]:
@@ -246,8 +254,9 @@ def _search(words: np.ndarray, bounds: np.ndarray, items: Items, table: np.ndarr
         span = slice(*np.searchsorted(items.owner, (first, first + ITEM_STEP)))
         shared = _summed_rows(items.has[:, first : first + ITEM_STEP], known, starts, ends, BLOCK)
         shared[:-1] += np.where((doc[:-1] == doc[1:])[:, None], shared[1:], 0).astype(np.uint8)
-        owner, need = items.owner[span] - first, items.need[span]
-        near, at = np.nonzero((shared[:, owner] >= need) & (z @ items.vectors[span].T >= NEAR))
+        owner = items.owner[span] - first
+        both = shared[:, owner]
+        near, at = np.nonzero((both >= items.need[span]) & ((z @ items.vectors[span].T >= NEAR) | (both >= items.enough[span])))
         for window, number in sorted(set(zip(near.tolist(), (owner[at] + first).tolist(), strict=True))):
             own, d = items.words[number], int(doc[window])
             text = known[max(bounds[d], starts[window] - len(own)) : min(bounds[d + 1], starts[window] + 2 * BLOCK + len(own))]

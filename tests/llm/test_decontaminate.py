@@ -74,6 +74,28 @@ def test_paraphrases_are_found_and_recall_measured(spark, sf01):
     assert want > 60 and hit >= 0.9 * want
 
 
+def test_every_verbatim_copy_is_found(spark, sf01):
+    """Those of a larger table, and items put into the middle of texts that have nothing to do with them."""
+    large = sf01.replace("sf0.01", "sf0.1")
+    docs = spark.read.parquet(f"{large}/documents.parquet").select("doc_id", "text")
+    benchmark = spark.read.parquet(f"{large}/benchmark.parquet")
+    items = {r.item_id: words(r.text) for r in benchmark.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng = random.Random(3)
+    hosts = [w for w in map(words, list(texts.values())[:800]) if len(w) > 150]
+    for k in range(1000):
+        item, host = list(items.values())[k % len(items)], rng.choice(hosts)
+        at = rng.randrange(len(host))
+        texts[10**9 + k] = " ".join(host[:at] + item + host[at:])
+    rows = docs.union(spark.createDataFrame([x for x in texts.items() if x[0] >= 10**9], "doc_id long, text string"))
+    found = {r.doc_id: {x["item"] for x in r.leaks if x["share"] > 0} for r in decontaminate.leaks(rows, benchmark).collect()}
+    joined = {d: " " + " ".join(words(x)) + " " for d, x in texts.items()}
+    searched = {i: f" {' '.join(w)} " for i, w in items.items() if len(w) >= decontaminate.MIN_ITEM}
+    copied = {(d, i) for d, x in joined.items() for i, w in searched.items() if w in x}
+    assert len(copied) > 1000
+    assert copied <= {(d, i) for d, own in found.items() for i in own}
+
+
 def test_odd_rows(spark, odd, empty, sf01):
     benchmark = spark.createDataFrame([(1, "the same words again the same words again"), (2, None), (3, "short"), (1, "the same words again the same words again")], "item_id long, text string")
     got = decontaminate.leaks(odd, benchmark)
