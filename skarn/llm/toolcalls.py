@@ -19,6 +19,7 @@ own; a call in a cycle, or behind one, has status ``cycle`` and no level.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -171,8 +172,8 @@ def _parser(tools: dict):
     return parse
 
 
-def _levels(calls: DataFrame, max_rounds: int) -> DataFrame:
-    """(conv, call_id, level) of the linked calls that are in no cycle and behind none."""
+def _levels(calls: DataFrame, max_rounds: int | None) -> DataFrame:
+    """(conv, call_id, level) of the linked calls that are in no cycle and behind none; a chain takes a round per call."""
     needs = cut(calls.select("conv", "call_id", F.explode("needs").alias("need")))
     k, n = calls.select("conv", F.col("call_id").alias("need")).alias("k"), needs.alias("n")
     needs = cut(n.join(k, F.col("n.conv").eqNullSafe(F.col("k.conv")) & (F.col("n.need") == F.col("k.need"))).select("n.conv", "n.call_id", "n.need"))
@@ -181,9 +182,11 @@ def _levels(calls: DataFrame, max_rounds: int) -> DataFrame:
     done = cut(free.withColumn("level", F.lit(0)))
     total = cut(total)
     open_calls = total.count()
-    for _ in range(max_rounds):
+    for k in itertools.count():
         if not open_calls:
             break
+        if k == max_rounds:
+            raise RuntimeError(f"levels are not settled after {max_rounds} rounds")
         d, n, t = done.alias("d"), needs.alias("n"), total.alias("t")
         met = (
             n.join(d, F.col("n.conv").eqNullSafe(F.col("d.conv")) & (F.col("n.need") == F.col("d.call_id")))
@@ -199,7 +202,7 @@ def _levels(calls: DataFrame, max_rounds: int) -> DataFrame:
     return done
 
 
-def link(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tools: dict | None = None, max_rounds: int = 1000) -> DataFrame:
+def link(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tools: dict | None = None, max_rounds: int | None = None) -> DataFrame:
     """conv, turn, seq, role, kind, call_id, status, problem, level, json: a row per turn, call and result."""
     tools = TOOLS if tools is None else tools
     parsed = turns.select(

@@ -1,5 +1,8 @@
+import inspect
 import json
 
+import pytest
+
 from skarn.llm import toolcalls
 from skarn.llm.queries import op1_tool_calls
 
@@ -85,6 +88,14 @@ def test_long_chains_are_ordered(spark):
     assert [r.level for r in sorted(got, key=lambda r: r.turn)] == [2 * k + 1 for k in range(12)]
 
 
+def test_a_bound_on_rounds_is_no_cycle(spark):
+    rows = [(1, k, "assistant", turn(call(f"c{k}", query={"$ref": f"c{k - 1}"} if k else "x"))) for k in range(5)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    with pytest.raises(RuntimeError):
+        toolcalls.link(turns, max_rounds=2)
+    assert inspect.signature(toolcalls.link).parameters["max_rounds"].default is None  # no chain is too long
+
+
 def test_canonical_json():
     assert toolcalls.canonical({"b": [1.0, True, None, 0.5, "é\n"], "a": {}}) == '{"a":{},"b":[1,true,null,0.5,"é\\n"]}'
     assert toolcalls.problem({"query": ""}, toolcalls.TOOLS["search"]) == "$.query: length"
