@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.core.durable import shared_path
+from skarn.core.durable import discard, shared_path
 from skarn.llm import decontaminate, mixing, neardup, quality, secrets
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -56,11 +56,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; a stage's folder goes once its successor's is complete."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = shared_path(spark, f"stage{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before is not None:
+                discard(spark, before)
+            before = path
     return docs

@@ -22,9 +22,9 @@ def brute(edges):
     return {x: find(x) for x in root}
 
 
-@pytest.mark.parametrize("finish", [0, 200, components.FINISH])
-def test_random_paths_hubs_and_loops(spark, monkeypatch, finish):
-    monkeypatch.setattr(components, "FINISH", finish)
+@pytest.mark.parametrize("rows", [100, components.PART_ROWS])
+def test_random_paths_hubs_and_loops(spark, monkeypatch, rows):
+    monkeypatch.setattr(components, "PART_ROWS", rows)
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(1000, 1400)]  # a long path
     edges += [(5000, 5001 + k) for k in range(700)]  # a hub
