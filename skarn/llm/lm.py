@@ -314,14 +314,14 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
     return tree, tokens.unionByName(others.withColumn("n", F.lit(0).cast("long")))
 
 
-SCORED = "row long, row_id long, held boolean, token long, tf long, n_tokens long, n_known long, logs double, gains double"
+SCORED = "row long, row_id {id}, held boolean, token long, tf long, n_tokens long, n_known long, logs double, gains double"
 
 
 def score(docs: DataFrame, tree: Tree, table: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """row_id, held, n_tokens, n_known, base_score, score for every row."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(tree)
-    schema = pa.schema([(n, {"boolean": pa.bool_(), "double": pa.float64()}.get(k, pa.int64())) for n, k in (x.split() for x in SCORED.split(", "))])
+    names = [x.split()[0] for x in SCORED.split(", ")]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = held.value
@@ -366,12 +366,12 @@ def score(docs: DataFrame, tree: Tree, table: DataFrame, id_col: str = "doc_id",
                         pa.array(np.concatenate([base, np.zeros(m)])),
                         pa.array(np.concatenate([gains, np.zeros(m)])),
                     ],
-                    schema=schema,
+                    names,
                 )
             row += batch.num_rows
 
-    source = docs.select(F.col(id_col).cast("long").alias("row_id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
-    walked = source.mapInArrow(walk, SCORED)
+    source = docs.select(F.col(id_col).alias("row_id"), held_out(F.col(id_col)).alias("held"), F.col(text_col).alias("text"))
+    walked = source.mapInArrow(walk, SCORED.format(id=source.schema["row_id"].dataType.simpleString()))
     joined = walked.join(table.withColumnsRenamed({"code": "token", "n": "c", "gain": "more"}), "token", "left")  # a word has a row for its count and one for its gain
     c = F.when(F.col("tf") > 0, F.coalesce("c", F.lit(0))).otherwise(0)
     sums = joined.groupBy("row").agg(

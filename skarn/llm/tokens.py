@@ -1,8 +1,10 @@
 """Word hashes of Arrow text columns, without a Python object per word.
 
-The bytes of several texts are split and hashed together in numpy: a polynomial hash of every
-word comes from one cumulative sum over the bytes.  Words are 64-bit values from here on; with
-10**9 distinct words about 0.03 pairs are expected to share a value.
+The bytes of several texts are split and hashed together in numpy.  Every pair of a byte and its
+place in the word stands for a scrambled 64-bit value; a word's hash is the scrambled sum of its
+values (tabulation hashing), which one cumulative sum over the bytes gives.  Words are 64-bit
+values from here on; with 10**9 distinct words about 0.03 pairs are expected to share a value,
+and, unlike with a polynomial modulo a power of two, no regular words are sure to.
 """
 
 from __future__ import annotations
@@ -16,22 +18,6 @@ SPACES = b" \t\n\x0b\x0c\r"
 #: Texts are hashed together up to so many bytes; a longer text is hashed on its own, whole.
 CHUNK = 1 << 20
 
-_BASE = 0xD1B54A32D192ED03
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = np.ones((2, 1), np.uint64)
-
-
-def _tables(n: int) -> np.ndarray:
-    """Powers of the base and of its inverse."""
-    global _powers
-    if _powers.shape[1] < n:
-        size = max(n, CHUNK + 1)
-        _powers = np.ones((2, size), np.uint64)
-        for row, factor in zip(_powers, (_BASE, _INVERSE), strict=True):
-            np.cumprod(np.full(size - 1, factor, np.uint64), out=row[1:])
-    return _powers
-
-
 def separators(extra: bytes = b"") -> np.ndarray:
     table = np.zeros(256, bool)
     table[list(SPACES + extra)] = True
@@ -86,7 +72,9 @@ def _hash(piece: np.ndarray, rel: np.ndarray, table: np.ndarray) -> tuple[np.nda
     closes[rel[1:][rel[1:] > 0] - 1] = True
     word = ~space
     starts, ends = np.flatnonzero(word & opens), np.flatnonzero(word & closes) + 1
-    powers = _tables(n + 1)
+    place = np.arange(n, dtype=np.uint64)  # within the word; what follows a word does not matter
+    place -= np.repeat(np.append(np.uint64(0), starts.astype(np.uint64)), np.diff(np.concatenate([[0], starts, [n]])))
+    values = _mixed((place << np.uint64(8) | LOWER[piece]) + np.uint64(0x9E3779B97F4A7C15))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((LOWER[piece].astype(np.uint64) + np.uint64(1)) * powers[0, :n], out=sums[1:])
-    return _mixed((sums[ends] - sums[starts]) * powers[1, starts]), np.searchsorted(starts, rel)
+    np.cumsum(values, out=sums[1:])
+    return _mixed(sums[ends] - sums[starts]), np.searchsorted(starts, rel)
