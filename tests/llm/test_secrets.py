@@ -76,6 +76,36 @@ def test_queries_hold_in_what_matches(rule):
         assert all(any(all(g in text for g in alternative) for alternative in clause) for clause in trigrams.query(rule.pattern))
 
 
+def test_time_is_linear_in_the_text(spark):
+    """Prose of hex letters with many short runs, and very many matches."""
+    import time
+
+    def seconds(text):
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        got = secrets.scan(docs).first()
+        took = time.perf_counter() - start
+        base = [s for s in got.secret_spans if s.order < 3]
+        assert tuple(sum(s.order == k for s in base) for k in range(3)) == brute(text)[:3]
+        return took
+
+    prose = "a bad decade faced abed " * 42_000 + "0123456789abcdef0123456789abcdef"
+    many = " ".join(f"token={k:08d}" for k in range(50_000))
+    seconds("warm up token=abcdefgh")
+    assert len(prose) > 1_000_000 and seconds(prose) < 10 and seconds(many) < 20
+    start = time.perf_counter()
+    assert secrets.redact(spark.createDataFrame([(1, many)], "doc_id long, text string")).first().text == " ".join(["<SECRET>"] * 50_000)
+    assert time.perf_counter() - start < 20
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "token=abcdefgh", 7, 8, "x"), (None, "a" * 30, 7, 8, "y")], "doc_id long, text string, secret_spans int, rules int, row string")
+    got = secrets.scan(docs)
+    assert got.columns == ["doc_id", "text", "rules", "row", "secret_spans"]
+    assert {r.row: len(r.secret_spans) for r in got.collect()} == {"x": 1, "y": 1}
+    assert secrets.redact(docs).columns == docs.columns
+
+
 def test_rules_without_trigrams():
     assert trigrams.query(secrets.HEX.pattern) == []
     assert trigrams.query("ab.cd") == [] and trigrams.query("abc|de") == []
