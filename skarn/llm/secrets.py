@@ -109,9 +109,9 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
 
 def promising(text: Column, rules: tuple[Rule, ...]) -> Column:
     """Whether a text holds an alternative of some rule's first clause; what no document without it can match."""
-    low = F.lower(text)
-    every = {a for q in _queries(rules)[0].values() for a in q[0]}
-    return reduce(Column.__or__, (reduce(Column.__and__, (low.contains(g) for g in sorted(a))) for a in sorted(every, key=sorted)), F.lit(False))
+    every = sorted({a for q in _queries(rules)[0].values() for a in q[0]}, key=sorted)
+    holds = lambda low: reduce(Column.__or__, (reduce(Column.__and__, (low.contains(g) for g in sorted(a))) for a in every), F.lit(False))
+    return F.exists(F.array(F.lower(text)), holds)  # lower-cased once for all trigrams
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:

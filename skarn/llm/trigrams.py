@@ -20,7 +20,8 @@ Clause = frozenset[Alternative]
 
 
 def grams(text: str) -> Alternative:
-    return frozenset(text[k : k + 3] for k in range(len(text) - 2))
+    """The fewest trigrams that cover the string: every third, and the last."""
+    return frozenset(text[k : k + 3] for k in {*range(0, len(text) - 2, 3), len(text) - 3})
 
 
 def _strings(node) -> set[str] | None:
