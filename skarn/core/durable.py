@@ -30,9 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder; the result no longer depends on its inputs."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into the shared folder; the result no longer depends on its inputs.
+
+    A written table has its real size: a checkpoint keeps the estimate of the plan behind it, which
+    multiplies over joins and rounds until planning itself takes minutes.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
