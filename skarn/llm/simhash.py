@@ -12,7 +12,8 @@ links is emitted instead of the links, which keeps every class whole.
 
 Defined results: a null or wordless text has fingerprint zero and links like any other; fewer
 than three words form one shingle; repeated rows each give a row; a null id takes part but is
-never the id of a component unless the component has no other (then it is null).
+never the id of a component unless the component has no other (then it is null); very long texts
+are read whole; an empty table gives no rows; further columns are left out, so names can't clash.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from skarn.operators.components import connected_components
 SEED = 42
 WORDS = 3
 BITS = 2
+#: Fingerprints that hold more than one in so many of all rows meet their class by broadcast: never more than HOT_SHARE rows.
+HOT_SHARE = 1000
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -125,7 +128,8 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
     """(src, dst) links that join distinct fingerprints (column ``fp``) into their classes."""
     if not 0 <= bits <= 2:
         raise ValueError("radius 1 plus half the threshold is laid out for up to 2 bits")
-    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # 32 rows come of each
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = fps.select("fp").repartition(parts, F.xxhash64("fp"))  # 32 rows come of each; by fp itself it would be merged with a shuffle before it and coalesced
     dealt = spread.select(F.explode(anchors(F.col("fp"))).alias("anchor"), "fp").repartition("anchor").sortWithinPartitions("anchor")
     return dealt.mapInArrow(_linker(bits), "src long, dst long")
 
@@ -133,13 +137,19 @@ def links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """(id, fp, component) for every row; component is the least id reachable over links."""
     fps = cut(docs.select(F.col(id_col).alias("id"), _fingerprints(F.col(text_col)).alias("fp")))
-    distinct = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = cut(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     classes = connected_components(links(distinct, bits))
     named = cut(
-        distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+        distinct.join(classes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("root"))
     )
     least = cut(named.groupBy("root").agg(F.min("least").alias("component")))
-    return fps.join(named.join(least, "root").select("fp", "component"), "fp").select("id", "fp", "component")
+    final = cut(named.join(least, "root").select("fp", "copies", "component"))
+    rows = final.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
+    common = F.col("copies") * HOT_SHARE > rows  # so at most HOT_SHARE fingerprints
+    hot = final.where(common).select("fp", F.struct("component").alias("of_hot"))
+    marked = fps.join(F.broadcast(hot), "fp", "left")
+    rest = marked.where("of_hot is null").select("id", "fp").join(final.where(~common).select("fp", "component"), "fp")
+    return marked.where("of_hot is not null").select("id", "fp", F.col("of_hot.component").alias("component")).unionByName(rest.select("id", "fp", "component"))
 
 
 def hex_digits(fp: Column) -> Column:
