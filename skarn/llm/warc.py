@@ -12,7 +12,9 @@ the package is complete, so lost executors leave no half package in the list.
 
 Defined results: a null html is an empty payload, a null url gives a record without target; all
 records with a payload under LEAST bytes, or with the smallest id of their payload (repeated
-rows too), are responses; null ids are never the smallest unless there is no other.
+rows too), are responses; null ids are never the smallest unless there is no other.  Ids may be of
+any type that a cast to text and back keeps.  An empty table writes no package and reads no rows;
+further columns of the input are left out, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -38,6 +41,8 @@ LEAST = 100
 PACKAGE_BYTES = 1 << 28
 #: A range read covers so many bytes or records at most, and one record at least.
 RUN_BYTES, RUN_RECORDS = 1 << 20, 256
+#: A reading task covers about so many bytes of packages; tables below that are spread over all shuffle partitions.
+TASK_BYTES = 1 << 27
 DATE = "1970-01-01T00:00:00Z"
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
@@ -148,7 +153,7 @@ def member(file, entry: tuple[int, int, int, int]) -> tuple[int, int]:
 
 def record(page, url: str | None, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
     """One gzip member with a WARC record."""
-    name = lambda x: f"<urn:page:{'' if x is None else x}>"
+    name = lambda x: "<urn:page>" if x is None else f"<urn:page:{quote(x, safe='')}>"
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
@@ -186,9 +191,8 @@ def _open(path: str):
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
 
 
-def _page(name: str) -> int | None:
-    found = name.removeprefix("<urn:page:").removesuffix(">")
-    return int(found) if found else None
+def _page(name: str) -> str | None:
+    return unquote(name.removeprefix("<urn:page:").removesuffix(">")) if name != "<urn:page>" else None
 
 
 def _writer(folder: str, package_bytes: int, zip64: bool):
@@ -221,7 +225,7 @@ def _writer(folder: str, package_bytes: int, zip64: bool):
                     packer.begin(ARCHIVE)
                 data = record(row["page"], row["url"], (row["html"] or "").encode("utf-8", "surrogatepass"), row["digest"], row["kind"], row["refers_to"])
                 where = {"offset": packer.size, "length": len(data), "status": 200}
-                index.append(f"{'' if row['page'] is None else row['page']} {DATE} {json.dumps(where)}\n")
+                index.append(f"{quote(row['page'] or '', safe='')} {DATE} {json.dumps(where)}\n")
                 packer.write(data)
                 if packer.at >= package_bytes:
                     close()
@@ -238,14 +242,14 @@ def write_packages(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes every row as a record; returns (path, bytes, records) of the packages."""
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(
-        F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("size")
+        F.col(id_col).alias("page"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).cast("long").alias("size")
     )
     shared = (
         rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
     )
     again = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     records = rows.join(shared, "digest", "left").select(
-        "page", "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to")
+        F.col("page").cast("string").alias("page"), "url", "html", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first").cast("string")).alias("refers_to")
     )
     return cut(records.mapInArrow(_writer(folder, package_bytes, zip64), "path string, bytes long, records long"))
 
@@ -281,8 +285,8 @@ def _locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(runs)
 
 
-_READ = "page long, url string, payload_bytes long, payload_digest string, kind string, refers_to long"
-_READ_SCHEMA = pa.schema([("page", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("kind", pa.string()), ("refers_to", pa.int64())])
+_READ = "page string, url string, payload_bytes long, payload_digest string, kind string, refers_to string"
+_READ_SCHEMA = pa.schema([("page", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("kind", pa.string()), ("refers_to", pa.string())])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,12 +314,17 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, schema=_READ_SCHEMA)
 
 
-def read_packages(packages: DataFrame) -> DataFrame:
+def read_packages(packages: DataFrame, id_type: str = "string") -> DataFrame:
     """page, url, payload_bytes, payload_digest, kind, refers_to of every record of packages (path, bytes)."""
+    spark = packages.sparkSession
+    size = packages.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))  # a number, so that runs are not coalesced for being short rows
     runs = packages.select("path", "bytes").mapInArrow(_locate, "path string, start long, length long")
-    return runs.repartition("path", "start").mapInArrow(_fetch, _READ)
+    found = runs.repartition(tasks, "path", "start").mapInArrow(_fetch, _READ)
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page", "refers_to")})
 
 
-def round_trip(pages: DataFrame, **options) -> DataFrame:
+def round_trip(pages: DataFrame, id_col: str = "page_id", **options) -> DataFrame:
     """Writes the pages to packages in the shared folder and reads them back."""
-    return read_packages(write_packages(pages, shared_path(pages.sparkSession, "wacz"), **options))
+    packages = write_packages(pages, shared_path(pages.sparkSession, "wacz"), id_col, **options)
+    return read_packages(packages, pages.schema[id_col].dataType.simpleString())
