@@ -4,8 +4,12 @@ Word hashes are combined into rolling hashes of each n-gram length in numpy; the
 repeated n-gram are marked once and their characters added up, so overlapping repeats do not
 count twice.  A text is kept unless one of the shares is above its threshold.
 
+The shares decide alike for short and long texts; what a text has twice by accident stays under
+them from some 60 words on.
+
 Defined results: a null or wordless text has no words and is not kept (fewer than 50 words);
-repeated rows each give a row; lines without a word never count.
+repeated rows each give a row; lines without a word never count; an empty table gives no rows;
+columns ``repetition``, ``base_failed`` and ``kept`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -20,8 +24,6 @@ from xxhash import xxh64_intdigest
 #: Largest share of word characters inside repeated n-grams, by n (published web-text rules).
 NGRAM_SHARES = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
 LINE_SHARE = 0.20
-#: Fewer repeated characters than this are no evidence against a text: a short text may have a heading or a line twice.
-LEAST_REPEATED = 200
 MIN_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -90,11 +92,10 @@ def _measures(text: pa.Array) -> pa.Array:
 
 def repetition(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct ``repetition`` of the measures, ``base_failed`` and ``kept``."""
-    out = docs.withColumn("repetition", _measures(F.col(text_col)))
+    out = docs.drop("repetition", "base_failed", "kept").withColumn("repetition", _measures(F.col(text_col)))
     r = F.col("repetition")
     failed = (r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > 50 * r["n_words"])
-    bad = (r["line_share"] > LINE_SHARE) & (r["dup_line_chars"] >= LEAST_REPEATED)
+    bad = r["line_share"] > LINE_SHARE
     for k, limit in enumerate(NGRAM_SHARES.values()):
-        share = r["ngram_shares"][k]
-        bad = bad | ((share > limit) & (share * r["word_chars"] >= LEAST_REPEATED))
+        bad = bad | (r["ngram_shares"][k] > limit)
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~bad)
