@@ -4,11 +4,12 @@ Heuristic labellers vote bad, good or abstain on whole texts.  The votes of all
 counted by pattern (at most 3**labellers patterns, whatever the size of the table);
 expectation-maximisation over those counts estimates how often each labeller votes what on good
 and on bad documents, and gives each pattern its posterior.  The posteriors of a bounded,
-hash-chosen sample (SAMPLE_ROWS expected rows) train a logistic scorer over hashed word shapes
+hash-chosen sample (SAMPLE_ROWS expected rows, repeated rows once) train a logistic scorer over hashed word shapes
 and binned measures, which then scores every text.
 
 Defined results: a null or wordless text gets the votes of an empty one and is rejected by the
-rule EMPTY_KEPT; repeated rows each give a row; an empty table gives no rows.
+rule EMPTY_KEPT; a score of exactly one half keeps; repeated rows each give a row; an empty table
+gives no rows; columns ``quality_score`` and ``quality_keep`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -157,8 +158,10 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_
     counts = {r["p"]: r["count"] for r in docs.select(_patterns(text).alias("p")).groupBy("p").count().collect()}
     posterior = posteriors(counts)
     share = min(1.0, sample_rows / max(1, sum(counts.values())))
-    chosen = F.pmod(F.xxhash64(F.lit(SEED), F.col(id_col), text), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
-    sample = docs.where(chosen).select(text.alias("text")).select(_examples("text").alias("e")).select("e.*").collect()
+    keyed = docs.select(F.xxhash64(F.lit(SEED), F.col(id_col), text).alias("key"), text.alias("text"))
+    chosen = keyed.where(F.pmod("key", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).dropDuplicates(["key"])
+    sample = chosen.select("key", _examples("text").alias("e")).select("key", "e.*").collect()
+    sample.sort(key=lambda r: r.key)  # sums in one order, so that reruns agree
     return train([(r.slots, r["values"], posterior[r.pattern]) for r in sample])
 
 
