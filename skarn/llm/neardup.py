@@ -6,8 +6,9 @@ the one from the other.  Decision: a pair that meets in a band is linked only if
 similarity of the two sets, taken from the sets themselves, is SIMILAR or more.
 
 Under each band key all are first compared with one of them, so a large group of copies costs a
-link per member; then every pair of one key whose ends are not yet in one class is compared.
-No group is cut short: the pairs are a join by key that can be split at any size.
+link per member.  Of the keys whose members are then in several classes, members are compared by
+their MinHash values, block of BLOCK with block, and what is likely similar is verified.  No group
+is cut short, gathered in a task or written out as all its pairs.
 
 Texts with equal sets are one node.  Links of the exact operator (``simhash``: three-word
 shingles, two bits of 64) are added, so its classes are never split here.
@@ -34,94 +35,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS = 20
 ROWS = 7
-LIMIT = 25  # of 128 bits
-#: So many signatures of one anchor are held at a time; beyond them one of each class found so far goes on.
-HELD = 20_000
-
-def _flips() -> np.ndarray:
-    """For each syndrome of the Hamming code of length 31, the 16 pairs of flips that end in a code word."""
-    bit = lambda i: 1 << (i - 1) if i else 0
-    return np.array([[bit(i) ^ bit(i ^ s) for i in range(32) if i < i ^ s] if s else [0] * 16 for s in range(32)], np.uint64)
-
-
-FLIPS = _flips()
-_CHECKS = [np.uint64(sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1)) for k in range(5)]
-
-
-def anchors(sub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(n x 16) anchors of 31-bit values, and which of them count (a code word has itself alone)."""
-    syndrome = np.zeros(len(sub), np.int64)
-    for k, check in enumerate(_CHECKS):
-        syndrome |= (np.bitwise_count(sub & check).astype(np.int64) & 1) << k
-    found = sub[:, None] ^ FLIPS[syndrome]
-    counts = np.ones(found.shape, bool)
-    counts[syndrome == 0, 1:] = False
-    return found, counts
-
-
-def group_links(node: np.ndarray, sig: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    """Forest links (from, to) of one anchor's signatures (n x 2), and one index per class."""
-    src: list[int] = []
-    dst: list[int] = []
-    firsts: list[int] = []
-    left = np.arange(len(node))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        firsts.append(int(queue[0]))
-        while queue and len(left):
-            at = queue.pop()
-            near = np.bitwise_count(sig[left] ^ sig[at]).sum(1, dtype=np.int64) <= LIMIT
-            if near.any():
-                new = left[near]
-                src += node[new].tolist()
-                dst += [int(node[at])] * len(new)
-                queue += new.tolist()
-                left = left[~near]
-    return src, dst, firsts
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links under each anchor; rows come sorted by key."""
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    rows = 0
-
-    def flush(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, rows
-        key, node = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        sig = np.concatenate([h[2] for h in held])
-        edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(edges[1:], len(key))
-        if not last:
-            edges, ends, tail = edges[:-1], ends[:-1], int(edges[-1])
-        else:
-            tail = len(key)
-        size = ends - edges
-        two = edges[size == 2]
-        near = two[np.bitwise_count(sig[two] ^ sig[two + 1]).sum(1, dtype=np.int64) <= LIMIT]
-        src, dst = node[near].tolist(), node[near + 1].tolist()
-        for a, b in zip(edges[size > 2].tolist(), ends[size > 2].tolist(), strict=True):
-            x, y, _ = group_links(node[a:b], sig[a:b])
-            src += x
-            dst += y
-        rest = slice(tail, len(key))
-        if len(key) - tail > HELD:
-            x, y, firsts = group_links(node[rest], sig[rest])
-            src += x
-            dst += y
-            rest = tail + np.array(firsts)
-        held = [(key[rest], node[rest], sig[rest])]
-        rows = len(held[0][0])
-        if src:
-            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
-
-    for batch in batches:
-        key, node, s0, s1 = (batch.column(k).to_numpy() for k in range(4))
-        held.append((key, node, np.stack([s0, s1], 1).view(np.uint64)))
-        rows += len(key)
-        if rows >= 2 * HELD:
-            yield from flush(False)
-    if rows:
-        yield from flush(True)
+#: Members of a key that are compared with as many others in one go.
+BLOCK = 2048
+#: Estimated similarity from which a pair is verified; of pairs at 0.8 three in 2,000 are estimated lower.
+PROMISING = 0.7
 
 
 _RANDOM = np.random.default_rng(5).integers(0, 1 << 63, (3, BANDS * ROWS), np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,23 +63,83 @@ def _node(own: np.ndarray) -> int:
     return xxh3_64_intdigest(own.tobytes())
 
 
-def bands(own: np.ndarray) -> np.ndarray:
-    """A set's keys, one for each band."""
-    salt, factor, fold = _RANDOM
+def minima(own: np.ndarray) -> np.ndarray:
+    """BANDS * ROWS MinHash values of a set."""
+    salt, factor, _ = _RANDOM
     least = np.full(len(salt), np.iinfo(np.uint64).max)
     for k in range(0, len(own), 4096):
         least = np.minimum(least, ((own[k : k + 4096] ^ salt[:, None]) * factor[:, None]).min(1))
-    return _mixed((least * fold).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """The keys of a set, one for each band of its values."""
+    return _mixed((least * _RANDOM[2]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+
+
+_SIGNED = [("fp", T.LongType(), pa.int64()), ("node", T.LongType(), pa.int64()), ("keys", T.ArrayType(T.LongType()), None), ("sig", T.BinaryType(), pa.binary())]
 
 
-@F.arrow_udf(T.StructType([T.StructField("fp", T.LongType()), T.StructField("node", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+@F.arrow_udf(T.StructType([T.StructField(n, t) for n, t, _ in _SIGNED]))
 def _signed(text: pa.Array) -> pa.Array:
+    """SimHash fingerprint, set, band keys, and a byte of every MinHash value."""
     fps = np.fromiter((simhash.fingerprint(x.as_py()) for x in text), np.uint64, len(text))
     nodes, keys = np.zeros(len(text), np.uint64), np.zeros((len(text), BANDS), np.uint64)
+    sigs = []
     for k, own in enumerate(shingle_sets(text)):
-        nodes[k], keys[k] = _node(own), bands(own)
+        least = minima(own)
+        nodes[k], keys[k] = _node(own), bands(least)
+        sigs.append(least.astype(np.uint8).tobytes())
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-    return pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), lists], ["fp", "node", "keys"])
+    return pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), lists, pa.array(sigs, pa.binary())], [n for n, _, _ in _SIGNED])
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(src, dst) of unlike classes that are likely similar, of rows (key, p, q, block, node, component, sig) sorted by the first three."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def compared(last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows
+        table = pa.Table.from_batches(held)
+        key, p, q, block, node, component = (table.column(k).to_numpy() for k in range(6))
+        new = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
+        starts, ends = np.append(0, new), np.append(new, len(key))
+        if not last:
+            starts, ends = starts[:-1], ends[:-1]
+        tail = ends[-1] if len(ends) else 0
+        sig = np.frombuffer(b"".join(table.column(6).slice(0, tail).to_pylist()), np.uint8).reshape(tail, BANDS * ROWS)
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            same = p[a] == q[a]
+            one = np.arange(a, b) if same else a + np.flatnonzero(block[a:b] == p[a])
+            two = one if same else a + np.flatnonzero(block[a:b] == q[a])
+            for k, row in enumerate(one.tolist()):
+                others = two[k + 1 :] if same else two
+                others = others[component[others] != component[row]]
+                equal = np.count_nonzero(sig[others] == sig[row], axis=1) / (BANDS * ROWS)
+                near = others[(equal - 1 / 256) / (255 / 256) >= PROMISING]
+                if len(near):
+                    ends_ = np.sort(np.stack([np.full(len(near), node[row]), node[near]]), 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(ends_[0]), pa.array(ends_[1])], ["src", "dst"])
+        rest = table.slice(tail).combine_chunks()
+        held, rows = rest.to_batches(), rest.num_rows
+
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 4 * BLOCK:
+            yield from compared(False)
+    if rows:
+        yield from compared(True)
+
+
+def _within(placed: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(src, dst) under one key, in unlike classes and likely similar; members meet block by block, so no task sees more than two blocks of a key."""
+    sizes = cut(placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    dealt = placed.join(sizes, "key").join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    met = dealt.select("key", "block", "node", "component", "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "sig")
+    return met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_promising, "src long, dst long").distinct()
 
 
 @F.arrow_udf(T.DoubleType())
@@ -222,8 +199,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = cut(met.select("key", "node").join(found, "node"))
     apart = cut(placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("apart")).where("apart").select("key"))
     placed = cut(placed.join(apart, "key"))
-    a, b = (placed.select("key", F.col("node").alias(n), F.col("component").alias(f"{n}_class")) for n in ("src", "dst"))
-    rest = a.join(b, "key").where("src < dst and src_class <> dst_class").select("src", "dst").distinct()
+    rest = _within(placed, named.groupBy("node").agg(F.first("sig").alias("sig")))
     rest = cut(rest.join(pairs, ["src", "dst"], "left_anti"))
     more = _verified(rest, sets)
     found = connected_components(more.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst"))))

@@ -64,17 +64,6 @@ def test_classes_against_all_pairs(spark, sf01):
             assert seen == own
 
 
-def test_anchor_cover():
-    rng = np.random.default_rng(1)
-    x = rng.integers(0, 2**31, 3000).astype(np.uint64)
-    y = x.copy()
-    for _ in range(2):
-        y ^= np.uint64(1) << rng.integers(0, 31, len(y)).astype(np.uint64)
-    (a, ca), (b, cb) = neardup.anchors(x), neardup.anchors(y)
-    for k in range(len(x)):
-        assert set(a[k][ca[k]]) & set(b[k][cb[k]])
-
-
 def test_keep_one_and_odd_rows(spark, odd, empty):
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns
@@ -83,19 +72,6 @@ def test_keep_one_and_odd_rows(spark, odd, empty):
     assert neardup.keep_one(empty).count() == 0
 
 
-def test_large_groups_are_split(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(neardup, "HELD", 50)
-    n = 400
-    key, node = np.zeros(n, np.int64), np.arange(n)
-    sig = np.zeros((n, 2), np.int64)
-    sig[:, 0] = 1 << (np.arange(n) % 20)
-    batch = lambda k: pa.RecordBatch.from_arrays([pa.array(x[k : k + 30]) for x in (key, node, sig[:, 0].copy(), sig[:, 1].copy())], ["key", "node", "s0", "s1"])
-    links = [(s, d) for b in neardup._meet(batch(k) for k in range(0, n, 30)) for s, d in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)]
-    assert len({x for pair in links for x in pair}) == n and len(links) == n - 1
-
-
 def jaccard(a, b):
     a, b = shingles(a), shingles(b)
     return len(a & b) / len(a | b)
@@ -135,10 +111,27 @@ def test_texts_below_the_similarity_stay_apart(spark):
 
 def test_a_chain_of_near_copies_is_one_class(spark, monkeypatch):
     """The ends are unlike; each is like its neighbours alone."""
-    monkeypatch.setattr(neardup, "HELD", 20)
+    monkeypatch.setattr(neardup, "BLOCK", 5)
     rng = np.random.default_rng(10)
     own = made(rng, 2000, "w")
     docs = [(k, " ".join(own[12 * k : 12 * k + 400])) for k in range(130)]
     assert jaccard(docs[0][1], docs[-1][1]) == 0
     got = {r.component for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {0}
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    """Many texts that share a template, in pairs alike: whatever the size of a block, the same classes."""
+    rng = np.random.default_rng(12)
+    template = made(rng, 240, "t")
+    docs = []
+    for k in range(60):
+        own = template + made(rng, 120, f"own{k}w")
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, edit(" ".join(own), rng, 0.01))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    got = []
+    for size in (7, 2048):
+        monkeypatch.setattr(neardup, "BLOCK", size)
+        got.append({r.id: r.component for r in neardup.classes(table).collect()})
+    assert got[0] == got[1]
+    assert all(got[0][2 * k + 1] == got[0][2 * k] for k in range(60)) and len(set(got[0].values())) == 60
