@@ -74,6 +74,45 @@ def test_paraphrases_are_found_and_recall_measured(spark, sf01):
     assert want > 60 and hit >= 0.9 * want
 
 
+def test_synonym_edits_are_found(spark, sf01):
+    """Three words in ten replaced, or foreign words put between, the answer as it is: nine in ten are found."""
+    rng = random.Random(11)
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text")
+    hosts = [w for w in (words(r.text) for r in docs.limit(400).collect()) if len(w) > 150]
+    items = spark.read.parquet(f"{sf01}/benchmark.parquet").collect()
+    planted = []
+    for k in range(160):
+        text = items[k % len(items)].text
+        sentences = [s for s in text.replace("\n", ". ").split(". ") if len(words(s)) >= 3]
+        answer = words(sentences[-1])
+        body = words(text)
+        body = body[: len(body) - len(answer)] if body[-len(answer) :] == answer else body
+        said = [f"syn{rng.randrange(999)}" if rng.random() < 0.3 else w for w in body] if k % 2 else [x for w in body for x in ([w, "well"] if rng.random() < 0.3 else [w])]
+        host = rng.choice(hosts)
+        at = rng.randrange(len(host))
+        planted.append((10_000 + k, " ".join(host[:at] + said + answer + host[at:])))
+    table = docs.union(spark.createDataFrame(planted, "doc_id long, text string"))
+    found = {r.doc_id: {x["item"] for x in r.leaks if x["share"] > 0} for r in decontaminate.leaks(table, spark.createDataFrame(items)).collect()}
+    want = hit = 0
+    for k, (d, text) in enumerate(planted):
+        item = items[k % len(items)]
+        w, own = words(text), words(item.text)
+        if max(brute_common(own, w[a : a + 2 * len(own) + 32]) for a in range(0, len(w), 16)) >= 0.6 * len(own):
+            want += 1
+            hit += item.item_id in found[d]
+    assert want > 120 and hit >= 0.9 * want
+
+
+def test_short_items_and_names(spark):
+    """Items of any length and type of id; short ones as whole runs of words, within one text."""
+    items = spark.createDataFrame([("a", "Two words"), ("b", "one"), ("c", "seven words of a very short item"), ("d", ""), ("e", "two words")], "item_id string, text string")
+    texts = ["these two, words!", "two", "words two", "ONE", "the seven words of a very short item.", "seven words of a very short", None]
+    docs = spark.createDataFrame([(k, t, "l") for k, t in enumerate(texts)], "doc_id long, text string, leaks string")
+    got = decontaminate.leaks(docs, items)
+    assert got.columns == docs.columns
+    assert {r.doc_id: [x["item"] for x in r.leaks] for r in got.collect()} == {0: ["a", "e"], 1: [], 2: [], 3: ["b"], 4: ["c"], 5: [], 6: []}
+
+
 def test_every_verbatim_copy_is_found(spark, sf01):
     """Those of a larger table, and items put into the middle of texts that have nothing to do with them."""
     large = sf01.replace("sf0.01", "sf0.1")
@@ -90,7 +129,7 @@ def test_every_verbatim_copy_is_found(spark, sf01):
     rows = docs.union(spark.createDataFrame([x for x in texts.items() if x[0] >= 10**9], "doc_id long, text string"))
     found = {r.doc_id: {x["item"] for x in r.leaks if x["share"] > 0} for r in decontaminate.leaks(rows, benchmark).collect()}
     joined = {d: " " + " ".join(words(x)) + " " for d, x in texts.items()}
-    searched = {i: f" {' '.join(w)} " for i, w in items.items() if len(w) >= decontaminate.MIN_ITEM}
+    searched = {i: f" {' '.join(w)} " for i, w in items.items() if w}
     copied = {(d, i) for d, x in joined.items() for i, w in searched.items() if w in x}
     assert len(copied) > 1000
     assert copied <= {(d, i) for d, own in found.items() for i in own}
