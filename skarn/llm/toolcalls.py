@@ -10,15 +10,19 @@ seq) puts everything behind what it needs.  Arguments are checked against the to
 all JSON is written canonically (sorted keys, no blanks, shortest numbers).
 
 A conversation is never gathered in one task: rows are keyed by identifier within conversation,
-and levels are columns to sort by.
+and levels are columns to sort by.  A round of levels touches only the calls settled in the round
+before and what still waits for them; there are as many rounds as the longest chain has calls.
 
-Defined results: a null text is empty; text that is not well-formed JSON is plain; repeated rows
-each give rows, all but one of them with status ``duplicate``; a null conversation is one of its
-own; a call in a cycle, or behind one, has status ``cycle`` and no level.
+Defined results: a null text is empty; text that is not well-formed JSON is plain; a lone surrogate
+escape in JSON stays an escape; texts of any length are read whole; repeated rows each give rows,
+of calls and results all but the first by place are ``duplicate`` and identical ones share a status;
+a null conversation is one of its own; a call in a cycle, or behind one, has status ``cycle`` and no
+level; an empty table gives no rows; further columns are left out, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import math
@@ -36,9 +40,15 @@ TOOLS: dict[str, dict] = {
     "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
     "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
 }
+_LONE = re.compile("[\ud800-\udfff]")
 _TAGS = re.compile(r"<tool_(call|response)>(.*?)</tool_\1>", re.S)
 
 
+def plain(text: str) -> str:
+    """The text with lone surrogates, which UTF-8 does not have, as escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
 def canonical(value) -> str:
     """JSON with sorted keys and no blanks; equal values have equal text."""
     if isinstance(value, bool) or value is None or isinstance(value, int):
@@ -48,7 +58,7 @@ def canonical(value) -> str:
             raise ValueError("not a JSON number")
         return str(int(value)) if value.is_integer() and abs(value) < 2**53 else repr(value)
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        return plain(json.dumps(value, ensure_ascii=False))
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
     return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value)) + "}"
@@ -70,14 +80,36 @@ def problem(value, schema: dict, at: str = "$") -> str | None:
         return None  # another call's result stands here
     if kind and not any(fits[k] for k in ([kind] if isinstance(kind, str) else kind)):
         return f"{at}: not {kind}"
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         return f"{at}: not in enum"
-    if isinstance(value, str) and not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
-        return f"{at}: length"
-    if fits["number"] and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        return f"{at}: range"
-    if isinstance(value, list) and "items" in schema:
-        return next((p for k, x in enumerate(value) if (p := problem(x, schema["items"], f"{at}[{k}]"))), None)
+    if "const" in schema and canonical(value) != canonical(schema["const"]):
+        return f"{at}: not the constant"
+    if isinstance(value, str):
+        if not schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value)):
+            return f"{at}: length"
+        if "pattern" in schema and not re.search(schema["pattern"], value):
+            return f"{at}: pattern"
+    if fits["number"]:
+        low, high = schema.get("exclusiveMinimum", -math.inf), schema.get("exclusiveMaximum", math.inf)
+        if not schema.get("minimum", value) <= value <= schema.get("maximum", value) or not low < value < high:
+            return f"{at}: range"
+        if "multipleOf" in schema and value % schema["multipleOf"]:
+            return f"{at}: no multiple"
+    for part in schema.get("allOf", ()):
+        if found := problem(value, part, at):
+            return found
+    if "anyOf" in schema and all(problem(value, part, at) for part in schema["anyOf"]):
+        return f"{at}: fits none"
+    if "oneOf" in schema and sum(problem(value, part, at) is None for part in schema["oneOf"]) != 1:
+        return f"{at}: does not fit one"
+    if "not" in schema and problem(value, schema["not"], at) is None:
+        return f"{at}: excluded"
+    if isinstance(value, list):
+        if not schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value)):
+            return f"{at}: number of items"
+        if schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value):
+            return f"{at}: repeated items"
+        return next((p for k, x in enumerate(value) if (p := problem(x, schema.get("items", {}), f"{at}[{k}]"))), None)
     if isinstance(value, dict):
         own = schema.get("properties", {})
         for k in schema.get("required", ()):
@@ -87,8 +119,10 @@ def problem(value, schema: dict, at: str = "$") -> str | None:
             if k in own:
                 if found := problem(value[k], own[k], f"{at}.{k}"):
                     return found
-            elif schema.get("additionalProperties", True) is False:
+            elif (more := schema.get("additionalProperties", True)) is False:
                 return f"{at}.{k}: unknown"
+            elif isinstance(more, dict) and (found := problem(value[k], more, f"{at}.{k}")):
+                return found
     return None
 
 
@@ -123,14 +157,14 @@ def _call(value, tools: dict) -> dict | None:
     else:
         found = problem(arguments, tools.get(name, {"type": "object"}))
     body = {"arguments": given if arguments is None else arguments, "id": str(value["id"]), "name": name}
-    return {"kind": "call", "call_id": str(value["id"]), "problem": found, "needs": sorted(set(references(arguments))), "json": canonical(body)}
+    return {"kind": "call", "call_id": plain(str(value["id"])), "problem": found and plain(found), "needs": sorted(set(map(plain, references(arguments)))), "json": canonical(body)}
 
 
 def _result(value) -> dict | None:
     if not isinstance(value, dict) or "tool_call_id" not in value:
         return None
     body = {"content": value.get("content"), "tool_call_id": str(value["tool_call_id"])}
-    return {"kind": "result", "call_id": str(value["tool_call_id"]), "problem": None, "needs": [], "json": canonical(body)}
+    return {"kind": "result", "call_id": plain(str(value["tool_call_id"])), "problem": None, "needs": [], "json": canonical(body)}
 
 
 def events(role: str | None, text: str | None, tools: dict) -> list[dict]:
@@ -177,29 +211,22 @@ def _levels(calls: DataFrame, max_rounds: int | None) -> DataFrame:
     needs = cut(calls.select("conv", "call_id", F.explode("needs").alias("need")))
     k, n = calls.select("conv", F.col("call_id").alias("need")).alias("k"), needs.alias("n")
     needs = cut(n.join(k, F.col("n.conv").eqNullSafe(F.col("k.conv")) & (F.col("n.need") == F.col("k.need"))).select("n.conv", "n.call_id", "n.need"))
-    total = needs.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("count"))
-    free = calls.select("conv", "call_id").join(total.select(F.col("conv").alias("c"), F.col("call_id").alias("i")), F.col("conv").eqNullSafe(F.col("c")) & (F.col("call_id") == F.col("i")), "left_anti")
-    done = cut(free.withColumn("level", F.lit(0)))
-    total = cut(total)
-    open_calls = total.count()
-    for k in itertools.count():
-        if not open_calls:
+    waiting = cut(needs.groupBy("conv", "call_id").agg(F.count(F.lit(1)).alias("left")))
+    same = lambda a, b: F.col(f"{a}.conv").eqNullSafe(F.col(f"{b}.conv")) & (F.col(f"{a}.call_id") == F.col(f"{b}.call_id"))
+    free = calls.select("conv", "call_id").alias("c").join(waiting.alias("w"), same("c", "w"), "left_anti")
+    settled = [cut(free.withColumn("level", F.lit(0)))]
+    for k in itertools.count(1):
+        if waiting.limit(1).count() == 0 or settled[-1].limit(1).count() == 0:
             break
-        if k == max_rounds:
+        if max_rounds is not None and k > max_rounds:
             raise RuntimeError(f"levels are not settled after {max_rounds} rounds")
-        d, n, t = done.alias("d"), needs.alias("n"), total.alias("t")
-        met = (
-            n.join(d, F.col("n.conv").eqNullSafe(F.col("d.conv")) & (F.col("n.need") == F.col("d.call_id")))
-            .groupBy(F.col("n.conv").alias("conv"), F.col("n.call_id").alias("call_id"))
-            .agg(F.count(F.lit(1)).alias("met"), (F.max("d.level") + 1).alias("level"))
-            .alias("m")
-        )
-        ready = met.join(t, F.col("m.conv").eqNullSafe(F.col("t.conv")) & (F.col("m.call_id") == F.col("t.call_id"))).where("met = count").select("m.conv", "m.call_id", "m.level")
-        grown = cut(done.where("level = 0").unionByName(ready))
-        before, done = done, grown
-        if done.count() == before.count():
-            break
-    return done
+        news, n = settled[-1].alias("d"), needs.alias("n")
+        met = n.join(news, F.col("n.conv").eqNullSafe(F.col("d.conv")) & (F.col("n.need") == F.col("d.call_id"))).groupBy("n.conv", "n.call_id").agg(F.count(F.lit(1)).alias("met"))
+        after = waiting.alias("w").join(met.alias("m"), same("w", "m"), "left").select("w.conv", "w.call_id", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"))
+        after = cut(after)
+        settled.append(after.where("left = 0").select("conv", "call_id", F.lit(k).alias("level")))  # its last need came in the round before, so no need is deeper
+        waiting = after.where("left > 0")
+    return functools.reduce(DataFrame.unionByName, settled)
 
 
 def link(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tools: dict | None = None, max_rounds: int | None = None) -> DataFrame:

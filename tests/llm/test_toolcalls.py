@@ -1,5 +1,6 @@
 import inspect
 import json
+import random
 
 import pytest
 
@@ -102,3 +103,71 @@ def test_canonical_json():
     assert toolcalls.problem({"query": "x", "limit": 0}, toolcalls.TOOLS["search"]) == "$.limit: range"
     assert toolcalls.problem([1, "x"], {"type": "array", "items": {"type": "integer"}}) == "$[1]: not integer"
     assert toolcalls.problem("x", {"enum": ["y"]}) == "$: not in enum"
+    assert toolcalls.problem({"a": 1}, {"additionalProperties": {"type": "string"}}) == "$.a: not string"
+    assert toolcalls.problem([1, 1.0], {"uniqueItems": True}) == "$: repeated items"
+    assert toolcalls.problem(3, {"anyOf": [{"type": "string"}, {"minimum": 5}]}) == "$: fits none"
+    assert toolcalls.problem(3, {"oneOf": [{"type": "integer"}, {"minimum": 5}], "multipleOf": 3, "exclusiveMinimum": 2}) is None
+    assert toolcalls.problem("ab", {"pattern": "^a.$", "const": "ab", "not": {"type": "null"}}) is None
+
+
+def test_lone_surrogates_long_texts_and_repeated_rows(spark):
+    lone = '{"tool_calls":[{"id":"\\ud800","name":"x","arguments":{"\\udfff":1}}]}'
+    long = turn(call("long", query="y" * 1_000_000), content="z" * 1_000_000)
+    rows = [(1, 0, "assistant", lone), (2, 0, "assistant", long), (2, 0, "assistant", long), (2, 1, "tool", result("long")), (2, 1, "tool", result("long"))]
+    got = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 10
+    first = next(r for r in got if r.conv == 1 and r.kind == "call")
+    assert first.call_id == "\\ud800" and first.json == '{"arguments":{"\\udfff":1},"id":"\\ud800","name":"x"}'
+    assert {r.status for r in got if r.conv == 2 and r.kind != "message"} == {"linked"}
+
+
+def brute_status(rows):
+    """(conv, turn, seq) -> (status, level) of calls and results, conversation by conversation."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == conv), key=lambda r: r[1])
+        events = [(t, q, e) for _, t, role, text in own for q, e in enumerate(toolcalls.events(role, text, toolcalls.TOOLS)) if q]
+        calls, results = {}, {}
+        for t, q, e in events:
+            (calls if e["kind"] == "call" else results).setdefault(e["call_id"], (t, q, e))
+
+        def depth(i, seen=()):
+            if i in seen:
+                return None
+            below = [depth(n, (*seen, i)) for n in calls[i][2]["needs"] if n in calls]
+            return None if None in below else max(below, default=-1) + 1
+
+        for t, q, e in events:
+            i, is_call = e["call_id"], e["kind"] == "call"
+            level = depth(i) if i in calls else None
+            if (calls if is_call else results)[i][:2] != (t, q):
+                status = "duplicate"
+            elif i not in calls:
+                status = "orphan"
+            elif not is_call and (t, q) < calls[i][:2]:
+                status = "early"
+            elif level is None:
+                status = "cycle"
+            elif is_call and e["problem"]:
+                status = "invalid"
+            else:
+                status = "linked" if i in results else "unanswered"
+            out[conv, t, q] = status, None if level is None else 2 * level + (1 if is_call else 2)
+    return out
+
+
+def test_generated_conversations_against_brute_force(spark):
+    rng = random.Random(5)
+    rows = []
+    for conv in range(120):
+        names = [f"c{k}" for k in range(rng.randrange(1, 8))]
+        for t in range(rng.randrange(2, 9)):
+            if rng.random() < 0.55:
+                made = [call(rng.choice(names), rng.choice(["search", "calculate", "other"]), **{rng.choice(["query", "expression", "limit"]): rng.choice(["x", 3, {"$ref": rng.choice(names)}, [{"$ref": rng.choice(names)}]])}) for _ in range(rng.randrange(1, 4))]
+                rows.append((conv, t, "assistant", turn(*made)))
+            else:
+                rows.append((conv, t, "tool", result(rng.choice([*names, "stray"]))))
+    got = toolcalls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind <> 'message'").collect()
+    want = brute_status(rows)
+    assert {(r.conv, r.turn, r.seq): (r.status, r.level) for r in got} == want
+    assert {s for s, _ in want.values()} == {"duplicate", "orphan", "early", "cycle", "invalid", "linked", "unanswered"}
