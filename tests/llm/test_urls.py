@@ -49,3 +49,53 @@ def test_aliases_take_decisions(spark):
     assert (got[9].host, got[9].path, got[11].host, got[11].path) == ("", "", "upper.example.net", "")
     assert urls.filter_urls(pages).count() == len(rows)
     assert urls.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_targets_are_resolved(spark):
+    """Every link of a page, relative ones against its url, default ports left out."""
+    canonical = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://a.org/x/y/z.html", canonical("../w") + canonical("./v")),
+        (2, "https://a.org:443/x/w", "<p>"),
+        (3, "http://a.org/x/y/v", canonical("http://b.net:80/es/q")),
+        (4, "http://c.org/p?q=1", canonical("?q=2")),
+        (5, "http://c.org/p?q=2", "<meta http-equiv=refresh content='1;url=http://b.net/fr/x'>"),
+        (6, "http://d.org/" + "e/" * 50_000 + "..", "h" * 500_000 + canonical("http://b.net/es/q")),
+    ]
+    got = {r.id: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r.verdict for k, r in got.items()} == dict.fromkeys(range(1, 7), "block")
+    assert got[1].alias_of == got[2].alias_of == got[3].alias_of == got[6].alias_of != got[4].alias_of
+
+
+def test_aliases_against_brute_force(spark):
+    """Random links over few urls: classes by search, decisions by the rules of their members."""
+    import random
+
+    rng = random.Random(2)
+    names = [f"http://{h}/{p}{k}" for h in ("one.org", "two.net", "example.com", "www.example.com") for p in ("", "es/", "en/") for k in range(12)]
+    rows, links = [], []
+    for k in range(150):
+        url, to = rng.choice(names), rng.choice(names)
+        linked = rng.random() < 0.6
+        rows.append((k if k % 50 else None, url, f'<link href="{to}" rel=canonical>' if linked else None))
+        links += [(url, to)] * linked
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def verdict(url):
+        rule = brute_rule(*split(url))
+        if rule:
+            return "allow" if rule[1] else "block"
+        seen, queue = {url}, [url]
+        while queue:
+            new = near.get(queue.pop(), set()) - seen
+            seen |= new
+            queue += new
+        found = {r[1] for u in seen if (r := brute_rule(*split(u)))}
+        return "block" if found == {False} else "allow"
+
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.host, r.path, r.verdict) for r in got) == sorted((*split(u), verdict(u)) for _, u, _ in rows)
+    assert sum(r.rule is None and r.verdict == "block" for r in got) > 2
