@@ -1,6 +1,7 @@
 """Mixing sources to target weights, in DataFrame operations only.
 
-Documents get hash-random keys.  The key space is cut into about sqrt(rows) equal ranges, which
+Documents get hash-random keys; rows alike in id, source and size, such as rows without an id, are
+counted first and go on as one, since one key is theirs.  The key space is cut into about sqrt(rows) equal ranges, which
 random keys fill evenly, so a source of any share is spread over all of them: within each
 (source, range) rows are sorted and summed, the sums of ranges are summed over each source, and
 every document learns how many of its source's words come before it.  Neither step gives one
@@ -8,7 +9,8 @@ task more than about sqrt(rows) rows of a source.  A source's budget is then cut
 epochs first, the rest in key order, the document at the cut in part.
 
 Defined results: a null or wordless text has size 0 and is never taken; a null source is a
-source of its own, the last; repeated rows are mixed as rows; an empty table gives no rows.
+source of its own, the last; repeated rows are mixed as rows; an empty table gives no rows; columns
+``mix_size``, ``mix_epochs`` and ``mix_taken`` of the input are replaced.
 """
 
 from __future__ import annotations
@@ -56,12 +58,12 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs:
 
 
 def prefixes(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """Rows of (id, source, size) with key, before (words of the source ahead of the row), source_size, target, epochs, rest."""
-    rows = sized.count()
-    ranges = max(1, math.isqrt(rows))
-    keyed = sized.withColumn("key", random_key(seed, F.col("id"), F.col("size")))
+    """(id, source, size), copies, key, before (words of the source ahead of them), source_size, target, epochs, rest."""
+    grouped = cut(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
+    ranges = max(1, math.isqrt(grouped.count()))
+    keyed = grouped.withColumn("key", random_key(seed, F.col("id"), F.col("size")))
     keyed = keyed.withColumn("range", F.shiftright(F.shiftright("key", 32) * F.lit(ranges).cast("long"), 31))
-    sums = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    sums = keyed.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("copies")).alias("range_size"))
     ahead = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("offset", F.coalesce(F.sum("range_size").over(ahead), F.lit(0)))
     wanted = targets(sums.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
@@ -72,14 +74,14 @@ def prefixes(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: i
         "s", F.col("range").alias("r"), "offset", "source_size", "target", "epochs", "rest"
     )
     inside = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    summed = keyed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    summed = keyed.withColumn("inside", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     joined = summed.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     return joined.withColumn("before", F.col("offset") + F.col("inside")).drop("s", "r", "offset", "inside")
 
 
-def taken_words() -> Column:
-    """Words that the mix takes of a row of ``prefixes``."""
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+def taken_words(copy: Column) -> Column:
+    """Words that the mix takes of a copy (from 0) of a row of ``prefixes``."""
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before") - copy * F.col("size")))
     return F.col("epochs") * F.col("size") + part
 
 
@@ -89,7 +91,8 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
 
 def mix_plan(sized: DataFrame, **options) -> DataFrame:
     """id, source, size, source_size, target, taken for every row of (id, source, size)."""
-    return prefixes(cut(sized), **options).select("id", "source", "size", "source_size", "target", taken_words().alias("taken"))
+    planned = prefixes(sized, **options).withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    return planned.select("id", "source", "size", "source_size", "target", taken_words(F.col("copy")).alias("taken"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = SEED, **options) -> DataFrame:
@@ -98,9 +101,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     The plan is cut at one row per source; each row of ``docs`` then compares its own key with
     its source's cut.  Rows alike in id, source and size share what falls to them evenly.
     """
-    planned = prefixes(cut(sizes(docs, id_col, source_col, text_col)), seed=seed, **options)
-    alike = Window.partitionBy("source", "range", "key", "id", "size")
-    at_cut = planned.withColumn("first", F.min("before").over(alike)).withColumn("copies", F.count(F.lit(1)).over(alike))
+    docs = docs.drop("mix_size", "mix_epochs", "mix_taken")
+    at_cut = prefixes(sizes(docs, id_col, source_col, text_col), seed=seed, **options).withColumnRenamed("before", "first")
     is_cut = (F.col("first") < F.col("rest")) & (F.col("first") + F.col("copies") * F.col("size") >= F.col("rest"))
     cuts = at_cut.groupBy(F.col("source").alias("cut_source")).agg(
         F.max("epochs").alias("epochs"),
@@ -111,13 +113,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         cuts = F.broadcast(cuts)
     size = F.col("mix_size")
     sized = docs.withColumn("mix_size", word_count(F.col(text_col)))
+    cuts = cuts.select(F.struct("cut_source", "epochs", "cut").alias("_of_source"))
     key = random_key(seed, F.col(id_col), size)
     here = F.struct(key.alias("key"), F.col(id_col).alias("id"), size.alias("size"))
-    there = F.struct(F.col("cut.key").alias("key"), F.col("cut.id").alias("id"), F.col("cut.size").alias("size"))
-    part = F.when(F.col("cut").isNull() | (here > there), 0).when(here < there, size).otherwise(F.col("cut.part"))
-    joined = sized.join(cuts, F.col(source_col).eqNullSafe(F.col("cut_source")), "left")
-    return (
-        joined.withColumn("mix_taken", (F.col("epochs") * size + part).cast("long"))
-        .withColumn("mix_epochs", F.col("epochs"))
-        .select(*docs.columns, "mix_size", "mix_epochs", "mix_taken")
-    )
+    cut_at = F.col("_of_source.cut")
+    there = F.struct(cut_at["key"].alias("key"), cut_at["id"].alias("id"), cut_at["size"].alias("size"))
+    part = F.when(cut_at.isNull() | (here > there), 0).when(here < there, size).otherwise(cut_at["part"])
+    joined = sized.join(cuts, F.col(source_col).eqNullSafe(F.col("_of_source.cut_source")), "left")
+    epochs = F.col("_of_source.epochs")
+    return joined.select(*docs.columns, "mix_size", epochs.alias("mix_epochs"), (epochs * size + part).cast("long").alias("mix_taken"))

@@ -66,3 +66,28 @@ def test_applied_mix_agrees_with_plan(spark, sf01, odd):
     assert got == plan
     mixed = mixing.mix(odd)
     assert mixed.columns == [*odd.columns, "mix_size", "mix_epochs", "mix_taken"] and mixed.count() == odd.count()
+
+
+def test_plans_agree_whatever_is_broadcast(spark, sf01, monkeypatch):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    got = []
+    for bound in (50_000, 0):
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", bound)
+        got.append(sorted((r.doc_id, r.mix_taken) for r in mixing.mix(docs).collect()))
+    assert got[0] == got[1]
+
+
+def test_rows_without_an_id_and_names(spark):
+    """A third of all rows alike: none is lost, and the budget is met to the word in the plan."""
+    rows = [(None, "a b c", "s", 1, 2, 3)] * 400 + [(k, "a b c", "s", 1, 2, 3) for k in range(400)] + [(1000 + k, "a b c d", "t", 1, 2, 3) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_size int, epochs int, cut int")
+    plan = mixing.mix_plan(mixing.sizes(docs)).collect()
+    assert len(plan) == len(rows)
+    verify([(r.source, r.size, r.source_size, r.target, r.taken) for r in plan], {"s": 2400, "t": 1600})
+    mixed = mixing.mix(docs)
+    assert mixed.columns == ["doc_id", "text", "source", "epochs", "cut", "mix_size", "mix_epochs", "mix_taken"]
+    taken = Counter()
+    for r in mixed.collect():
+        taken[r.source] += r.mix_taken
+    goal = brute_targets({"s": 2400, "t": 1600})
+    assert all(goal[s] - 400 < taken[s] <= goal[s] for s in goal)
