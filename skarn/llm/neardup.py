@@ -7,8 +7,9 @@ similarity of the two sets, taken from the sets themselves, is SIMILAR or more.
 
 Under each band key all are first compared with one of them, so a large group of copies costs a
 link per member.  Of the keys whose members are then in several classes, members are compared by
-their MinHash values, block of BLOCK with block, and what is likely similar is verified.  No group
-is cut short, gathered in a task or written out as all its pairs.
+their MinHash values, block with block of BLOCK members, and what is likely similar is verified
+on the sets in the same way, as far as it is not yet in one class.  No group is cut short, gathered
+in a task or written out as its pairs: a block gives no more links than join its classes.
 
 Texts with equal sets are one node.  Links of the exact operator (``simhash``: three-word
 shingles, two bits of 64) are added, so its classes are never split here.
@@ -16,6 +17,7 @@ shingles, two bits of 64) are added, so its classes are never split here.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +39,7 @@ BANDS = 20
 ROWS = 7
 #: Members of a key that are compared with as many others in one go.
 BLOCK = 2048
+BLOCK_BYTES = 1 << 25
 #: Estimated similarity from which a pair is verified; of pairs at 0.8 three in 2,000 are estimated lower.
 PROMISING = 0.7
 
@@ -77,78 +80,119 @@ def bands(least: np.ndarray) -> np.ndarray:
     return _mixed((least * _RANDOM[2]).reshape(BANDS, ROWS).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
 
 
-_SIGNED = [("fp", T.LongType(), pa.int64()), ("node", T.LongType(), pa.int64()), ("keys", T.ArrayType(T.LongType()), None), ("sig", T.BinaryType(), pa.binary())]
+_SIGNED = [("fp", T.LongType(), pa.int64()), ("node", T.LongType(), pa.int64()), ("keys", T.ArrayType(T.LongType()), None), ("sig", T.BinaryType(), pa.binary()), ("shingles", T.LongType(), pa.int64())]
 
 
 @F.arrow_udf(T.StructType([T.StructField(n, t) for n, t, _ in _SIGNED]))
 def _signed(text: pa.Array) -> pa.Array:
-    """SimHash fingerprint, set, band keys, and a byte of every MinHash value."""
+    """SimHash fingerprint, set, band keys, a byte of every MinHash value, and the set's size."""
     fps = np.fromiter((simhash.fingerprint(x.as_py()) for x in text), np.uint64, len(text))
     nodes, keys = np.zeros(len(text), np.uint64), np.zeros((len(text), BANDS), np.uint64)
-    sigs = []
+    sigs, sizes = [], np.zeros(len(text), np.int64)
     for k, own in enumerate(shingle_sets(text)):
         least = minima(own)
-        nodes[k], keys[k] = _node(own), bands(least)
+        nodes[k], keys[k], sizes[k] = _node(own), bands(least), len(own)
         sigs.append(least.astype(np.uint8).tobytes())
     lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
-    return pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), lists, pa.array(sigs, pa.binary())], [n for n, _, _ in _SIGNED])
+    return pa.StructArray.from_arrays([pa.array(fps.view(np.int64)), pa.array(nodes.view(np.int64)), lists, pa.array(sigs, pa.binary()), pa.array(sizes)], [n for n, _, _ in _SIGNED])
 
 
-def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(src, dst) of unlike classes that are likely similar, of rows (key, p, q, block, node, component, sig) sorted by the first three."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows alike in the first three columns, which come one after the other."""
     held: list[pa.RecordBatch] = []
-    rows = 0
-
-    def compared(last: bool) -> Iterator[pa.RecordBatch]:
-        nonlocal held, rows
-        table = pa.Table.from_batches(held)
-        key, p, q, block, node, component = (table.column(k).to_numpy() for k in range(6))
-        new = np.flatnonzero((key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])) + 1
-        starts, ends = np.append(0, new), np.append(new, len(key))
-        if not last:
-            starts, ends = starts[:-1], ends[:-1]
-        tail = ends[-1] if len(ends) else 0
-        sig = np.frombuffer(b"".join(table.column(6).slice(0, tail).to_pylist()), np.uint8).reshape(tail, BANDS * ROWS)
-        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-            same = p[a] == q[a]
-            one = np.arange(a, b) if same else a + np.flatnonzero(block[a:b] == p[a])
-            two = one if same else a + np.flatnonzero(block[a:b] == q[a])
-            for k, row in enumerate(one.tolist()):
-                others = two[k + 1 :] if same else two
-                others = others[component[others] != component[row]]
-                equal = np.count_nonzero(sig[others] == sig[row], axis=1) / (BANDS * ROWS)
-                near = others[(equal - 1 / 256) / (255 / 256) >= PROMISING]
-                if len(near):
-                    ends_ = np.sort(np.stack([np.full(len(near), node[row]), node[near]]), 0)
-                    yield pa.RecordBatch.from_arrays([pa.array(ends_[0]), pa.array(ends_[1])], ["src", "dst"])
-        rest = table.slice(tail).combine_chunks()
-        held, rows = rest.to_batches(), rest.num_rows
-
+    last = None
     for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= 4 * BLOCK:
-            yield from compared(False)
-    if rows:
-        yield from compared(True)
-
-
-def _within(placed: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(src, dst) under one key, in unlike classes and likely similar; members meet block by block, so no task sees more than two blocks of a key."""
-    sizes = cut(placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    dealt = placed.join(sizes, "key").join(sigs, "node").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        by = [batch.column(k).to_numpy() for k in range(3)]
+        edges = np.flatnonzero(np.any([x[1:] != x[:-1] for x in by], 0)) + 1
+        for a, b in itertools.pairwise([0, *edges.tolist(), batch.num_rows]):
+            here = tuple(x[a] for x in by)
+            if held and here != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = here
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, later rows) that are in unlike classes and likely similar, of two blocks of a key, or within one."""
+    _, p, q, block, _, component = (group.column(k).to_numpy() for k in range(6))
+    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
+    one, two = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    for k, row in enumerate(one.tolist()):
+        others = two[k + 1 :] if p[0] == q[0] else two
+        others = others[component[others] != component[row]]
+        equal = np.count_nonzero(sig[others] == sig[row], axis=1) / (BANDS * ROWS)
+        near = others[(equal - 1 / 256) / (255 / 256) >= PROMISING]
+        if len(near):
+            yield row, near
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a likely similar one under their key, each at most once."""
+    for group in _groups(batches):
+        wanted = np.zeros(group.num_rows, bool)
+        for row, near in _near(group):
+            wanted[row] = True
+            wanted[near] = True
+        if wanted.any():
+            yield from group.filter(pa.array(wanted)).combine_chunks().to_batches()
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (src, dst) of a spanning forest of what is similar in a group of promising rows with their sets."""
+    for group in _groups(batches):
+        node, component = group.column("node").to_pylist(), group.column("component").to_pylist()
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("own")]
+        root = {c: c for c in component}
+
+        def find(x: int, root: dict[int, int] = root) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for row, near in _near(group):
+            for other in near.tolist():
+                a, b = find(component[row]), find(component[other])
+                if a != b and _similarity(own[row], own[other]) >= SIMILAR:
+                    root[a] = b
+                    links.append((node[row], node[other]))
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], ["src", "dst"])
+
+
+_PLACED = "key long, p int, q int, block int, node long, component long, sig binary"
+
+
+def _within(placed: DataFrame, signed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(src, dst): similar members of one key in unlike classes, as many links as join the classes.
+
+    Members meet block by block, so no task holds more than two blocks of a key, of BLOCK members
+    or BLOCK_BYTES of sets each on average.
+    """
+    found = cut(placed.join(signed, "node"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("shingles") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = cut(found.groupBy("key").agg(blocks.alias("blocks")))
+    dealt = found.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     met = dealt.select("key", "block", "node", "component", "sig", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     met = met.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "sig")
-    return met.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(_promising, "src long, dst long").distinct()
+    together = lambda rows: rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    likely = cut(together(met).mapInArrow(_promising, _PLACED))
+    return cut(together(likely.join(sets, "node").select(*(x.split()[0] for x in _PLACED.split(", ")), "own")).mapInArrow(_linked, "src long, dst long"))
+
+
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
 
 
 @F.arrow_udf(T.DoubleType())
 def _jaccard(a: pa.Array, b: pa.Array) -> pa.Array:
     out = np.zeros(len(a))
     for k, (x, y) in enumerate(zip(a, b, strict=True)):
-        x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        out[k] = both / (len(x) + len(y) - both)
+        out[k] = _similarity(*(np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y)))
     return pa.array(out)
 
 
@@ -199,9 +243,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     placed = cut(met.select("key", "node").join(found, "node"))
     apart = cut(placed.groupBy("key").agg((F.min("component") < F.max("component")).alias("apart")).where("apart").select("key"))
     placed = cut(placed.join(apart, "key"))
-    rest = _within(placed, named.groupBy("node").agg(F.first("sig").alias("sig")))
-    rest = cut(rest.join(pairs, ["src", "dst"], "left_anti"))
-    more = _verified(rest, sets)
+    more = _within(placed, named.groupBy("node").agg(F.first("sig").alias("sig"), F.first("shingles").alias("shingles")), sets)
     found = connected_components(more.unionByName(found.select(F.col("node").alias("src"), F.col("component").alias("dst"))))
 
     placed = cut(nodes.select("node", "exact", "least").join(found, "node").select("node", "exact", "least", F.col("component").alias("root")))
