@@ -49,7 +49,7 @@ DIMS = 32
 BLOCK = 16
 NEAR = 0.35
 #: Cosine that makes a candidate whatever words are shared.
-LATENT = 0.7
+LATENT = 0.8
 #: Least share of an item window's words among the candidate's, a bound on any common subsequence.
 SHARED = 0.5
 #: The share that makes a candidate whatever the cosine.
@@ -317,14 +317,22 @@ def _search(words: np.ndarray, bounds: np.ndarray, items: Items, table: np.ndarr
     known[known == other] = 0
     known = np.where(items.vocabulary[known] == words, known, other)
     seen = np.zeros(other + 1, bool)
+    sizes = np.array(list(map(len, items.words)))
+    first_block = np.searchsorted(doc, np.arange(len(bounds)))
     for first in range(0, len(items.ids), ITEM_STEP):
         span = slice(*np.searchsorted(items.owner, (first, first + ITEM_STEP)))
         row, has = items.held(first)
         shared = _summed_rows(has, row[known], starts, ends, BLOCK)
+        ahead = np.zeros((len(shared) + 1, shared.shape[1]), np.int32)
+        np.cumsum(shared, 0, out=ahead[1:])
         shared[:-1] += np.where((doc[:-1] == doc[1:])[:, None], shared[1:], 0).astype(np.uint8)
         owner = items.owner[span] - first
         both, cosine = shared[:, owner], z @ items.vectors[span].T
         near, at = np.nonzero((cosine >= LATENT) | (both >= items.need[span]) & ((cosine >= NEAR) | (both >= items.enough[span])))
+        reach = sizes[first + owner[at]] // BLOCK + 1  # blocks that the neighbourhood has on either side, at most
+        low, high = np.maximum(near - reach, first_block[doc[near]]), np.minimum(near + 2 + reach, first_block[doc[near] + 1])
+        possible = ahead[high, owner[at]] - ahead[low, owner[at]] >= PARAPHRASED * sizes[first + owner[at]]  # no common subsequence is longer
+        near, at = near[possible], at[possible]
         for window, number in sorted(set(zip(near.tolist(), (owner[at] + first).tolist(), strict=True))):
             own, d = items.words[number], int(doc[window])
             text = known[max(bounds[d], starts[window] - len(own)) : min(bounds[d + 1], starts[window] + 2 * BLOCK + len(own))]
