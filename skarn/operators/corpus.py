@@ -41,6 +41,47 @@ def pair_stats(lists: DataFrame, window: int = WINDOW) -> DataFrame:
     return pairs.groupBy("p.t1", "p.t2").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pair_mass(words: Column, window: int = WINDOW) -> Column:
+    """How many pairs of different terms a passage has, as ``pair_stats`` counts them."""
+    n = F.size(words)
+    apart = lambda d: F.zip_with(F.slice(words, F.lit(1), F.greatest(F.lit(0), n - d)), F.slice(words, F.least(d + 1, n), F.greatest(F.lit(0), n - d)), lambda a, b: a != b)
+    return sum((F.size(F.filter(apart(F.lit(d)), lambda x: x)) for d in range(1, window + 1)), F.lit(0)).cast("long")
+
+
+def pairs_around(lists: DataFrame, terms: list[str], window: int = WINDOW) -> DataFrame:
+    """The rows of ``pair_stats`` that have one of ``terms`` on either side; no other pair is made.
+
+    ``terms`` is of a bounded size (a vocabulary).  A pair of two of them is made at the first alone.
+    """
+    words = F.col("words")
+    wanted = lambda w: w.isin(terms)
+    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: wanted(s["w"]))
+
+    def near(s: Column) -> Column:
+        after = F.slice(words, s["i"] + 2, F.lit(window))
+        before = F.filter(F.slice(words, F.greatest(s["i"] - (window - 1), F.lit(1)), F.least(s["i"], F.lit(window))), lambda x: ~wanted(x))
+        others = F.filter(F.concat(after, before), lambda x: x != s["w"])
+        return F.transform(others, lambda x: F.struct(F.least(s["w"], x).alias("t1"), F.greatest(s["w"], x).alias("t2")))
+
+    pairs = lists.select(F.explode(F.flatten(F.transform(places, near))).alias("p"))
+    return pairs.groupBy("p.t1", "p.t2").agg(F.count(F.lit(1)).alias("n"))
+
+
+def pairs_among(lists: DataFrame, terms: list[str], wanted: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``pair_stats`` for the pairs (t1, t2) of ``wanted``, whose terms are ``terms``; both of a checked size."""
+    places = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda s: s["w"].isin(terms))
+    kept = lists.select(places.alias("at"))
+    at, n = F.col("at"), F.size("at")
+    step = lambda d: F.zip_with(
+        F.slice(at, F.lit(1), F.greatest(F.lit(0), n - d)),
+        F.slice(at, F.least(F.lit(d + 1), n), F.greatest(F.lit(0), n - d)),
+        lambda a, b: F.when((b["i"] - a["i"] <= window) & (a["w"] != b["w"]), F.struct(F.least(a["w"], b["w"]).alias("t1"), F.greatest(a["w"], b["w"]).alias("t2"))),
+    )
+    near = F.array_compact(F.flatten(F.array(*(step(d) for d in range(1, window + 1)))))
+    pairs = kept.where("size(at) > 1").select(F.explode(near).alias("p")).select("p.t1", "p.t2")
+    return pairs.join(F.broadcast(wanted), ["t1", "t2"], "left_semi").groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"))
+
+
 def corpus_stats(lists: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """One row: doc_count, token_mass and, with pairs, pair_mass."""
     one = lists.agg(F.count(F.lit(1)).alias("doc_count"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("token_mass"))
@@ -93,14 +134,6 @@ def extended(current: DataFrame, fresh: DataFrame) -> DataFrame:
     return current.select("pos", "term").unionByName(added.select((F.col("rank") + F.col("start")).alias("pos"), "term"))
 
 
-def touching(pairs: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Pairs with a vocabulary term on either side, so that only these are joined with term statistics."""
-    v = vocab.select("term")  # as many rows as the vocabulary's size
-    one, two = (F.broadcast(v.select(F.col("term").alias(c))) for c in ("v1", "v2"))
-    marked = pairs.join(one, F.col("t1") == F.col("v1"), "left").join(two, F.col("t2") == F.col("v2"), "left")
-    return marked.where("v1 is not null or v2 is not null").select("t1", "t2", "n")
-
-
 def links_to(vocab: DataFrame, pmis: DataFrame) -> DataFrame:
     """(term, pos, value): nonzero PMI of any term with a vocabulary term, either way round."""
     v = vocab.select(F.col("term").alias("v"), "pos")
@@ -151,8 +184,12 @@ def retained_pairs(pmis: DataFrame, totals: DataFrame, cap: int) -> DataFrame:
 
 
 def learn(lists: DataFrame, size: int, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(stats, totals, vocab, links) of a corpus: everything is counted once, then frozen in the shared folder."""
-    stats, pairs = cut(token_stats(lists)), cut(pair_stats(lists))
-    totals = cut(corpus_stats(lists, pairs))
+    """(stats, totals, vocab, links) of a corpus: counted once, then frozen in the shared folder.
+
+    The vocabulary comes first, so only pairs with one of its ``size`` terms are made and shuffled.
+    """
+    stats = cut(token_stats(lists))
+    totals = cut(lists.agg(F.count(F.lit(1)).alias("doc_count"), F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("token_mass"), F.coalesce(F.sum(pair_mass(F.col("words"))), F.lit(0)).alias("pair_mass")))
     vocab = cut(vocabulary(stats, totals, size, **options))
-    return stats, totals, vocab, cut(links_to(vocab, pmi(touching(pairs, vocab), stats, totals)))
+    pairs = pairs_around(lists, [r.term for r in vocab.select("term").collect()])  # at most ``size`` terms
+    return stats, totals, vocab, cut(links_to(vocab, pmi(pairs, stats, totals)))

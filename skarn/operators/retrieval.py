@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.core.durable import cut
 from skarn.functions import lexicon as L
+from skarn.operators import corpus
 
 K1, B, PHRASE_BONUS = 1.5, 0.75, 3.0
 
@@ -26,13 +28,14 @@ def keyword_scores(docs: DataFrame, query: str, id_col: str = "doc_id", text_col
     terms = list(dict.fromkeys(query.lower().split()))
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     words = F.filter(F.split(low, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
-    own = docs.select(
+    counted = lambda x: F.struct(F.size(x).alias("dl"), F.filter(x, lambda w: w.isin(terms)).alias("hits"))  # noqa: E731  a text is split once
+    read = docs.select(
         F.col(id_col).alias("id"),
-        F.size(words).alias("dl"),
+        F.element_at(F.transform(F.array(words), counted), 1).alias("c"),
         F.array(*(low.contains(t) for t in terms)).alias("has"),
-        F.array(*(F.size(F.filter(words, _equals(t))) for t in terms)).alias("tf"),
         low.contains(query.lower().strip()).alias("phrase"),
     )
+    own = cut(read.select("id", "c.dl", "has", F.array(*(F.size(F.filter("c.hits", _equals(t))) for t in terms)).alias("tf"), "phrase"))
     totals = own.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.sum(F.col("has")[k].cast("int")).alias(f"df{k}") for k in range(len(terms))))
     joined = own.crossJoin(F.broadcast(totals))  # one row
     score = F.when(F.col("phrase"), PHRASE_BONUS).otherwise(0.0)
@@ -58,15 +61,27 @@ def informative(probes: DataFrame, stats: DataFrame, id_col: str, text_col: str)
     return words.where((F.length("term") >= 4) | F.col("df").isNotNull()).select("probe", "term", F.coalesce("df", F.lit(0)).alias("df"))
 
 
-def grounding(probes: DataFrame, stats: DataFrame, pairs: DataFrame, doc_count: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(probe, band, max_evidence, mean_evidence): how much co-occurrence backs each probe's word pairs."""
+#: Word pairs of probes that are counted by a map-side join; more probes than that are grounded in several calls.
+MAX_PROBE_PAIRS = 2_000_000
+
+
+def grounding(probes: DataFrame, stats: DataFrame, lists: DataFrame, doc_count: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(probe, band, max_evidence, mean_evidence): how much co-occurrence backs each probe's word pairs.
+
+    The probes' pairs come first, and only these are counted in the passages.
+    """
     words = informative(probes, stats, id_col, text_col)
     top = F.log2(F.lit(doc_count + 1.0))
     rarity = F.when(F.col("df") > 0, F.log2(doc_count / F.col("df"))).otherwise(top)
-    rated = words.select("probe", "term", rarity.alias("idf"))
+    rated = cut(words.select("probe", "term", rarity.alias("idf")))
     a = rated.select("probe", F.col("term").alias("t1"), F.col("idf").alias("i1"))
     b = rated.select("probe", F.col("term").alias("t2"), F.col("idf").alias("i2"))
-    both = a.join(b, "probe").where("t1 < t2").join(pairs, ["t1", "t2"], "left")
+    asked = cut(a.join(b, "probe").where("t1 < t2"))
+    wanted = cut(asked.select("t1", "t2").distinct())
+    if wanted.count() > MAX_PROBE_PAIRS:
+        raise ValueError(f"more than {MAX_PROBE_PAIRS} word pairs are asked for at once")
+    terms = [r.term for r in rated.select("term").distinct().collect()]  # no more than twice the pairs
+    both = asked.join(corpus.pairs_among(lists, terms, wanted), ["t1", "t2"], "left")
     evidence = F.log1p(F.coalesce("n", F.lit(0)).cast("double")) * F.least("i1", "i2") / top
     sums = both.groupBy("probe").agg(F.max(evidence).alias("max_evidence"), F.avg(evidence).alias("mean_evidence"))
     out = probes.select(F.col(id_col).alias("probe")).join(sums, "probe", "left").fillna(0.0, ["max_evidence", "mean_evidence"])

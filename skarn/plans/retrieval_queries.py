@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.core.durable import cut
 from skarn.functions import lexicon as L
 from skarn.functions import text as X
 from skarn.operators import corpus, retrieval
@@ -83,8 +84,7 @@ _GROUND = ", ".join(f"'{w}'" for w in L.GROUNDING_STOPWORDS)
 )
 def r11_grounding(spark, sf):
     lists = _lists(spark, sf)
-    docs = lists.count()
-    found = retrieval.grounding(table(spark, sf, "benchmark"), corpus.token_stats(lists), corpus.pair_stats(lists), docs)
+    found = retrieval.grounding(table(spark, sf, "benchmark"), cut(corpus.token_stats(lists)), lists, lists.count())
     return found.select(F.col("probe").alias("item_id"), "band", F.round("max_evidence", 4).alias("max_evidence"), F.round("mean_evidence", 4).alias("mean_evidence"))
 
 
