@@ -61,42 +61,53 @@ _CLASSES = [
 ]
 
 
-def word_scores(word: str, kind: str, before: str, after: str, lexicon: Lexicon) -> tuple[dict[str, float], tuple[str, str] | None]:
-    """A word's dimensions, and its operation if it names one."""
+# What a word of a class without an exemplar stands for.
+CLASS_SCORES = {
+    "pron_self": {"IC": 0.3, "AI": 0.3},
+    "pron_other": {"CR": 0.4},
+    "prep_rel": {"CR": 0.6},
+    "adv": {"IC": 0.1},
+    "adj": {"IC": 0.1},
+}
+# What an unknown verb stands for after a relational word, after a self pronoun, and else.
+VERB_SCORES = ((frozenset(L.RELATIONAL), {"CR": 0.4}), (frozenset(L.SELF_PRONOUNS), {"IC": 0.3, "AI": 0.2}))
+VERB_DEFAULT = {"EW": 0.3}
+#: Neighbours (one before, one after) that lend a class their exemplar dimensions, and how much of each.
+LENDERS = {"noun": (0, 1), "adj": (1,)}
+LENT, PROPAGATED, WEAK = 0.3, 0.5, 0.3
+
+
+def _by_class(kind: str, near: tuple[str, str], lexicon: Lexicon) -> list[tuple[str, float]]:
+    """(dimension, score) that a word's class and its neighbours suggest."""
+    found = list(CLASS_SCORES.get(kind, {}).items())
+    if kind == "verb":
+        found = [x for words, scores in VERB_SCORES if near[0] in words for x in scores.items()] or list(VERB_DEFAULT.items())
+    for k in LENDERS.get(kind, ()):
+        found += [(d, LENT) for d in lexicon.exemplars.get(lexicon.stem(near[k]), {})]
+    return found
+
+
+def word_scores(word: str, kind: str, before: str, after: str, lexicon: Lexicon, context: dict[str, dict[str, float]] | None = None) -> tuple[dict[str, float], tuple[str, str] | None]:
+    """A word's dimensions, and its operation if it names one.
+
+    Operation and exemplar lead; without either the word class and the neighbours decide; what is
+    weak then is helped by ``context``, the dimensions of the exemplars that the word occurs with.
+    """
     stem = lexicon.stem(word)
-    scores: dict[str, float] = {}
-    add = lambda d, x: scores.__setitem__(d, scores.get(d, 0.0) + x)
     operation = lexicon.operations.get(word) or lexicon.operations.get(stem)
-    if operation:
-        add(operation[0], 1.0)
-    for d, x in (lexicon.exemplars.get(word) or lexicon.exemplars.get(stem) or {}).items():
-        add(d, x)
-    if not scores:
-        if kind == "verb":
-            if before == "prep_rel":
-                add("CR", 0.4)
-            elif before == "pron_self":
-                add("IC", 0.3)
-                add("AI", 0.2)
-            else:
-                add("EW", 0.3)
-        elif kind == "pron_self":
-            add("IC", 0.3)
-            add("AI", 0.3)
-        elif kind == "pron_other":
-            add("CR", 0.4)
-        elif kind == "prep_rel":
-            add("CR", 0.6)
-        elif kind == "noun":
-            add("KO" if before == "verb" else "SF", 0.3)
-        elif kind == "adj":
-            add("DE" if after == "noun" else "IC", 0.3 if after == "noun" else 0.1)
-        elif kind == "adv":
-            add("IC", 0.1)
+    found = [(operation[0], 1.0)] if operation else []
+    found += (lexicon.exemplars.get(word) or lexicon.exemplars.get(stem) or {}).items()
+    found = found or _by_class(kind, (before, after), lexicon)
+    scores: dict[str, float] = {}
+    for d, x in found:
+        scores[d] = scores.get(d, 0.0) + x
+    if context and sum(scores.values()) < WEAK:
+        for d, x in context.get(word, {}).items():
+            scores[d] = scores.get(d, 0.0) + PROPAGATED * x
     return scores, operation
 
 
-def parse(text: str | None, lexicon: Lexicon) -> dict:
+def parse(text: str | None, lexicon: Lexicon, context: dict[str, dict[str, float]] | None = None) -> dict:
     """Eight mean scores (at most 1), distinct chains of dominant dimensions, and operations in order."""
     words = [w.lower() for w in _WORDS.findall(text or "")]
     kinds = [word_class(w) for w in words]
@@ -106,7 +117,7 @@ def parse(text: str | None, lexicon: Lexicon) -> dict:
     for k, (word, kind) in enumerate(zip(words, kinds, strict=True)):
         if kind in ("stop", "aux"):
             continue
-        found, operation = word_scores(word, kind, kinds[k - 1] if k else "", kinds[k + 1] if k + 1 < len(kinds) else "", lexicon)
+        found, operation = word_scores(word, kind, words[k - 1] if k else "", words[k + 1] if k + 1 < len(words) else "", lexicon, context)
         if operation and operations[-1:] != [step := ":".join(operation)]:
             operations.append(step)
         if not found:
@@ -136,14 +147,14 @@ _TYPE = T.StructType(
 )
 
 
-def parser(lexicon: Lexicon | None = None):
-    """The parse as an Arrow UDF: one pass, one struct."""
+def parser(lexicon: Lexicon | None = None, context: dict[str, dict[str, float]] | None = None):
+    """The parse as an Arrow UDF: one pass, one struct.  ``context`` is of a bounded size (``corpus.propagated``)."""
     lexicon = lexicon or Lexicon()
     kind = pa.struct([("vector", pa.list_(pa.float64())), ("chains", pa.list_(pa.string())), ("operations", pa.list_(pa.string())), ("op_chain", pa.string())])
 
     @F.arrow_udf(_TYPE)
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([parse(x.as_py(), lexicon) for x in text], kind)
+        return pa.array([parse(x.as_py(), lexicon, context) for x in text], kind)
 
     return run
 
@@ -164,3 +175,18 @@ def first_chain(chains: Column, active: Column) -> Column:
     ranked = F.array_sort(F.filter(F.transform(active, lambda a, i: F.struct((-a).alias("low"), i.alias("place"))), lambda x: x["low"] < -0.1))
     fallback = F.transform(F.slice(ranked, 1, 4), lambda x: F.element_at(names, x["place"] + 1))
     return F.when(F.size(chains) > 0, F.split(F.element_at(chains, 1), ">")).otherwise(fallback)
+
+
+def chain_position(chains: Column, dimension: str) -> Column:
+    """Whether a dimension mostly starts chains, stands inside or ends them; null where it is in none."""
+    steps = F.transform(chains, lambda c: F.split(c, ">"))
+    count = lambda test: F.size(F.filter(steps, test))
+    first, last = count(lambda c: F.get(c, F.lit(0)) == dimension), count(lambda c: F.get(c, F.size(c) - 1) == dimension)
+    inside = count(lambda c: F.array_contains(F.slice(c, F.lit(2), F.greatest(F.size(c) - 2, F.lit(0))), dimension))
+    return F.when(first + last + inside == 0, None).when((first >= last) & (first >= inside), "initiator").when(inside >= last, "bridge").otherwise("responder")
+
+
+def fragments(words: Column, scores: Column, dimension: str, least: float = 0.1, top: int = 5) -> Column:
+    """The first words whose map of scores holds more than ``least`` of a dimension."""
+    hits = F.filter(F.arrays_zip(words.alias("w"), scores.alias("s")), lambda x: F.coalesce(x["s"][dimension], F.lit(0.0)) > least)
+    return F.slice(F.transform(hits, lambda x: x["w"]), 1, top)

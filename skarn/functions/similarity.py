@@ -62,7 +62,7 @@ def blended(g: Column, d_seq: Column, d_seconds: Column, linked: Column) -> Colu
 
 def directed(a_chain: Column, b_chain: Column, a_active: Column, b_active: Column, a_ops: Column, b_ops: Column) -> Column:
     """0.5 chain fit + 0.3 overlap of active dimensions + 0.2 overlap of operations."""
-    last, first = F.element_at(a_chain, -1), F.element_at(b_chain, 1)
+    last, first = F.get(a_chain, F.size(a_chain) - 1), F.get(b_chain, F.lit(0))
     table = F.create_map(*(F.lit(x) for (s, d), w in L.ADJACENCY.items() for x in (f"{s}>{d}", w)))
     fit = F.when(last == first, 1.0).otherwise(F.coalesce(table[F.concat(last, F.lit(">"), first)], F.lit(0.0)))
     return 0.5 * F.coalesce(fit, F.lit(0.0)) + 0.3 * jaccard(a_active, b_active) + 0.2 * jaccard(a_ops, b_ops)

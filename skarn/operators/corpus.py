@@ -193,3 +193,19 @@ def learn(lists: DataFrame, size: int, **options) -> tuple[DataFrame, DataFrame,
     vocab = cut(vocabulary(stats, totals, size, **options))
     pairs = pairs_around(lists, [r.term for r in vocab.select("term").collect()])  # at most ``size`` terms
     return stats, totals, vocab, cut(links_to(vocab, pmi(pairs, stats, totals)))
+
+
+def propagated(lists: DataFrame, exemplars: dict[str, list[str]], stats: DataFrame, totals: DataFrame, top: int = 50_000) -> dict[str, dict[str, float]]:
+    """word -> {dimension: score} from the exemplars that a word occurs with more than by chance.
+
+    A word's dimensions are the sums of its positive PMI with exemplars, over the largest of them.
+    The ``top`` words of most PMI are kept, a bound on what every task is handed.
+    """
+    spark = lists.sparkSession
+    dims = spark.createDataFrame([(w, d) for w, own in exemplars.items() for d in own], "exemplar string, dimension string")
+    near = pmi(pairs_around(lists, list(exemplars)), stats, totals).where("pmi > 0")
+    ways = [near.select(F.col(a).alias("term"), F.col(b).alias("exemplar"), "pmi") for a, b in (("t1", "t2"), ("t2", "t1"))]
+    sums = ways[0].unionByName(ways[1]).join(F.broadcast(dims), "exemplar").groupBy("term", "dimension").agg(F.sum("pmi").alias("x"))
+    packed = sums.groupBy("term").agg(F.max("x").alias("most"), F.collect_list(F.struct("dimension", "x")).alias("own"))
+    rows = packed.orderBy(F.desc("most"), "term").limit(top).collect()
+    return {r.term: {o.dimension: o.x / r.most for o in r.own} for r in rows}

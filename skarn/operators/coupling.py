@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.core.durable import cut
 from skarn.functions import similarity as S
+from skarn.operators.components import connected_components
 
 REACH = 19
 
@@ -26,12 +28,36 @@ def neighbours(rows: DataFrame, seq: str, reach: int = REACH, start: int | None
     return left.join(right, "block").where((gap >= 1) & (gap <= reach)).drop("block")
 
 
-def couple(rows: DataFrame, seq: str, vector: str, theta: float, reach: int = REACH, start: int | None = None) -> DataFrame:
-    """(src, dst, gamma, wrapping) of neighbours with gamma of theta or more."""
-    pairs = neighbours(rows.select(seq, vector), seq, reach, start)
+NEARLY, ALIKE, PATHWAY = 0.8, 0.4, 0.4
+
+
+def couple(rows: DataFrame, seq: str, vector: str, theta: float, reach: int = REACH, start: int | None = None, chains: str | None = None, pathway: str | None = None, order: str | None = None, seconds: str | None = None) -> DataFrame:
+    """(src, dst, gamma, wrapping, rule) of neighbours that one of four rules couples, the first that does.
+
+    gamma: theta or more.  chain: nearly theta, and chains alike (``chains``, an array).  pathway:
+    the directed coupling of ``pathway`` (a struct of chain, active and ops).  order: both have a
+    place in a chain of turns (``order``, with ``seconds``), and gamma blended with nearness reaches
+    theta; left out for appended rows (``start``).  Rows with an empty vector couple with none.
+    """
+    extra = [c for c in (chains, pathway, order, seconds) if c is not None]
+    pairs = neighbours(rows.where(F.size(vector) > 0).select(seq, vector, *extra), seq, reach, start)
     a, b = F.col(f"a_{vector}"), F.col(f"b_{vector}")
-    scored = pairs.select(F.col(f"a_{seq}").alias("src"), F.col(f"b_{seq}").alias("dst"), S.gamma(a, b).alias("gamma"), S.wrapping(S.angle(a, b)).alias("wrapping"))
-    return scored.where(F.col("gamma") >= theta)
+    both = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
+    scored = pairs.withColumn("gamma", S.gamma(a, b))
+    rule = F.when(F.col("gamma") >= theta, "gamma")
+    if chains is not None:
+        x, y = both(chains)
+        rule = rule.when((F.col("gamma") >= NEARLY * theta) & (S.jaccard(x, y) >= ALIKE), "chain")
+    if pathway is not None:
+        x, y = both(pathway)
+        rule = rule.when(S.directed(x["chain"], y["chain"], x["active"], y["active"], x["ops"], y["ops"]) >= PATHWAY, "pathway")
+    if order is not None and start is None:
+        x, y = both(order)
+        gap = F.abs(y - x)
+        lag = F.abs(F.col(f"b_{seconds}") - F.col(f"a_{seconds}")) if seconds is not None else F.lit(0)
+        rule = rule.when(x.isNotNull() & y.isNotNull() & (S.blended(F.col("gamma"), gap, lag, F.lit(False)) >= theta), "order")
+    kept = scored.withColumn("rule", rule).where("rule is not null")
+    return kept.select(F.col(f"a_{seq}").alias("src"), F.col(f"b_{seq}").alias("dst"), "gamma", S.wrapping(S.angle(a, b)).alias("wrapping"), "rule")
 
 
 def centred(rows: DataFrame, key: str, vector: str) -> DataFrame:
@@ -53,7 +79,8 @@ def threshold(scores: DataFrame, column: str, share: float = 0.75) -> Column:
 def sampled_pairs(rows: DataFrame, seq: str, vector: str, sample: int = 500, reach: int = REACH, seed: int = 7) -> DataFrame:
     """gamma of ``sample`` neighbour pairs chosen by hash: the bounded sample that the threshold is read from."""
     pairs = neighbours(rows.select(seq, vector), seq, reach)
-    chosen = pairs.orderBy(F.xxhash64(F.lit(seed), f"a_{seq}", f"b_{seq}"), f"a_{seq}", f"b_{seq}").limit(sample)
+    key = F.md5(F.concat_ws(":", F.lit(seed), f"a_{seq}", f"b_{seq}"))
+    chosen = pairs.orderBy(key, f"a_{seq}", f"b_{seq}").limit(sample)
     return chosen.select(S.gamma(F.col(f"a_{vector}"), F.col(f"b_{vector}")).alias("gamma"))
 
 
@@ -79,28 +106,35 @@ def coupling_stats(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return counted.crossJoin(n).withColumn("density", F.when(F.col("rows") > 1, 2.0 * F.col("edges") / (F.col("rows") * (F.col("rows") - 1))).otherwise(0.0))
 
 
-def fission(edges: DataFrame, rows_total: int, rounds: int = 10, share: float = 0.15) -> DataFrame:
+def fission(edges: DataFrame, rows_total: int, rounds: int = 10, share: float = 0.15, least: int = 2) -> DataFrame:
     """(node, component) after splitting what is larger than ``share`` of all rows by cutting its weakest couplings.
 
-    Each round cuts the weakest 30 % (5 more per round, 70 at most) within oversized components;
-    a component that stays whole is left as it is.
+    Each round takes, within each oversized component, the couplings up to the value that stands at
+    30 % of their number (5 more per round, 70 at most) away; gammas count to four places, so that a
+    component has at most 10,001 distinct ones and its cut is found without sorting its couplings.
+    A component that falls apart keeps its parts of ``least`` rows or more, one that does not stays
+    as it is, its couplings cut; without a split the rounds end.
     """
-    from skarn.core.durable import cut
-    from skarn.operators.components import connected_components
-
-    edges = cut(edges.select("src", "dst", "gamma"))
+    edges = cut(edges.select("src", "dst", F.round("gamma", 4).alias("gamma")))
     found = cut(connected_components(edges))
-    settled: set[int] | None = None
     for k in range(rounds):
-        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > share * rows_total)
-        large = {r.component: r.size for r in sizes.collect()}  # fewer than 1/share components
-        if not large or settled == set(large.items()):
+        sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        large = cut(sizes.where(F.col("size") > share * rows_total).select("component", "size"))  # fewer than 1/share
+        inside = edges.join(found.withColumnRenamed("node", "src"), "src").join(F.broadcast(large.select("component")), "component")
+        values = inside.groupBy("component", "gamma").agg(F.count(F.lit(1)).alias("n"))
+        ahead = Window.partitionBy("component").orderBy("gamma")
+        ranked = values.withColumn("upto", F.sum("n").over(ahead)).withColumn("total", F.sum("n").over(Window.partitionBy("component")))
+        place = F.greatest(F.lit(1), F.floor(F.col("total") * min(30 + 5 * k, 70) / 100))
+        cuts = ranked.where(F.col("upto") >= place).groupBy("component").agg(F.min("gamma").alias("cut"))
+        kept = cut(inside.join(F.broadcast(cuts), "component").where("gamma > cut").select("component", "src", "dst", "gamma"))
+        parts = connected_components(kept).withColumnRenamed("component", "part")
+        of_large = cut(found.join(F.broadcast(large.select("component")), "component").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        split = of_large.groupBy("component").agg(F.count_distinct("part").alias("parts")).where("parts > 1").select("component")
+        if split.limit(1).count() == 0:
             break
-        settled = set(large.items())
-        inside = edges.join(found.withColumnRenamed("node", "src"), "src").where(F.col("component").isin(list(large)))
-        order = F.percent_rank().over(Window.partitionBy("component").orderBy("gamma"))
-        kept = inside.withColumn("rank", order).where(F.col("rank") > min(30 + 5 * k, 70) / 100).select("src", "dst", "gamma")
-        other = edges.join(found.withColumnRenamed("node", "src"), "src").where(~F.col("component").isin(list(large))).select("src", "dst", "gamma")
-        edges = cut(kept.unionByName(other))
-        found = cut(connected_components(edges))
+        split = F.broadcast(cut(split))
+        fallen = of_large.join(split, "component").select("node", F.col("part").alias("component"))
+        big = fallen.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("component")
+        edges = cut(kept.select("src", "dst", "gamma").unionByName(edges.join(found.withColumnRenamed("node", "src"), "src").join(F.broadcast(large.select("component")), "component", "left_anti").select("src", "dst", "gamma")))
+        found = cut(found.join(split, "component", "left_anti").select("node", "component").unionByName(fallen.join(big, "component").select("node", "component")))
     return found

@@ -50,14 +50,27 @@ def growth_fit(points: DataFrame, n: str, r: str) -> DataFrame:
     return points.agg(F.when(enough, F.regr_slope(y, x)).alias("slope"), F.when(enough, F.regr_intercept(y, x)).alias("intercept"), F.when(enough, F.regr_r2(y, x)).alias("r2"))
 
 
-def feedback(events: DataFrame, key: str, order: list[str], helpful: str) -> DataFrame:
+def feedback(events: DataFrame, key: str, order: list[str], helpful: str, now: Column | None = None, idle_days: float = 7.0) -> DataFrame:
     """(key, hits, weight): a weight that helpful uses raise by a tenth (3 at most) and others lower by 15 % (0.1 at least).
 
-    The fold is bounded both ways, so order matters; events are compacted to one number each before they are collected per key.
+    The fold is bounded both ways, so order matters, but steps x -> min(high, max(low, a x)) compose:
+    a day's uses of a key become one step, and the days are folded.  ``order`` starts with the time of
+    use.  With ``now``, a key that was not used for ``idle_days`` loses five percent.
     """
-    steps = F.array_sort(F.collect_list(F.struct(*order, F.col(helpful).alias("helpful"))))
-    fold = lambda w, s: F.when(s["helpful"], F.least(F.lit(3.0), w * 1.1)).otherwise(F.greatest(F.lit(0.1), w * 0.85))
-    return events.groupBy(key).agg(F.count(F.lit(1)).alias("hits"), F.aggregate(steps, F.lit(1.0), fold).alias("weight"))
+    day = F.to_date(F.col(order[0]).cast("timestamp"))
+    uses = F.array_sort(F.collect_list(F.struct(*order, F.col(helpful).alias("helpful"))))
+    kind = "struct<a:double,low:double,high:double>"
+    struct = lambda a, low, high: F.struct(a.alias("a"), low.alias("low"), high.alias("high")).cast(kind)
+    raised = lambda s: struct(s["a"] * 1.1, F.least(F.lit(3.0), s["low"] * 1.1), F.least(F.lit(3.0), s["high"] * 1.1))
+    lowered = lambda s: struct(s["a"] * 0.85, F.greatest(F.lit(0.1), s["low"] * 0.85), F.greatest(F.lit(0.1), s["high"] * 0.85))
+    step = F.aggregate(uses, struct(F.lit(1.0), F.lit(0.0), F.lit(1e300)), lambda s, u: F.when(u["helpful"], raised(s)).otherwise(lowered(s)))
+    days = events.groupBy(key, day.alias("day")).agg(F.count(F.lit(1)).alias("n"), step.alias("step"), F.max(order[0]).alias("last"))
+    fold = F.aggregate(F.array_sort(F.collect_list(F.struct("day", "step"))), F.lit(1.0), lambda w, d: F.least(d["step"]["high"], F.greatest(d["step"]["low"], w * d["step"]["a"])))
+    out = days.groupBy(key).agg(F.sum("n").alias("hits"), fold.alias("weight"), F.max("last").alias("last"))
+    if now is not None:
+        idle = F.unix_micros(F.col("last").cast("timestamp")) < F.unix_micros(now.cast("timestamp")) - int(idle_days * 86_400e6)
+        out = out.withColumn("weight", F.when(idle, F.greatest(F.lit(0.1), F.col("weight") * 0.95)).otherwise(F.col("weight")))
+    return out.select(key, "hits", "weight")
 
 
 def usage_rate(events: DataFrame, key: str, ts: str, alarm: float = 50.0) -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skarn.functions import grammar as G
+from skarn.functions import lexicon as L
 from skarn.functions import similarity as S
 from skarn.functions import text as X
 from skarn.operators import corpus, coupling, formations
 from skarn.operators.components import connected_components
-from skarn.plans.corpus_queries import STATS, _lists
+from skarn.plans.corpus_queries import HIGH, LINKS, PMI, STATS, _lists, _model
 from skarn.plans.grammar_queries import ADDRESS, _signals_sql
 from skarn.plans.registry import query, table
 
@@ -55,17 +57,70 @@ def j04_blended(spark, sf):
     return pairs.select(F.col("a_vec_id").alias("src"), F.col("b_vec_id").alias("dst"), F.round(strength, 6).alias("strength"))
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, round(gamma, 4) AS gamma FROM edges")
+# Rows with chains, pathways and places in order, read off a vector: its first eight entries are taken for dimensions.
+_DIMS = "[" + ", ".join(f"'{d}'" for d in L.DIMENSIONS) + "]"
+_ADJACENT = ", ".join(f"('{a}', '{b}', {w}::DOUBLE)" for (a, b), w in L.ADJACENCY.items())
+_CHAINED = (
+    "c0 AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings),"
+    f" c1 AS (SELECT vec_id, list_transform(list_slice(list_sort(list_filter([{{'low': -v[k + 1], 'place': k}} for k in range(8)], lambda s: s.low < -0.05)), 1, 4), lambda s: {_DIMS}[s.place + 1]) AS chain,"
+    f" [{_DIMS}[k + 1] for k in range(8) if v[k + 1] > 0.15] AS active, [{_DIMS}[k + 1] for k in range(8) if v[k + 9] > 0.15] AS ops FROM c0),"
+    " rows AS (SELECT *, [chain[k] || '>' || chain[k + 1] for k in range(1, len(chain))] AS chains FROM c1)"
+)
+_JACCARD = lambda x, y: f"CASE WHEN len(list_distinct({x} || {y})) > 0 THEN len(list_intersect({x}, {y})) / len(list_distinct({x} || {y})) ELSE 0.0 END"
+_RULES = (
+    f"WITH {_NEAR}, {_CHAINED}, adj(a, b, w) AS (VALUES {_ADJACENT}),"
+    " j AS (SELECT g.src, g.dst, g.gamma, CASE WHEN a.chain[-1] = b.chain[1] THEN 1.0 ELSE coalesce(w, 0.0) END AS fit,"
+    f" {_JACCARD('a.chains', 'b.chains')} AS alike, {_JACCARD('a.active', 'b.active')} AS active, {_JACCARD('a.ops', 'b.ops')} AS ops"
+    " FROM g JOIN rows a ON a.vec_id = g.src JOIN rows b ON b.vec_id = g.dst LEFT JOIN adj ON adj.a = a.chain[-1] AND adj.b = b.chain[1]),"
+    f" ruled AS (SELECT src, dst, gamma, CASE WHEN gamma >= {THETA} THEN 'gamma' WHEN gamma >= 0.8 * {THETA} AND alike >= 0.4 THEN 'chain' WHEN 0.5 * fit + 0.3 * active + 0.2 * ops >= 0.4 THEN 'pathway'"
+    f" WHEN src % 3 <> 0 AND dst % 3 <> 0 AND 0.7 * gamma + 0.3 * CASE WHEN gamma < 0.2 THEN 0 ELSE greatest(1.0 / (1 + dst - src), 60.0 / (60 + 30 * (dst - src))) END >= {THETA} THEN 'order' END AS rule FROM j)"
+)
+
+
+def _chained(spark, sf):
+    """Vectors with chains, a pathway and, but for every third, a place in a chain of turns 30 seconds apart."""
+    rows = _vectors(spark, sf)
+    v = F.transform("v", lambda x: F.round(x.cast("double"), 6))
+    names = F.array(*map(F.lit, L.DIMENSIONS))
+    ranked = F.array_sort(F.filter(F.transform(F.slice(v, 1, 8), lambda x, k: F.struct((-x).alias("low"), k.alias("place"))), lambda s: s["low"] < -0.05))
+    over = lambda first: F.transform(F.filter(F.transform(F.slice(v, first, 8), lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda s: s["x"] > 0.15), lambda s: F.element_at(names, s["k"] + 1))
+    out = rows.withColumn("chain", F.transform(F.slice(ranked, 1, 4), lambda s: F.element_at(names, s["place"] + 1)))
+    follow = F.zip_with(F.slice("chain", F.lit(1), F.greatest(F.size("chain") - 1, F.lit(0))), F.slice("chain", F.lit(2), F.greatest(F.size("chain") - 1, F.lit(0))), lambda a, b: F.concat_ws(">", a, b))
+    place = F.when(F.col("vec_id") % 3 != 0, F.col("vec_id"))
+    return out.select("vec_id", "v", follow.alias("chains"), F.struct("chain", over(1).alias("active"), over(9).alias("ops")).alias("pathway"), place.alias("place"), (F.col("vec_id") * 30).alias("seconds"))
+
+
+def _ruled(spark, sf, start=None):
+    found = coupling.couple(_chained(spark, sf), "vec_id", "v", THETA, start=start, chains="chains", pathway="pathway", order="place", seconds="seconds")
+    return found.select("src", "dst", F.round("gamma", 4).alias("gamma"), "rule")
+
+
+@query(f"{_RULES} SELECT src, dst, round(gamma, 4) AS gamma, rule FROM ruled WHERE rule IS NOT NULL")
 def j05_couplings(spark, sf):
-    return _edges(spark, sf).select("src", "dst", F.round("gamma", 4).alias("gamma"))
+    """Neighbours coupled by gamma, or rescued by chains, pathways or order."""
+    return _ruled(spark, sf)
 
 
-@query()
+@query(
+    f"WITH {_NEAR}, s AS (SELECT gamma FROM g ORDER BY md5('7:' || src || ':' || dst), src, dst LIMIT 500)"
+    " SELECT round(greatest(1 / sqrt(5), list_sort(list(gamma))[floor(count(*) * 0.75)::INT + 1]), 6) AS theta FROM s"
+)
 def j06_threshold(spark, sf):
     """The adaptive threshold from a bounded sample of pairs, chosen by hash."""
     return coupling.sampled_pairs(_vectors(spark, sf), "vec_id", "v").agg(F.round(coupling.threshold(None, "gamma"), 6).alias("theta"))
 
 
+@query(
+    f"WITH {_CHAINED}, u AS (SELECT vec_id, chains, unnest({_DIMS}) AS dimension FROM rows),"
+    " n AS (SELECT vec_id, dimension, len(list_filter(chains, lambda c: c[1:2] = dimension)) AS first, len(list_filter(chains, lambda c: c[4:5] = dimension)) AS last FROM u)"
+    " SELECT vec_id, dimension, CASE WHEN first >= last THEN 'initiator' ELSE 'responder' END AS position FROM n WHERE first + last > 0"
+)
+def g17_chain_positions(spark, sf):
+    """Where each dimension stands in a row's chains."""
+    rows = _chained(spark, sf).select("vec_id", F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), G.chain_position(F.col("chains"), d).alias("position")) for d in L.DIMENSIONS))).alias("p"))
+    return rows.select("vec_id", "p.dimension", "p.position").where("position is not null")
+
+
 @query(
     f"WITH {_E}, x AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM e), m AS (SELECT pos, avg(x) AS mean FROM x GROUP BY pos),"
     " c AS (SELECT vec_id, pos, x - mean AS y FROM x JOIN m USING (pos)), n AS (SELECT vec_id, sqrt(sum(y * y)) AS norm FROM c GROUP BY vec_id)"
@@ -76,10 +131,10 @@ def j07_centred(spark, sf):
     return moved.select("vec_id", (F.col("pos") + 1).cast("long").alias("pos"), F.round("value", 5).alias("value"))
 
 
-@query(f"WITH {_EDGES} SELECT src, dst, round(gamma, 4) AS gamma FROM edges WHERE dst >= 400")
+@query(f"{_RULES} SELECT src, dst, round(gamma, 4) AS gamma, rule FROM ruled, (SELECT count(*) * 4 // 5 AS start FROM embeddings) WHERE dst >= start AND rule IS NOT NULL AND rule <> 'order'")
 def j08_appended_couplings(spark, sf):
-    """Only what rows from 400 on add to the couplings."""
-    return coupling.couple(_vectors(spark, sf), "vec_id", "v", THETA, start=400).select("src", "dst", F.round("gamma", 4).alias("gamma"))
+    """Only what the last fifth of the rows adds to the couplings."""
+    return _ruled(spark, sf, start=table(spark, sf, "embeddings").count() * 4 // 5)
 
 
 @query(f"WITH {_E}, p AS (SELECT v FROM e WHERE vec_id = 0) SELECT b.vec_id, round({_G}, 6) AS gamma FROM e b, p a ORDER BY round({_G}, 6) DESC, b.vec_id LIMIT 10")
@@ -162,6 +217,22 @@ def f05_formations(spark, sf):
     return f.select("address", "size", "minds", F.round("mean_ache", 5).alias("mean_ache"), "representative", F.round("amplitude", 6).alias("amplitude"), "trust", F.round("diversity", 6).alias("diversity"), F.round("score", 5).alias("score"))
 
 
+@query(
+    f"WITH {PMI}{HIGH}{LINKS}, {ADDRESS}, x AS (SELECT DISTINCT id, term FROM tok), st AS (SELECT term, sum(abs(value)) AS strength FROM links GROUP BY term),"
+    " k AS (SELECT id, term, log2(doc_count / df) * strength AS score FROM x JOIN stats USING (term) JOIN st USING (term), totals WHERE length(term) >= 3 AND df <= 0.5 * doc_count),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, term) AS rank FROM k WHERE score > 0),"
+    " n AS (SELECT address, term, count(*) AS n FROM r JOIN addressed ON doc_id = id WHERE rank <= 5 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY n DESC, term) AS place FROM n)"
+    " SELECT address, string_agg(term, ' ' ORDER BY place) AS keywords FROM b WHERE place <= 5 GROUP BY address"
+)
+def f05_keywords(spark, sf):
+    """The five keywords that most members of a formation have."""
+    lists, stats, totals, _, links = _model(spark, sf)
+    vector = F.transform(X.structural(F.col("text")), lambda x: F.round(x, 6))
+    filed = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.address(vector).alias("address"))
+    words = corpus.keywords(lists, stats, totals, links).select("id", "term").join(filed, "id")
+    return formations.mode_lists(words, "address", "term").select("address", F.array_join("items", " ").alias("keywords"))
+
+
 @query(f"{_AGG} SELECT address, row_number() OVER (ORDER BY round(score, 6) DESC, size DESC, address) AS rank FROM scored ORDER BY rank LIMIT 10")
 def f07_ranking(spark, sf):
     top = _formations(spark, sf).select("address", "size", F.round("score", 6).alias("score")).orderBy(F.desc("score"), F.desc("size"), "address").limit(10)

@@ -103,12 +103,13 @@ def a10_growth_fit(spark, sf):
 @query(
     "WITH RECURSIVE e AS (SELECT user_id, event_type = 'purchase' AS helpful, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),"
     " f AS (SELECT user_id, 0::BIGINT AS k, 1.0::DOUBLE AS weight FROM e WHERE k = 1 UNION ALL"
-    " SELECT f.user_id, e.k, CASE WHEN helpful THEN least(3.0, weight * 1.1::DOUBLE) ELSE greatest(0.1, weight * 0.85::DOUBLE) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)"
-    " SELECT user_id, max(k) AS hits, round(arg_max(weight, k), 6) AS weight FROM f GROUP BY user_id"
-)
+    " SELECT f.user_id, e.k, CASE WHEN helpful THEN least(3.0, weight * 1.1::DOUBLE) ELSE greatest(0.1, weight * 0.85::DOUBLE) END FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1),"
+    " w AS (SELECT user_id, max(k) AS hits, arg_max(weight, k) AS weight FROM f GROUP BY user_id), l AS (SELECT user_id, max(ts) AS last FROM events GROUP BY user_id) SELECT user_id, hits, round(CASE WHEN last < (SELECT max(ts) FROM events) - INTERVAL 7 DAY THEN greatest(0.1, weight * 0.95) ELSE weight END, 6) AS weight FROM w JOIN l USING (user_id)")
 def a14_feedback(spark, sf):
+    """Weights after all uses; what the last week does not use has decayed, as of the newest event."""
     events = table(spark, sf, "events").withColumn("helpful", F.col("event_type") == "purchase")
-    return profile.feedback(events, "user_id", ["ts", "event_id"], "helpful").select("user_id", "hits", F.round("weight", 6).alias("weight"))
+    newest = events.agg(F.max("ts").alias("t")).first()["t"]
+    return profile.feedback(events, "user_id", ["ts", "event_id"], "helpful", now=F.lit(newest)).select("user_id", "hits", F.round("weight", 6).alias("weight"))
 
 
 @query(

@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the small tables, and known values of single operators."""
 
 import math
+import random
 
 import duckdb
 import pytest
@@ -145,3 +146,100 @@ def test_chains_evolve(spark):
     assert got["D>E"] == (3, 2, 0) and got["A>B"] == (3, 1, 0)
     last = formations.evolve(second, rows("C"), 30)
     assert "A>B" not in {r.chain for r in last.collect()}
+
+
+def test_words_take_dimensions_from_class_and_neighbours():
+    lexicon = grammar.Lexicon({"love": {"IC": 1.0}, "test": {"TE": 1.0, "KO": 0.5}}, {"make": ("EW", "make")})
+    scores = lambda before, word, after, context=None: grammar.word_scores(word, grammar.word_class(word), before, after, lexicon, context)[0]
+    assert scores("made", "nation", "love") == {"IC": 0.3}
+    assert scores("testing", "nation", "love") == {"TE": 0.3, "KO": 0.3, "IC": 0.3}
+    assert scores("love", "useful", "testing") == {"IC": 0.1, "TE": 0.3, "KO": 0.3}
+    assert scores("x", "useful", "y") == {"IC": 0.1} and scores("x", "nation", "y") == {}
+    assert scores("with", "sprinting", "x") == {"CR": 0.4} and scores("we", "sprinting", "x") == {"IC": 0.3, "AI": 0.2}
+    assert scores("x", "sprinting", "y") == {"EW": 0.3} and scores("x", "make", "y") == {"EW": 1.0}
+    assert scores("x", "useful", "y", {"useful": {"DE": 1.0}}) == {"IC": 0.1, "DE": 0.5}
+    assert scores("x", "sprinting", "y", {"sprinting": {"DE": 1.0}}) == {"EW": 0.3}  # not weak
+
+
+def test_context_spreads_exemplar_dimensions(spark):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(["love apple", "love apple", "test apple", "pear test", "plum fig"])], "doc_id long, text string")
+    lists = corpus.token_lists(docs)
+    stats = corpus.token_stats(lists)
+    totals = corpus.corpus_stats(lists, corpus.pair_stats(lists))
+    got = corpus.propagated(lists, {"love": ["IC"], "test": ["TE"]}, stats, totals)
+    assert got["apple"]["IC"] == 1.0 and set(got) <= {"apple", "pear", "love", "test"} and got["pear"] == {"TE": 1.0}
+    assert got["apple"].get("TE", 0) < 1
+
+
+def test_pairs_around_and_among_are_those_of_all_pairs(spark, sf):
+    lists = corpus.token_lists(spark.read.parquet(f"{sf}/documents.parquet").limit(60))
+    every = {(r.t1, r.t2): r.n for r in corpus.pair_stats(lists).collect()}
+    terms = sorted({t for pair in list(every)[:40] for t in pair})
+    around = {(r.t1, r.t2): r.n for r in corpus.pairs_around(lists, terms).collect()}
+    assert around == {p: n for p, n in every.items() if p[0] in terms or p[1] in terms}
+    wanted = sorted(p for p in every if p[0] in terms and p[1] in terms)[::2]
+    among = corpus.pairs_among(lists, terms, spark.createDataFrame(wanted, "t1 string, t2 string"))
+    assert {(r.t1, r.t2): r.n for r in among.collect()} == {p: every[p] for p in wanted}
+    assert lists.agg(F.sum(corpus.pair_mass(F.col("words")))).first()[0] == sum(every.values())
+
+
+def brute_fission(edges, total, share=0.15, least=2):
+    """Breadth-first search over what is left of each oversized component, round by round."""
+
+    def parts(nodes, links):
+        near = {n: set() for n in nodes}
+        for a, b, _ in links:
+            near[a].add(b)
+            near[b].add(a)
+        out, seen = [], set()
+        for n in nodes:
+            if n not in seen:
+                own, queue = {n}, [n]
+                while queue:
+                    new = near[queue.pop()] - own
+                    own |= new
+                    queue += new
+                seen |= own
+                out.append(own)
+        return out
+
+    edges = [(a, b, round(g, 4)) for a, b, g in edges]
+    found = parts({n for a, b, _ in edges for n in (a, b)}, edges)
+    for k in range(10):
+        after, split = [], False
+        for own in found:
+            if len(own) <= share * total:
+                after.append(own)
+                continue
+            inside = sorted(g for a, b, g in edges if a in own)
+            cut = inside[max(1, len(inside) * min(30 + 5 * k, 70) // 100) - 1] if inside else 0
+            edges = [e for e in edges if e[0] not in own or e[2] > cut]
+            new = parts(own, [e for e in edges if e[0] in own])
+            split |= len(new) > 1
+            after += [x for x in new if len(x) >= least] if len(new) > 1 else [own]
+        found = after
+        if not split:
+            break
+    return {n: min(own) for own in found for n in own}
+
+
+def test_fission_against_brute_force(spark):
+    rng = random.Random(4)
+    edges = sorted({(min(p), max(p)) for p in ((rng.randrange(60), rng.randrange(60)) for _ in range(220)) if p[0] != p[1]})
+    edges = [(a, b, round(rng.random(), 5)) for a, b in edges] + [(100, 101, 0.5), (101, 102, 0.6)]
+    got = coupling.fission(spark.createDataFrame(edges, "src long, dst long, gamma double"), 80).collect()
+    want = brute_fission(edges, 80)
+    assert {r.node: r.component for r in got} == want and len(set(want.values())) > 2
+
+
+def test_feedback_folds_days_and_decays(spark):
+    rng = random.Random(6)
+    rows = [(k % 5, f"2024-01-{rng.randrange(1, 20):02d} {rng.randrange(24):02d}:00:00", k, rng.random() < [0.9, 0.5, 0.1, 0.6, 0.7][k % 5]) for k in range(600)]
+    events = spark.createDataFrame(rows, "key int, at string, id int, good boolean").withColumn("ts", F.col("at").cast("timestamp"))
+    got = {r.key: r.weight for r in profile.feedback(events, "key", ["ts", "id"], "good", now=F.lit("2024-01-21").cast("timestamp")).collect()}
+    for key in range(5):
+        w, own = 1.0, sorted((at, i, g) for k, at, i, g in rows if k == key)
+        for _, _, good in own:
+            w = min(3.0, w * 1.1) if good else max(0.1, w * 0.85)
+        w = max(0.1, w * 0.95) if own[-1][0] < "2024-01-14" else w
+        assert got[key] == pytest.approx(w)
