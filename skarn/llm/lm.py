@@ -258,11 +258,13 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Tree, DataFrame]:
     tree = Tree(total, distinct, words, n.astype(np.float64), [])
     tokens = counts.withColumn("gain", F.lit(0.0))
     frequent = counts.where(F.col("n") >= LEAST_ENTRY)
-    held = spark.sparkContext.broadcast(bloom(frequent))
+    held = spark.sparkContext.broadcast((bloom(counts.where(F.col("n") >= LEAST_STATE)), bloom(frequent)))
 
     def pairs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = maybe(held.value, words)
-        ok = ok[:-1] & ok[1:]
+        """Of a word that may be a state (so is the last word of any longer state) and one that may be listed."""
+        of_state, of_next = held.value
+        ok = maybe(of_state, words[:-1])
+        ok[ok] = maybe(of_next, words[1:][ok])
         ok[bounds[1:-1] - 1] = False
         at = np.flatnonzero(ok)
         return words[at], words[at + 1]
