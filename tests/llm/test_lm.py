@@ -45,6 +45,52 @@ def test_query(spark, sf01):
     assert all(r.score < 0 for r in got)
 
 
+def brute_scores(rows):
+    """id -> log10 probability under the tree, from counts of one, two and three words held in memory."""
+    train = [tokens(x) for i, x in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(t for own in train for t in own)
+    two = Counter(p for own in train for p in zip(own, own[1:], strict=False))
+    three = Counter(p for own in train for p in zip(own, own[1:], own[2:], strict=False))
+    total, distinct = sum(one.values()), len(one)
+    bar = math.log(max(total, 2))
+    root = lambda w: (one[w] + 1) / (total + distinct + 1)
+
+    def listed(counts, state_n, parent):
+        """state -> (mass left, next word -> share)."""
+        found = {}
+        for (*state, w), n in counts.items():
+            state = tuple(state)
+            if n >= lm.LEAST_ENTRY and state_n(state) >= lm.LEAST_STATE and (p := parent(state, w)) and n * math.log(n / state_n(state) / p) > bar:
+                found.setdefault(state, {})[w] = n
+        return {s: ((max(state_n(s) - sum(own.values()), 0) + lm.BACKOFF) / (state_n(s) + lm.BACKOFF), {w: n / (state_n(s) + lm.BACKOFF) for w, n in own.items()}) for s, own in found.items()}
+
+    first = listed(two, lambda s: one[s[0]], lambda s, w: root(w) if one[w] >= lm.LEAST_ENTRY else None)
+
+    def after(a, w):
+        rest, own = first.get((a,), (1.0, {}))
+        return own.get(w, 0.0) + rest * root(w)
+
+    kept = lambda a, b: two[a, b] >= lm.LEAST_ENTRY and one[a] >= lm.LEAST_STATE and one[b] >= lm.LEAST_ENTRY
+    second = listed(three, lambda s: two[s] if kept(*s) else 0, lambda s, w: after(s[1], w) if kept(s[1], w) else None)
+
+    def probability(before, w):
+        if not before:
+            return root(w)
+        low = after(before[-1], w)
+        rest, own = second.get(tuple(before), (1.0, {}))
+        return own.get(w, 0.0) + rest * low
+
+    return {i: sum(math.log10(probability(own[max(0, k - 2) : k], w)) for k, w in enumerate(own)) for i, x in rows for own in [tokens(x)]}
+
+
+def test_score_against_brute_force(spark, sf01):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf01}/documents.parquet").collect()]
+    want = brute_scores(rows)
+    got = op5_lm_score(spark, sf01).collect()
+    assert all(r.score == pytest.approx(want[r.doc_id], rel=1e-9) for r in got)
+    assert sum(abs(r.score - r.base_score) > 1 for r in got) > 100
+
+
 def test_distributions_sum_to_one(spark, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
     tree, _ = lm.train(docs)

@@ -39,6 +39,23 @@ def test_em_matches_row_by_row(spark, sf):
         assert abs(got[quality.pattern(t)] - p) < 1e-6
 
 
+def test_scores_match_a_plain_fit(spark, sf01):
+    """The same model fitted here on all rows, which the sample holds at this size."""
+    import numpy as np
+
+    rows = spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text").collect()
+    assert len(rows) <= quality.SAMPLE_ROWS
+    read = [quality._read(r.text) for r in rows]
+    posterior = brute_posteriors([quality.votes(found) for _, _, found in read])
+    made = [quality.features(*x) for x in read]
+    weights = quality.train([(s.tolist(), v.tolist(), p) for (s, v), p in zip(made, posterior, strict=True)])
+    got = {r.doc_id: r for r in op9_quality(spark, sf01).collect()}
+    for r, (slots, values), (_, words, _) in zip(rows, made, read, strict=True):
+        want = 1 / (1 + np.exp(-np.clip(values @ weights[slots] + weights[-1], -50, 50))) if words else 0.0
+        assert abs(got[r.doc_id].score - want) < 1e-4
+        assert abs(want - 0.5) < 1e-3 or got[r.doc_id].kept == (want >= 0.5)
+
+
 def test_odd_rows(spark, odd, empty):
     got = quality.classify(odd)
     assert got.columns == [*odd.columns, "quality_score", "quality_keep"]
