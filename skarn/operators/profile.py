@@ -36,6 +36,20 @@ def presence(lists: DataFrame) -> DataFrame:
     return out.withColumn("share", F.col("found") / F.col("size")).withColumn("gap", F.col("share") < 0.1)
 
 
+def warmth(found: DataFrame) -> DataFrame:
+    """One row: uses of feeling and relating seeds over uses of the four sober dimensions, of ``presence``."""
+    uses = lambda dims: F.coalesce(F.sum(F.when(F.col("dimension").isin(list(dims)), F.col("uses"))), F.lit(0))
+    warm, sober = uses(("IC", "CR")), uses(("KO", "TE", "SF", "DE"))
+    return found.agg(F.when(sober > 0, warm / sober).otherwise(0.0).alias("warmth"))
+
+
+def upper_median(lists: DataFrame) -> DataFrame:
+    """One row: the length at half of all passages, the upper one of two; by counts of lengths, not by sorting passages."""
+    counts = lists.groupBy(F.size("words").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = counts.withColumn("upto", F.sum("n").over(Window.orderBy("length"))).crossJoin(F.broadcast(counts.agg(F.sum("n").alias("total"))))
+    return ahead.where(F.col("upto") > F.floor(F.col("total") / 2)).agg(F.min("length").alias("median_length"))
+
+
 def calibrated_d(diversity: Column, passages: Column, mean_length: Column) -> Column:
     """6, moved by diversity, size and length of passages, within 5 to 8."""
     d = F.lit(6.0) + F.when(diversity > 0.3, 0.5).when(diversity < 0.1, -0.5).otherwise(0.0)

@@ -24,6 +24,17 @@ def a01_seed_presence(spark, sf):
     return profile.presence(_lists(spark, sf)).select("dimension", "uses", "found", "share", "gap")
 
 
+@query(
+    f"WITH {TOK}, {_SEEDS}, u AS (SELECT sum(CASE WHEN dimension IN ('IC', 'CR') THEN 1 ELSE 0 END) AS warm, sum(CASE WHEN dimension IN ('KO', 'TE', 'SF', 'DE') THEN 1 ELSE 0 END) AS sober FROM tok JOIN seeds USING (term)),"
+    " n AS (SELECT list_sort(list(n)) AS ns FROM (SELECT count(*) AS n FROM tok GROUP BY id))"
+    " SELECT round(CASE WHEN sober > 0 THEN warm / sober ELSE 0.0 END, 6) AS warmth, ns[len(ns) // 2 + 1]::INT AS median_length FROM u, n"
+)
+def a01_warmth(spark, sf):
+    """How warm the corpus speaks, and the upper median length of its passages."""
+    lists = _lists(spark, sf)
+    return profile.warmth(profile.presence(lists)).select(F.round("warmth", 6).alias("warmth")).crossJoin(profile.upper_median(lists))
+
+
 _NEAR_SEEDS = (
     f"WITH {TOK}, {_SEEDS}, near AS (SELECT dimension, b.term, count(*) AS n FROM tok a JOIN seeds USING (term) JOIN tok b ON a.id = b.id AND b.pos BETWEEN a.pos - 10 AND a.pos + 10 AND b.pos <> a.pos"
     " WHERE length(b.term) >= 3 AND b.term NOT IN (" + ", ".join(f"'{w}'" for w in L.VOCAB_STOPWORDS) + ") GROUP BY 1, 2)"
