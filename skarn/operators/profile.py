@@ -149,7 +149,8 @@ def fingerprint(members: DataFrame, chain: str, top: int = 8) -> DataFrame:
 def effective_dimension(rows: DataFrame, vector: str, share: float = 0.9) -> tuple[int, list[float]]:
     """The least number of principal directions that explain ``share`` of the variance, and all shares.
 
-    Each task sums x and x x'; only those sums, as large as the dimension squared, reach the driver.
+    Each task sums x and x x', the sums are added place by place; as many numbers as the dimension
+    squared reach the driver, whatever the number of tasks.
     """
     import numpy as np
     import pyarrow as pa
@@ -165,15 +166,15 @@ def effective_dimension(rows: DataFrame, vector: str, share: float = 0.9) -> tup
                 outer = x.T @ x if outer is None else outer + x.T @ x
                 n += len(x)
         if n:
-            yield pa.RecordBatch.from_pylist([{"n": n, "total": total.tolist(), "outer": outer.ravel().tolist()}])
+            yield pa.RecordBatch.from_pylist([{"sums": [float(n), *total.tolist(), *outer.ravel().tolist()]}])
 
-    parts = rows.select(vector).mapInArrow(sums, "n long, total array<double>, outer array<double>").collect()
-    if not parts:
+    parts = rows.select(vector).mapInArrow(sums, "sums array<double>").select(F.posexplode("sums").alias("pos", "x"))
+    added = np.array([r.x for r in sorted(parts.groupBy("pos").agg(F.sum("x").alias("x")).collect(), key=lambda r: r.pos)])
+    if not len(added):
         return 0, []
-    n = sum(p.n for p in parts)
-    mean = np.sum([p.total for p in parts], 0) / n
-    d = len(mean)
-    spread = np.sum([p.outer for p in parts], 0).reshape(d, d) / n - np.outer(mean, mean)
+    d = int(len(added) ** 0.5)  # 1 + d + d * d numbers
+    mean = added[1 : d + 1] / added[0]
+    spread = added[d + 1 :].reshape(d, d) / added[0] - np.outer(mean, mean)
     values = np.clip(np.linalg.eigvalsh(spread)[::-1], 0, None)
     shares = np.cumsum(values) / max(values.sum(), 1e-300)
     return int(np.searchsorted(shares, share - 1e-12) + 1), shares.tolist()
