@@ -60,6 +60,24 @@ def couple(rows: DataFrame, seq: str, vector: str, theta: float, reach: int = RE
     return kept.select(F.col(f"a_{seq}").alias("src"), F.col(f"b_{seq}").alias("dst"), "gamma", S.wrapping(S.angle(a, b)).alias("wrapping"), "rule")
 
 
+def rebuild(rows: DataFrame, seq: str, vector: str, theta: float, stored: DataFrame, whole: bool = False, **rules) -> tuple[str, DataFrame]:
+    """(mode, (src, dst, gamma, step)) after rows were appended to those that ``stored`` couples.
+
+    What follows the last coupled row is new; uncoupled rows before it were tried and stay alone.
+    none: nothing is new.  appended: only new rows are coupled, with those before them.  full:
+    nothing is coupled yet, or ``whole`` asks for it (vectors were moved); stored couplings go.
+    """
+    last = stored.agg(F.max(F.greatest("src", "dst")).alias("last")).first().last
+    newest = rows.agg(F.max(seq).alias("newest")).first().newest
+    if whole or last is None:
+        return "full", couple(rows, seq, vector, theta, **rules).select("src", "dst", "gamma", F.lit("full").alias("step"))
+    kept = stored.select("src", "dst", "gamma", F.lit("kept").alias("step"))
+    if newest <= last:
+        return "none", kept
+    fresh = couple(rows, seq, vector, theta, start=last + 1, **rules).select("src", "dst", "gamma", F.lit("appended").alias("step"))
+    return "appended", kept.unionByName(fresh)
+
+
 def centred(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """Vectors minus their mean, scaled to length one."""
     parts = rows.select(key, F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "x"))
@@ -120,6 +138,8 @@ def fission(edges: DataFrame, rows_total: int, rounds: int = 10, share: float =
     for k in range(rounds):
         sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         large = cut(sizes.where(F.col("size") > share * rows_total).select("component", "size"))  # fewer than 1/share
+        if large.limit(1).count() == 0:
+            break
         inside = edges.join(found.withColumnRenamed("node", "src"), "src").join(F.broadcast(large.select("component")), "component")
         values = inside.groupBy("component", "gamma").agg(F.count(F.lit(1)).alias("n"))
         ahead = Window.partitionBy("component").orderBy("gamma")

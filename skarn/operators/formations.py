@@ -15,6 +15,39 @@ def mode_lists(members: DataFrame, key: str, item: str, top: int = 5) -> DataFra
     return ranked.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item))), lambda s: s[item]).alias("items"))
 
 
+def filed(members: DataFrame) -> DataFrame:
+    """Additive state of formations, a row per (address, source, norm): files of passages merge by ``merged_files``."""
+    return members.groupBy("address", "source", "norm").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("ache") > 0, F.col("ache"))).alias("ache_sum"),
+        F.count(F.when(F.col("ache") > 0, 1)).alias("ache_n"),
+        F.max(F.struct(F.col("ache").alias("ache"), (-F.col("id")).alias("back"))).alias("best"),
+        *(F.sum(F.col("vector")[k]).alias(f"s{k}") for k in range(8)),
+    )
+
+
+def merged_files(*files: DataFrame) -> DataFrame:
+    """One state from several; filing new passages costs as much as the state, whatever was filed before."""
+    both = files[0]
+    for other in files[1:]:
+        both = both.unionByName(other)
+    sums = [F.sum(c).alias(c) for c in ("n", "ache_sum", "ache_n", *(f"s{k}" for k in range(8)))]
+    return both.groupBy("address", "source", "norm").agg(F.max("best").alias("best"), *sums)
+
+
+def from_files(state: DataFrame) -> DataFrame:
+    """The rows of ``aggregates`` from a state."""
+    out = state.groupBy("address").agg(
+        F.sum("n").alias("size"),
+        F.count_distinct("source").alias("minds"),
+        F.count_distinct("norm").alias("distinct_texts"),
+        (F.sum("ache_sum") / F.sum("ache_n")).alias("mean_ache"),
+        (-F.max("best")["back"]).alias("representative"),
+        *((F.sum(f"s{k}") / F.sum("n")).alias(f"c{k}") for k in range(8)),
+    )
+    return scored(out)
+
+
 def aggregates(members: DataFrame) -> DataFrame:
     """Per address of (address, id, source, ache, vector, norm): size, means, trust, diversity, score, representative."""
     positive = F.when(F.col("ache") > 0, F.col("ache"))
@@ -27,6 +60,11 @@ def aggregates(members: DataFrame) -> DataFrame:
         F.max_by("id", F.struct(F.col("ache"), -F.col("id"))).alias("representative"),
         *sums,
     )
+    return scored(out)
+
+
+def scored(out: DataFrame) -> DataFrame:
+    """Amplitude, trust, diversity and score from the sums of a formation."""
     amplitude = F.sqrt(sum((F.col(f"c{k}") * F.col(f"c{k}") for k in range(1, 8)), F.col("c0") * F.col("c0")))
     out = out.withColumn("amplitude", amplitude).withColumn("trust", F.least(F.lit(1.5), 0.5 * F.col("minds")))
     out = out.withColumn("diversity", F.col("distinct_texts") / F.col("size"))

@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("corpus_queries", "grammar_queries", "coupling_queries", "retrieval_queries", "profile_queries")
+_MODULES = ("corpus_queries", "grammar_queries", "coupling_queries", "retrieval_queries", "profile_queries", "portrait_queries", "fusion_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
