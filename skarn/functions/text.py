@@ -131,6 +131,15 @@ def deposit_score(user: Column, assistant: Column, markers=L.DOCTRINE, high_valu
     return score, score >= threshold
 
 
+def routing_tag(user: Column, assistant: Column, tags: dict[str, list[str]], default: str = "ambient") -> Column:
+    """The last tag one of whose patterns a turn pair matches."""
+    both = F.concat(user, F.lit("\n\n"), assistant)
+    out = F.lit(default)
+    for tag, patterns in tags.items():
+        out = F.when(both.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)), tag).otherwise(out)
+    return out
+
+
 def modifiers(text: Column) -> dict[str, Column]:
     """depth, scope, focus, flex and urgent of a text, each at most 1; 0 without words.
 

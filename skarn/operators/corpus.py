@@ -102,15 +102,18 @@ def recency(staleness: Column, half_life: float | None) -> Column:
     return F.lit(1.0) if not half_life or half_life <= 0 else F.pow(F.lit(0.5), staleness / half_life)
 
 
-def vocabulary(stats: DataFrame, totals: DataFrame, size: int = 200, d: float | None = 6.0, min_idf: float = 1.0, max_share: float = 0.5, seeds: dict[str, float] | None = None) -> DataFrame:
+def vocabulary(stats: DataFrame, totals: DataFrame, size: int = 200, d: float | None = 6.0, min_idf: float = 1.0, max_share: float = 0.5, seeds: dict[str, float] | None = None, half_life: float | None = None) -> DataFrame:
     """(pos, term, score): the best ``size`` terms, by score and then term.
 
     d <= 2 keeps what is in a tenth of the passages; up to 5 blends frequency with rarity; above,
-    rarity leads.  ``seeds`` multiplies the score of its terms.
+    rarity leads.  ``seeds`` multiplies the score of its terms.  With ``half_life``, a score halves for
+    every so many passages since the term's last one.
     """
     n, cf, df = F.col("doc_count"), F.col("cf"), F.col("df")
     idf = F.log2(n / df)
     table = stats.crossJoin(F.broadcast(totals)).where(F.length("term") >= 3)  # one row
+    if half_life:
+        table = table.crossJoin(F.broadcast(stats.agg(F.max("last_id").alias("newest"))))  # one row
     word = ~F.col("term").isin(L.VOCAB_STOPWORDS)
     if d is not None and d <= 2:
         kept, score = table.where(df >= 0.1 * n), cf * cf.cast("double")
@@ -119,6 +122,8 @@ def vocabulary(stats: DataFrame, totals: DataFrame, size: int = 200, d: float |
         kept, score = table.where(word), F.lit(share) * cf + F.lit(1 - share) * idf * cf
     else:
         kept, score = table.where(word & (df <= max_share * n) & (idf >= min_idf)), idf * idf * F.log2(cf + F.lit(1.0))
+    if half_life:
+        score = score * recency(F.col("newest") - F.col("last_id"), half_life)
     if seeds:
         boost = F.coalesce(*(F.when(F.col("term").isin([t for t, w in seeds.items() if w == weight]), weight) for weight in sorted(set(seeds.values()))), F.lit(1.0))
         score = score * boost

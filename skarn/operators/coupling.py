@@ -116,6 +116,12 @@ def degrees(edges: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     return joined.withColumn("state", F.when(F.col("degree") >= 5, "thick").when(F.col("degree") >= 1, "thin").otherwise("uncoupled"))
 
 
+def gap_keywords(groups: DataFrame, keywords: str, thick: str) -> DataFrame:
+    """(term): keywords of thin groups that no thick group has."""
+    terms = groups.select(F.col(thick).alias("thick"), F.explode(keywords).alias("term"))
+    return terms.where("not thick").select("term").distinct().join(terms.where("thick").select("term"), "term", "left_anti")
+
+
 def coupling_stats(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """One row: distinct edges, mean gamma, density."""
     distinct = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "gamma").dropDuplicates(["a", "b"])

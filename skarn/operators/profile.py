@@ -87,12 +87,18 @@ def feedback(events: DataFrame, key: str, order: list[str], helpful: str, now: C
     return out.select(key, "hits", "weight")
 
 
-def usage_rate(events: DataFrame, key: str, ts: str, alarm: float = 50.0) -> DataFrame:
-    """(key, hits, per_day, alarm): uses per day over spans of an hour and more."""
+def usage_rate(events: DataFrame, key: str, ts: str, alarm: float = 50.0, since: Column | None = None) -> DataFrame:
+    """(key, hits, per_day, alarm): uses per day over spans of an hour and more.
+
+    Uses before ``since`` are the baseline: they count as hits, but neither they nor their time in the rate.
+    """
     at = F.col(ts).cast("timestamp")
-    span = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 86_400e6
-    out = events.groupBy(key).agg(F.count(F.lit(1)).alias("hits"), span.alias("days")).where(F.col("days") >= 1 / 24)
-    return out.select(key, "hits", (F.col("hits") / F.col("days")).alias("per_day")).withColumn("alarm", F.col("per_day") >= alarm)
+    inside = F.lit(True) if since is None else at >= since
+    own = F.when(inside, at)
+    span = (F.unix_micros(F.max(own)) - F.unix_micros(F.min(own))) / 86_400e6
+    out = events.groupBy(key).agg(F.count(F.lit(1)).alias("hits"), F.count(own).alias("observed"), span.alias("days"))
+    out = out.where((F.col("days") >= 1 / 24) & (F.col("observed") > 0))
+    return out.select(key, "hits", (F.col("observed") / F.col("days")).alias("per_day")).withColumn("alarm", F.col("per_day") >= alarm)
 
 
 def docket(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -134,3 +134,92 @@ def route(index: DataFrame, message: str, top: int = 3, floor: float = 0.0) -> D
     said = sorted(set(re.findall("[a-z]+", message.lower())))
     hits = index.where(F.col("term").isin(said)).groupBy("member").agg(F.sum("weight").alias("score"))
     return hits.where(F.col("score") >= floor).orderBy(F.desc(F.round("score", 6)), "member").limit(top)
+
+
+def topic_scores(topics: DataFrame, message: str, least: int = 1) -> DataFrame:
+    """(member, named, hits) of members with a keyword (member, keyword) in the message as whole words.
+
+    A name alone wakes no member; ``named`` says that a part of over three letters of a hit member's
+    name is one of the message's words.
+    """
+    low = (message or "").lower()
+    said = sorted(set(re.findall("[a-z]{3,}", low)))
+    bounded = F.concat(F.lit(r"\b\Q"), F.lower("keyword"), F.lit(r"\E\b"))
+    hits = topics.where(F.col("member").isNotNull()).where(F.rlike(F.lit(low), bounded)).groupBy("member").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= least)
+    parts = F.filter(F.split("member", r"[_\-.]"), lambda p: (F.length(p) > 3) & p.isin(said))
+    return hits.select("member", (F.size(parts) > 0).alias("named"), "hits")
+
+
+def route_topics(topics: DataFrame, message: str, top: int = 2, least: int = 1) -> DataFrame:
+    """The members that a message is for: first those it names, then by keywords hit, ties by member."""
+    return topic_scores(topics, message, least).orderBy(F.desc("named"), F.desc("hits"), "member").limit(top)
+
+
+def gated(prompt: str | None, least: int = 40, skip: tuple[str, ...] = ()) -> bool:
+    """Whether a prompt stays unanswered: too short, or marked to be skipped."""
+    text = (prompt or "").strip()
+    return len(text) < least or any(marker in text for marker in skip)
+
+
+def beat(docs: DataFrame, weights: DataFrame, prompt: str, member: str, id_col: str = "doc_id", text_col: str = "text", each: int = 3, matched: int = 2, top: int = 4, excerpt: int = 160, least: int = 40, skip: tuple[str, ...] = ()) -> DataFrame:
+    """(member, id, score, excerpt): what the members' best passages say to a prompt, by share of its words times weight.
+
+    A gated prompt gives no rows.  Of every member the ``each`` best passages count if ``matched`` words
+    are in them; excerpts that begin with the same 60 characters count once.  ``weights``: (member,
+    weight), heavier members first among equals, then by member and rank.
+    """
+    from skarn.functions.text import snippet
+
+    text = " ".join((prompt or "").split())[:200]
+    terms = list(dict.fromkeys(text.lower().split())) or [""]
+    own = docs.select(F.col(id_col).alias("id"), F.col(member).alias("member"), snippet(F.coalesce(F.col(text_col), F.lit("")), F.lit(terms[0])).alias("snippet"))
+    if gated(prompt, least, skip):
+        return own.where("false").select("member", "id", F.lit(0.0).alias("score"), F.col("snippet").alias("excerpt"))
+    found = keyword_scores(docs, text, id_col, text_col).join(own.select("id", "member"), "id").join(weights, "member")
+    best = F.row_number().over(Window.partitionBy("member").orderBy(F.desc(F.round("score", 9)), "id"))
+    ranked = found.withColumn("rank", best).where((F.col("rank") <= each) & (F.col("matched") >= matched))
+    ranked = ranked.join(own.select("id", F.substring("snippet", 1, excerpt).alias("excerpt")), "id")  # at most ``each`` a member
+    share = F.round(F.col("matched") / len(terms) * F.col("weight"), 9)
+    order = (F.desc("share"), F.desc("weight"), "member", "rank")
+    once = F.row_number().over(Window.partitionBy(F.substring("excerpt", 1, 60)).orderBy(*order))
+    kept = ranked.withColumn("share", share).withColumn("k", once).where((F.col("k") == 1) & (F.col("excerpt") != ""))
+    return kept.orderBy(*order).limit(top).select("member", "id", F.col("share").alias("score"), "excerpt")
+
+
+def episodic(rows: DataFrame, pivots: DataFrame, key: str, seq: str, ts: str, now: Column, before: int = 5, after: int = 5, horizon: int = 86_400) -> DataFrame:
+    """(key, pivot, pivots, gamma, n_before, n_after, created, relevance) of the moments around pivots.
+
+    ``pivots``: (key, seq, gamma).  Pivots of one episode share the moment of the earliest; the best gamma
+    counts.  A row belongs if it is within ``before`` or ``after`` places and less than ``horizon`` seconds
+    away.  A null key is no episode: such pivots are orphans, each its own moment at its own time.
+    """
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    order = Window.partitionBy(key).orderBy(seq)
+    own = rows.where(F.col(key).isNotNull()).join(pivots.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi").select(key, seq, at.alias("at"))
+    framed = own.withColumn("past", F.collect_list("at").over(order.rowsBetween(-before, -1))).withColumn("next", F.collect_list("at").over(order.rowsBetween(1, after)))
+    near = lambda c: F.filter(c, lambda x: F.abs(x - F.col("at")) < horizon * 1_000_000)
+    framed = framed.select(key, seq, "at", near("past").alias("past"), near("next").alias("next"))
+    groups = pivots.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(seq).alias(seq), F.count(F.lit(1)).alias("pivots"), F.max("gamma").alias("gamma"))
+    held = groups.join(framed, [key, seq]).select(key, F.col(seq).alias("pivot"), "pivots", "gamma", F.size("past").alias("n_before"), F.size("next").alias("n_after"), F.coalesce(F.get("past", F.lit(0)), "at").alias("created"), F.lit(False).alias("orphan"))
+    lone = pivots.where(F.col(key).isNull()).select(seq, "gamma").join(rows.where(F.col(key).isNull()).select(key, seq, at.alias("created")), seq)
+    alone = lone.select(key, F.col(seq).alias("pivot"), F.lit(1).cast("long").alias("pivots"), "gamma", F.lit(0).alias("n_before"), F.lit(0).alias("n_after"), "created", F.lit(True).alias("orphan"))
+    age = F.greatest(F.lit(0.0), (F.unix_micros(now.cast("timestamp")) - F.col("created")) / 86_400e6)
+    out = held.unionByName(alone).withColumn("relevance", relevance(F.col("gamma"), F.col("n_before") + F.col("n_after"), age, F.col("orphan")))
+    return out.withColumn("created", F.timestamp_micros("created"))
+
+
+def meditate(scored: DataFrame, age_days: str, top: int = 5, window_days: float | None = None, dormant_days: float | None = None, least: float = 0.0) -> DataFrame:
+    """The best of (id, gamma, age): of four times as many candidates, those of the last days or, for ``dormant_days``,
+    those quiet for as long; passages of unknown age only without either."""
+    found = scored.where(F.col("gamma") > least).orderBy(F.desc("gamma"), "id").limit(4 * top)
+    if dormant_days is not None:
+        found = found.where(F.col(age_days) >= dormant_days)
+    elif window_days is not None:
+        found = found.where(F.col(age_days).isNotNull() & (F.greatest(F.lit(0.0), F.col(age_days)) <= window_days))
+    return found.orderBy(F.desc("gamma"), "id").limit(top)
+
+
+def fidelity(rows: DataFrame, key: str, text: str, cap: int = 32_768) -> DataFrame:
+    """(key, parts, at_cap, complete): an episode is whole if no text has the length that texts are cut to."""
+    full = F.count(F.when(F.length(text) >= cap, 1))
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), full.alias("at_cap"), (full == 0).alias("complete"))

@@ -130,6 +130,17 @@ def t06_vocabulary_warm(spark, sf):
     return _vocab(spark, sf, 1.5)
 
 
+_FADING = HIGH.replace(f"LIMIT {VOCAB}", "LIMIT 200").replace("log2(cf + 1.0)", "log2(cf + 1.0) * pow(0.5, ((SELECT max(last_id) FROM stats) - last_id) / 50.0)")
+
+
+@query(f"WITH {STATS}{_FADING} SELECT pos, term, round(score, 5) AS score FROM vocab")
+def t05_fading_vocabulary(spark, sf):
+    """The vocabulary when a term's score halves for every 50 passages since it was last used."""
+    lists = _lists(spark, sf)
+    found = corpus.vocabulary(corpus.token_stats(lists), corpus.corpus_stats(lists), 200, seeds=SEED_WEIGHTS, half_life=50.0)
+    return found.select(F.col("pos").cast("long").alias("pos"), "term", F.round("score", 5).alias("score"))
+
+
 @query(
     f"WITH {STATS}{vocab_sql('df >= 0.1 * doc_count', '(cf * cf)::DOUBLE', 40)}, old AS (SELECT pos, term FROM vocab), "
     + vocab_sql(f"term NOT IN ({_STOP})", "(0.6 * cf + 0.4 * log2(doc_count / df) * cf)", 40)[2:].replace("scored", "scored2").replace("vocab AS", "fresh AS")

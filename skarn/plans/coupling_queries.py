@@ -217,20 +217,39 @@ def f05_formations(spark, sf):
     return f.select("address", "size", "minds", F.round("mean_ache", 5).alias("mean_ache"), "representative", F.round("amplitude", 6).alias("amplitude"), "trust", F.round("diversity", 6).alias("diversity"), F.round("score", 5).alias("score"))
 
 
-@query(
+_KEYWORDS = (
     f"WITH {PMI}{HIGH}{LINKS}, {ADDRESS}, x AS (SELECT DISTINCT id, term FROM tok), st AS (SELECT term, sum(abs(value)) AS strength FROM links GROUP BY term),"
     " k AS (SELECT id, term, log2(doc_count / df) * strength AS score FROM x JOIN stats USING (term) JOIN st USING (term), totals WHERE length(term) >= 3 AND df <= 0.5 * doc_count),"
     " r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, term) AS rank FROM k WHERE score > 0),"
     " n AS (SELECT address, term, count(*) AS n FROM r JOIN addressed ON doc_id = id WHERE rank <= 5 GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY n DESC, term) AS place FROM n)"
-    " SELECT address, string_agg(term, ' ' ORDER BY place) AS keywords FROM b WHERE place <= 5 GROUP BY address"
 )
+
+
+@query(f"{_KEYWORDS} SELECT address, string_agg(term, ' ' ORDER BY place) AS keywords FROM b WHERE place <= 5 GROUP BY address")
 def f05_keywords(spark, sf):
     """The five keywords that most members of a formation have."""
-    lists, stats, totals, _, links = _model(spark, sf)
+    return _formation_keywords(spark, sf).select("address", F.array_join("items", " ").alias("keywords"))
+
+
+def _filed(spark, sf):
     vector = F.transform(X.structural(F.col("text")), lambda x: F.round(x, 6))
-    filed = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.address(vector).alias("address"))
-    words = corpus.keywords(lists, stats, totals, links).select("id", "term").join(filed, "id")
-    return formations.mode_lists(words, "address", "term").select("address", F.array_join("items", " ").alias("keywords"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.address(vector).alias("address"))
+
+
+def _formation_keywords(spark, sf):
+    lists, stats, totals, _, links = _model(spark, sf)
+    words = corpus.keywords(lists, stats, totals, links).select("id", "term").join(_filed(spark, sf), "id")
+    return formations.mode_lists(words, "address", "term")
+
+
+@query(
+    f"{_KEYWORDS}, z AS (SELECT address, count(*) >= 10 AS thick FROM addressed GROUP BY address) SELECT DISTINCT term FROM b JOIN z USING (address) WHERE place <= 5 AND NOT thick"
+    " EXCEPT SELECT term FROM b JOIN z USING (address) WHERE place <= 5 AND thick"
+)
+def f13_gap_keywords(spark, sf):
+    """Keywords of thin formations that no thick one has."""
+    thick = _filed(spark, sf).groupBy("address").agg((F.count(F.lit(1)) >= 10).alias("thick"))
+    return coupling.gap_keywords(_formation_keywords(spark, sf).join(thick, "address"), "items", "thick")
 
 
 @query(f"{_AGG} SELECT address, row_number() OVER (ORDER BY round(score, 6) DESC, size DESC, address) AS rank FROM scored ORDER BY rank LIMIT 10")

@@ -118,6 +118,22 @@ def g23_deposits(spark, sf):
     return paired.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", score.alias("score"), keep.alias("deposit"))
 
 
+TAGS = {"asking": [r"\?", "how"], "doing": ["build", "test"], "saying": [r"\.\s*$"]}
+_TAGGED = " ".join(f"WHEN regexp_matches(u || chr(10) || chr(10) || a, '(?i){'|'.join(f'(?:{p})' for p in patterns)}') THEN '{tag}'" for tag, patterns in reversed(TAGS.items()))
+
+
+@query(
+    "WITH p AS (SELECT conv_id, turn, text AS u, lead(text) OVER w AS a, role, lead(role) OVER w AS r FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))"
+    f" SELECT conv_id, turn, CASE {_TAGGED} ELSE 'ambient' END AS tag FROM p WHERE role = 'user' AND r = 'assistant'"
+)
+def g23_routing_tags(spark, sf):
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf, "conversations")
+    paired = turns.withColumn("answer", F.lead("text").over(order)).withColumn("next_role", F.lead("role").over(order))
+    tag = X.routing_tag(F.col("text"), F.col("answer"), TAGS)
+    return paired.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", tag.alias("tag"))
+
+
 @query(
     r"WITH h AS (SELECT doc_id, substr(regexp_replace(text, '^[ \t\n\x0b\f\r]+', ''), 1, 200) AS head FROM documents),"
     r" w AS (SELECT doc_id, head, list_filter(regexp_split_to_array(head, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM h)"

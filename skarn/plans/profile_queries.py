@@ -132,6 +132,16 @@ def a15_usage_rate(spark, sf):
     return rate.select("event_type", "hits", F.round("per_day", 4).alias("per_day"), "alarm")
 
 
+@query(
+    "WITH d AS (SELECT event_type, count(*) AS hits, count(*) FILTER (ts >= TIMESTAMP '2024-01-20') AS observed, (epoch_us(max(ts) FILTER (ts >= TIMESTAMP '2024-01-20')) - epoch_us(min(ts) FILTER (ts >= TIMESTAMP '2024-01-20'))) / 86400e6 AS days FROM events GROUP BY event_type)"
+    " SELECT event_type, hits, round(observed / days, 4) AS per_day, observed / days >= 50 AS alarm FROM d WHERE days >= 1 / 24 AND observed > 0"
+)
+def a15_usage_since(spark, sf):
+    """Rates of the last days alone; what came before is the baseline."""
+    rate = profile.usage_rate(table(spark, sf, "events"), "event_type", "ts", since=F.lit("2024-01-20").cast("timestamp"))
+    return rate.select("event_type", "hits", F.round("per_day", 4).alias("per_day"), "alarm")
+
+
 @query()
 def a16_docket(spark, sf):
     return profile.docket(table(spark, sf, "documents"), "doc_id", "text")

@@ -16,16 +16,22 @@ from skarn.plans.registry import query, table
 PROBE = "the clown of nd"
 MESSAGE = "the thing that was erin ondble clown disgusting nicht para avec"
 
-_TERMS = list(dict.fromkeys(PROBE.split()))
-_BASE = (
-    r"WITH w AS (SELECT doc_id, lower(text) AS low, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents),"
-    " o AS (SELECT doc_id, len(ws) AS dl, contains(low, '" + PROBE + "') AS phrase, "
-    + ", ".join(f"contains(low, '{t}') AS h{k}, len(list_filter(ws, lambda x: x = '{t}')) AS tf{k}" for k, t in enumerate(_TERMS))
-    + " FROM w), t AS (SELECT count(*) AS n, avg(dl) AS avgdl, " + ", ".join(f"sum(h{k}::INT) AS df{k}" for k in range(len(_TERMS))) + " FROM o),"
-    " s AS (SELECT doc_id, CASE WHEN phrase THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + "
-    + " + ".join(f"ln((n - df{k} + 0.5) / (df{k} + 0.5) + 1) * tf{k} * 2.5 / (tf{k} + 1.5 * (0.25 + 0.75 * dl / avgdl))" for k in range(len(_TERMS)))
-    + " AS score, " + " + ".join(f"h{k}::INT" for k in range(len(_TERMS))) + " AS matched FROM o, t)"
-)
+
+def _scores_sql(probe: str) -> str:
+    """CTEs that end in s(doc_id, score, matched)."""
+    terms = list(enumerate(dict.fromkeys(probe.split())))
+    return (
+        r"WITH w AS (SELECT doc_id, lower(text) AS low, list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents),"
+        f" o AS (SELECT doc_id, len(ws) AS dl, contains(low, '{probe}') AS phrase, "
+        + ", ".join(f"contains(low, '{t}') AS h{k}, len(list_filter(ws, lambda x: x = '{t}')) AS tf{k}" for k, t in terms)
+        + " FROM w), t AS (SELECT count(*) AS n, avg(dl) AS avgdl, " + ", ".join(f"sum(h{k}::INT) AS df{k}" for k, _ in terms) + " FROM o),"
+        " s AS (SELECT doc_id, CASE WHEN phrase THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END + "
+        + " + ".join(f"ln((n - df{k} + 0.5) / (df{k} + 0.5) + 1) * tf{k} * 2.5 / (tf{k} + 1.5 * (0.25 + 0.75 * dl / avgdl))" for k, _ in terms)
+        + " AS score, " + " + ".join(f"h{k}::INT" for k, _ in terms) + " AS matched FROM o, t)"
+    )
+
+
+_BASE = _scores_sql(PROBE)
 
 
 @query(f"{_BASE} SELECT doc_id, round(score, 6) AS score, matched::BIGINT AS matched FROM s WHERE matched > 0")
@@ -168,3 +174,86 @@ def r01_taste(spark, sf):
 @query(f"{_TASTE} SELECT id AS doc_id, round(gamma, 5) AS gamma FROM g WHERE round(gamma, 5) > 0.4 ORDER BY round(gamma, 5) DESC, id LIMIT 3")
 def r02_match(spark, sf):
     return _probed(spark, sf, 0.4).limit(3)
+
+
+# Words that many passages have, said at length: the prompt of the heart, and the weights of its members.
+BEAT = "the onou that thand erin ondble of clown nd er the at"
+_WORDS = list(dict.fromkeys(BEAT.split()))
+_WEIGHT = "(1 + ascii(right(source, 1)) % 4) / 4"
+
+
+@query(
+    f"{_scores_sql(BEAT)}, r AS (SELECT source, text, s.doc_id, matched, row_number() OVER (PARTITION BY source ORDER BY round(score, 9) DESC, s.doc_id) AS k FROM s JOIN documents USING (doc_id) WHERE matched > 0),"
+    f" e AS (SELECT source, doc_id, k, {_WEIGHT} AS weight, round(matched / {len(_WORDS)} * {_WEIGHT}, 9) AS score, substr(CASE WHEN p > 0 THEN substr(text, greatest(1, p - 50), p + 200 - greatest(1, p - 50)) ELSE substr(text, 1, 200) END, 1, 160) AS excerpt"
+    f" FROM (SELECT *, instr(lower(text), '{_WORDS[0]}') AS p FROM r) WHERE k <= 3 AND matched >= 2),"
+    " f AS (SELECT *, row_number() OVER (PARTITION BY substr(excerpt, 1, 60) ORDER BY score DESC, weight DESC, source, k) AS once FROM e)"
+    " SELECT source, doc_id, round(score, 6) AS score FROM f WHERE once = 1 AND excerpt <> '' ORDER BY f.score DESC, weight DESC, source, k LIMIT 4"
+)
+def r14_beat(spark, sf):
+    """What the members say to one prompt."""
+    docs = table(spark, sf, "documents")
+    weight = (1 + F.ascii(F.right("source", F.lit(1))) % 4) / 4
+    weights = docs.select(F.col("source").alias("member")).distinct().withColumnRenamed("member", "source").select(F.col("source").alias("member"), weight.alias("weight"))
+    found = retrieval.beat(docs, weights, BEAT, "source")
+    return found.select(F.col("member").alias("source"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+TOPIC_MESSAGE = "der que die eau les und clown aux"
+
+
+@query(
+    f"{_INDEX}, t AS (SELECT member, term FROM i WHERE rank <= 30), h AS (SELECT member, count(*) AS hits FROM t WHERE regexp_matches('{TOPIC_MESSAGE}', '\\b' || term || '\\b') GROUP BY member)"
+    f" SELECT member, len(list_filter(regexp_split_to_array(member, '[_\\-.]'), lambda p: length(p) > 3 AND list_contains(regexp_extract_all('{TOPIC_MESSAGE}', '[a-z]{{3,}}'), p))) > 0 AS named, hits FROM h ORDER BY named DESC, hits DESC, member LIMIT 2"
+)
+def r13_topics(spark, sf):
+    """Members by the topics that a message touches."""
+    index = retrieval.member_index(table(spark, sf, "documents"), "source")
+    return retrieval.route_topics(index.select("member", F.col("term").alias("keyword")), TOPIC_MESSAGE)
+
+
+@query(
+    "WITH e AS (SELECT user_id, event_id, ts, array_agg(ts) OVER b AS past, array_agg(ts) OVER a AS next FROM events WINDOW b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), a AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING)),"
+    " p AS (SELECT user_id, min(event_id) AS event_id, count(*) AS pivots, max(value / 1000.0) AS gamma FROM events WHERE event_type = 'purchase' GROUP BY user_id),"
+    " m AS (SELECT user_id, event_id, pivots, gamma, ts, list_filter(coalesce(past, []), lambda x: abs(epoch_us(x) - epoch_us(ts)) < 86400000000) AS past, list_filter(coalesce(next, []), lambda x: abs(epoch_us(x) - epoch_us(ts)) < 86400000000) AS next FROM p JOIN e USING (user_id, event_id)),"
+    " r AS (SELECT *, len(past) AS n_before, len(next) AS n_after, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(coalesce(past[1], ts))) / 86400e6 AS age FROM m)"
+    " SELECT user_id, event_id AS \"pivot\", pivots, n_before::INT AS n_before, n_after::INT AS n_after, round(0.5 * gamma + 0.2 * (1 - 1.0 / (1 + n_before + n_after)) + 0.2 * exp(-greatest(0.0, age) / 30.0), 6) AS relevance FROM r"
+)
+def r06_episodic(spark, sf):
+    """Purchases as pivots in the users' events of one day around them."""
+    events = table(spark, sf, "events")
+    pivots = events.where("event_type = 'purchase'").select("user_id", "event_id", (F.col("value") / 1000.0).alias("gamma"))
+    found = retrieval.episodic(events, pivots, "user_id", "event_id", "ts", F.lit("2024-02-01").cast("timestamp"))
+    return found.select("user_id", "pivot", "pivots", "n_before", "n_after", F.round("relevance", 6).alias("relevance"))
+
+
+_THEME = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), p AS (SELECT v FROM e WHERE vec_id = 0), s AS (SELECT b.vec_id AS id, round(list_sum(list_transform(list_zip(a.v, b.v), lambda p: least(abs(p[1]), abs(p[2])))) / list_sum(list_transform(list_zip(a.v, b.v), lambda p: greatest(abs(p[1]), abs(p[2])))), 6) AS gamma FROM e b, p a), c AS (SELECT * FROM s WHERE gamma > 0 ORDER BY gamma DESC, id LIMIT 20)"
+
+
+def _themed(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    probe = rows.where("id = 0").select(F.col("v").alias("p"))
+    return rows.crossJoin(F.broadcast(probe)).select("id", F.round(S.gamma(F.col("p"), F.col("v")), 6).alias("gamma"), F.col("id").cast("double").alias("age"))  # one row
+
+
+@query(f"{_THEME} SELECT id, gamma FROM c WHERE id <= 200 ORDER BY gamma DESC, id LIMIT 5")
+def r09_recent(spark, sf):
+    """The best on a theme of the last days; ids stand in for days of age."""
+    return retrieval.meditate(_themed(spark, sf), "age", window_days=200.0).select("id", "gamma")
+
+
+@query(f"{_THEME} SELECT id, gamma FROM c WHERE id >= 30 ORDER BY gamma DESC, id LIMIT 5")
+def r09_dormant(spark, sf):
+    """The best on a theme that lay quiet."""
+    return retrieval.meditate(_themed(spark, sf), "age", dormant_days=30.0).select("id", "gamma")
+
+
+@query("SELECT conv_id, count(*) AS parts, count(*) FILTER (length(text) >= 300) AS at_cap, count(*) FILTER (length(text) >= 300) = 0 AS complete FROM conversations GROUP BY conv_id")
+def r07_fidelity(spark, sf):
+    """Whether an episode's texts are whole, for a cap of 300 characters."""
+    return retrieval.fidelity(table(spark, sf, "conversations"), "conv_id", "text", cap=300)
+
+
+@query(f"{_TASTE} SELECT count(*) AS match_count, round(max(gamma), 5) AS best FROM g WHERE round(gamma, 5) > 0.2")
+def r01_matches(spark, sf):
+    """How many passages a probe matches, not only those shown."""
+    return _probed(spark, sf, 0.2).agg(F.count(F.lit(1)).alias("match_count"), F.max("gamma").alias("best"))
