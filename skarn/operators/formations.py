@@ -71,6 +71,52 @@ def scored(out: DataFrame) -> DataFrame:
     return out.withColumn("score", F.coalesce("mean_ache", F.lit(0.0)) * F.col("amplitude") * F.col("trust") * F.col("diversity"))
 
 
+def cognitive(members: DataFrame, edges: DataFrame, key: str = "address") -> DataFrame:
+    """Per formation of (key, id, chains, vector, self_referential): top five chains, centroid of the rows that are
+    active at all, share that speaks of itself (two places), and the member coupled most strongly, ties by id.
+
+    ``edges``: (src, dst, gamma) of ids; their sums are taken per row before they meet the members.
+    """
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"), "gamma").groupBy("id").agg(F.sum("gamma").alias("strength"))
+    joined = members.join(ends, "id", "left").withColumn("strength", F.round(F.coalesce("strength", F.lit(0.0)), 6))
+    active = F.exists("vector", lambda x: x > 0)
+    out = joined.groupBy(key).agg(
+        F.count(F.lit(1)).alias("size"),
+        F.round(F.avg(F.col("self_referential").cast("int")), 2).alias("self_share"),
+        F.max_by("id", F.struct("strength", -F.col("id"))).alias("representative"),
+        *(F.avg(F.when(active, F.col("vector")[k])).alias(f"c{k}") for k in range(8)),
+    )
+    chains = mode_lists(members.select(key, F.explode("chains").alias("chain")), key, "chain").withColumnRenamed("items", "top_chains")
+    centroid = F.array(*(F.coalesce(f"c{k}", F.lit(0.0)) for k in range(8)))
+    return out.join(chains, key, "left").select(key, "size", "self_share", "representative", centroid.alias("centroid"), "top_chains")
+
+
+#: How a report speaks of the dimensions.
+SPOKEN = {"KO": "knowing", "TE": "testing", "SF": "structuring", "CR": "relating", "IC": "wanting", "DE": "specializing", "EW": "acting", "AI": "reflecting"}
+
+
+def codebook(found: DataFrame, title: str = "Codebook", top: int = 400) -> str:
+    """A report of formations (address, size, score, c0.., and, if there are such columns, text and keywords), best first.
+
+    Addresses are few (401 at most), so their rows are gathered; ``top`` bounds any other grouping.
+    """
+    rows = found.orderBy(F.desc(F.round("score", 6)), F.desc("size"), "address").limit(top).collect()
+    out = [f"# {title}", "", f"*{len(rows)} formations, {sum(r.size for r in rows)} passages*", ""]
+    for r in rows:
+        own = r.asDict()
+        leading = sorted(((-own[f"c{k}"], k) for k in range(8) if (own[f"c{k}"] or 0) > 0.05))[:3]
+        mix = "+".join(list(SPOKEN.values())[k] for _, k in leading)
+        score = f", score={r.score:.3f}" if r.score else ""
+        out.append(f"**{r.address}** ({', '.join(filter(None, [f'{r.size} passages', mix]))}{score})")
+        if own.get("text"):
+            out.append(f'  "{" ".join(own["text"].split())[:250]}"')
+        themes = [w for w in own.get("keywords") or [] if len(w) > 3][:5]
+        if themes:
+            out.append(f"  themes: {', '.join(themes)}")
+        out.append("")
+    return "\n".join(out)
+
+
 def health(size: Column, score: Column, diversity: Column) -> Column:
     fp = F.greatest(F.lit(0.0), F.least(F.lit(2.0), 2.0 - 4.0 * score))
     regime = F.when(fp < 0.6, "POVERTY").when(fp <= 1.2, "DIGNITY").otherwise(F.when((size >= 50) & (diversity < 0.3), "CONTAGION").otherwise("PATHOLOGY"))

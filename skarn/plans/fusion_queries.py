@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skarn.core.durable import cut
 from skarn.functions import text as X
 from skarn.operators import coupling, formations, fusion
-from skarn.plans.coupling_queries import _AGG, _EDGES, THETA, _edges, _members, _vectors
+from skarn.plans.coupling_queries import _AGG, _CHAINED, _EDGES, THETA, _chained, _edges, _members, _vectors
 from skarn.plans.registry import query, table
 
 
@@ -55,3 +55,22 @@ def j12_fingerprints(spark, sf):
     a = docs.groupBy("fp").agg(F.max_by("lang", "doc_id").alias("lang"))
     b = docs.join(table(spark, sf, "labels"), "doc_id").groupBy("fp").agg(F.max_by("quality", "doc_id").alias("quality"))
     return a.join(b, "fp")
+
+
+_CENTROID = ", ".join(f"round(coalesce(avg(CASE WHEN live THEN h[{k}] END), 0), 6) AS c{k - 1}" for k in range(1, 9))
+
+
+@query(
+    f"WITH {_EDGES}, {_CHAINED}, g2 AS (SELECT id, round(sum(gamma), 6) AS strength FROM (SELECT src AS id, gamma FROM edges UNION ALL SELECT dst, gamma FROM edges) GROUP BY id),"
+    " m AS (SELECT coalesce(chain[1], 'NONE') AS address, vec_id AS id, chains, list_slice(v, 1, 8) AS h, list_contains(active, 'AI') AS self, coalesce(strength, 0.0) AS strength, len(list_filter(list_slice(v, 1, 8), lambda x: x > 0)) > 0 AS live FROM rows JOIN c0 USING (vec_id) LEFT JOIN g2 ON g2.id = vec_id),"
+    f" a AS (SELECT address, count(*) AS size, round(avg(self::INT), 2) AS self_share, arg_max(id, (strength, -id)) AS representative, {_CENTROID} FROM m GROUP BY address),"
+    " n AS (SELECT address, chain, count(*) AS n FROM (SELECT address, unnest(chains) AS chain FROM m) GROUP BY 1, 2), b AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY n DESC, chain) AS place FROM n),"
+    " t AS (SELECT address, string_agg(chain, ' ' ORDER BY place) AS top_chains FROM b WHERE place <= 5 GROUP BY address) SELECT a.*, top_chains FROM a LEFT JOIN t USING (address)"
+)
+def f05_cognitive(spark, sf):
+    """Chains, centroid, self-reference and representative of rows grouped by the dimension that leads their chain."""
+    rows = _chained(spark, sf)
+    first = F.transform(F.slice("v", 1, 8), lambda x: F.round(x.cast("double"), 6))
+    members = rows.select(F.coalesce(F.get("pathway.chain", F.lit(0)), F.lit("NONE")).alias("address"), F.col("vec_id").alias("id"), "chains", first.alias("vector"), F.array_contains("pathway.active", "AI").alias("self_referential"))
+    found = formations.cognitive(members, _edges(spark, sf))
+    return found.select("address", "size", "self_share", "representative", *(F.round(F.col("centroid")[k], 6).alias(f"c{k}") for k in range(8)), F.array_join("top_chains", " ").alias("top_chains"))

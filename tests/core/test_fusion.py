@@ -171,3 +171,12 @@ def test_compare_and_drift(spark):
     counts = lambda words: spark.createDataFrame([(w, 100 - i) for i, w in enumerate(words)], "term string, cf long")
     moved = portrait.rank_drift(counts("abcdefgh"), counts("hbcdefga"))
     assert {r.term: r.change for r in moved.collect()} == {"a": -7, "h": 7}
+
+
+def test_codebook(spark):
+    rows = [("ACTING", 3, 0.5, *([0.0] * 6), 0.4, 0.1, "we  build\nit", ["build", "it"]), ("FEELING", 9, None, *([0.0] * 8), None, None), ("TESTING", 1, 0.9, 0.0, 0.2, *([0.0] * 6), "a test", [])]
+    found = spark.createDataFrame(rows, "address string, size long, score double, " + ", ".join(f"c{k} double" for k in range(8)) + ", text string, keywords array<string>")
+    text = formations.codebook(found)
+    assert text.index("**TESTING** (1 passages, testing, score=0.900)") < text.index("**ACTING** (3 passages, acting+reflecting, score=0.500)") < text.index("**FEELING** (9 passages)")
+    assert '  "we build it"' in text and "themes: build" in text and "3 formations, 13 passages" in text
+    assert "0 formations" in formations.codebook(found.where("false"))
