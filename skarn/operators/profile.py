@@ -145,6 +145,13 @@ def emergence(members: DataFrame, key: str, operations: str, dominant: str, know
     return out.withColumn("phase", F.when(second & (F.col("mutation") > 0.2), 3).when(second, 2).when(F.col("novelty") > 0, 1).otherwise(0))
 
 
+def collective(members: DataFrame, key: str, operations: str, known: list[str] | None = None) -> DataFrame:
+    """One row: different new operations of all groups over the sum of each group's; 1 without members, below 1 if groups share."""
+    ops = members.select(F.col(key).alias("key"), F.explode(operations).alias("op")).where(~F.col("op").isin(known or [])).distinct()
+    counted = ops.agg(F.count_distinct("op").alias("novel"), F.count(F.lit(1)).alias("uses")).crossJoin(members.agg(F.count(F.lit(1)).alias("rows")))
+    return counted.select("novel", F.when(F.col("rows") == 0, 1.0).otherwise(F.col("novel") / F.greatest(F.col("uses"), F.lit(1))).alias("collective"))
+
+
 def fingerprint(members: DataFrame, chain: str, top: int = 8) -> DataFrame:
     """(chain, n, share): the most used chains, ties by chain."""
     total = members.agg(F.count(F.lit(1)).alias("total"))

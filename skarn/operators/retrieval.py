@@ -223,3 +223,21 @@ def fidelity(rows: DataFrame, key: str, text: str, cap: int = 32_768) -> DataFra
     """(key, parts, at_cap, complete): an episode is whole if no text has the length that texts are cut to."""
     full = F.count(F.when(F.length(text) >= cap, 1))
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), full.alias("at_cap"), (full == 0).alias("complete"))
+
+
+def keyword_snippets(docs: DataFrame, keywords: DataFrame, id_col: str = "doc_id", text_col: str = "text", before: int = 45, after: int = 95) -> DataFrame:
+    """(member, keyword, id, snippet): for each keyword the passage of its member that has it as a word and most ache.
+
+    ``docs``: (id, member, text, ache); of equal ache the last passage counts.  ``keywords``: (member,
+    keyword).  Passages meet keywords by an equi-join on their distinct words, and only ids and ache are
+    carried until one is chosen.
+    """
+    flat = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\x0b\f\r]+", " "))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(flat), F.lit("[a-z]{3,}"), F.lit(0)))
+    said = docs.select(F.col(id_col).alias("id"), "member", F.coalesce("ache", F.lit(0.0)).alias("ache"), F.explode(words).alias("keyword"))
+    best = said.join(keywords.select("member", "keyword"), ["member", "keyword"]).groupBy("member", "keyword").agg(F.max(F.struct("ache", "id"))["id"].alias("id"))
+    joined = best.join(docs.select(F.col(id_col).alias("id"), flat.alias("flat")), "id")
+    at = F.instr(F.lower("flat"), F.col("keyword"))
+    start = F.greatest(F.lit(1), at - before)
+    snippet = F.concat(F.when(start > 1, "...").otherwise(""), F.substring("flat", start, at + after - start))
+    return joined.select("member", "keyword", "id", snippet.alias("snippet"))

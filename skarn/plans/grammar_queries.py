@@ -181,6 +181,15 @@ def a11_emergence(spark, sf):
     return profile.emergence(members, "source", "operations", "dominant", previous=["CR", "EW"])
 
 
+@query()
+def a11_collective(spark, sf):
+    """How far the members' new operations are shared among them."""
+    from skarn.operators import profile
+
+    members = g18_digest(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return profile.collective(members.where("chain <> ''").withColumn("operations", F.split("chain", ">")), "source", "operations", known=["CR", "EW"])
+
+
 _D = {d: f"v[{k}]" for k, d in enumerate(L.DIMENSIONS, 1)}
 _BASINS = ", ".join("0.0::DOUBLE + " + " + ".join(f"{_D[d]} * {w}::DOUBLE" for d, w in weights.items()) + f" AS {name.lower()}" for name, (weights, _) in L.BASINS.items())
 _FIRST = " ".join(f"WHEN {name.lower()} = best THEN '{name}'" for name in L.BASINS)

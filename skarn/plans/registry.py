@@ -48,6 +48,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def oracle_sql_of(name: str) -> str:
+    """The SQL of a query whose module is imported, for use inside another's."""
+    return _SQL[name]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary of the corpus: the terms that everything else is measured by."""
     return queries()["t06_vocabulary"](spark, sf_dir)

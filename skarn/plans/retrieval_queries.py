@@ -10,7 +10,8 @@ from skarn.functions import lexicon as L
 from skarn.functions import text as X
 from skarn.operators import corpus, retrieval
 from skarn.functions import similarity as S
-from skarn.plans.corpus_queries import HIGH, LINKS, PAIRS, PMI, TOK, VOCAB, _lists, _model
+from skarn.plans.corpus_queries import HIGH, LINKS, PAIRS, PMI, STATS, TOK, VOCAB, _lists, _model
+from skarn.plans import grammar_queries, registry
 from skarn.plans.registry import query, table
 
 PROBE = "the clown of nd"
@@ -257,3 +258,23 @@ def r07_fidelity(spark, sf):
 def r01_matches(spark, sf):
     """How many passages a probe matches, not only those shown."""
     return _probed(spark, sf, 0.2).agg(F.count(F.lit(1)).alias("match_count"), F.max("gamma").alias("best"))
+
+
+_PROSE = registry.oracle_sql_of(grammar_queries.g24_prose.__name__)
+
+
+@query(
+    f"WITH {STATS}, ac AS (SELECT id, round(avg(log2(doc_count / df)), 9) AS ache FROM (SELECT DISTINCT id, term FROM tok) JOIN stats USING (term), totals GROUP BY id), {_INDEX[len(f'WITH {TOK}, '):]},"
+    f" pr AS (SELECT doc_id FROM ({_PROSE}) WHERE prose), fl AS (SELECT doc_id, source, coalesce(ache, 0.0) AS ache, trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS flat FROM documents JOIN pr USING (doc_id) LEFT JOIN ac ON id = doc_id),"
+    " wd AS (SELECT DISTINCT doc_id, source, ache, flat, unnest(regexp_extract_all(lower(flat), '[a-z]{3,}')) AS term FROM fl),"
+    " bs AS (SELECT member, w.term AS keyword, arg_max({'id': doc_id, 'flat': flat}, (ache, doc_id)) AS b FROM wd w JOIN i ON i.member = source AND i.term = w.term WHERE rank <= 30 GROUP BY 1, 2),"
+    " ps AS (SELECT *, instr(lower(b.flat), keyword) AS spot FROM bs)"
+    " SELECT member, keyword, b.id AS doc_id, CASE WHEN spot > 46 THEN '...' ELSE '' END || substr(b.flat, greatest(1, spot - 45), spot + 95 - greatest(1, spot - 45)) AS snippet FROM ps"
+)
+def r12_snippets(spark, sf):
+    """What the members say with each of their terms."""
+    docs, lists = table(spark, sf, "documents"), _lists(spark, sf)
+    ache = corpus.surprise(lists, corpus.token_stats(lists), corpus.corpus_stats(lists)).select(F.col("id").alias("doc_id"), F.round("ache", 9).alias("ache"))
+    index = retrieval.member_index(docs, "source").select("member", F.col("term").alias("keyword"))
+    prose = docs.where(X.is_prose(F.col("text"))).join(ache, "doc_id", "left").withColumnRenamed("source", "member")
+    return retrieval.keyword_snippets(prose, index).select("member", "keyword", F.col("id").alias("doc_id"), "snippet")

@@ -61,3 +61,16 @@ def test_tags_and_baseline(spark):
     events = spark.createDataFrame([("k", t) for t in at] + [("old", at[0]), ("old", at[2])], "k string, ts timestamp")
     got = profile.usage_rate(events, "k", "ts", alarm=2.0, since=F.lit("2024-01-05").cast("timestamp")).collect()
     assert [(r.k, r.hits, r.per_day, r.alarm) for r in got] == [("k", 5, 2.0, True)]
+
+
+def test_snippets_and_collective(spark):
+    rows = [(1, "m", "The Stone lies\n\n" + "far " * 20 + "garden " + "and " * 40, 1.0), (2, "m", "stone again", 3.0), (3, "m", "stone last", 3.0), (4, "n", "stone", 9.0), (5, "m", None, 9.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, member string, text string, ache double")
+    keys = spark.createDataFrame([("m", "stone"), ("m", "garden"), ("m", "none")], "member string, keyword string")
+    got = {r.keyword: (r.id, r.snippet) for r in retrieval.keyword_snippets(docs, keys).collect()}
+    flat = " ".join(rows[0][2].split())
+    at = flat.index("garden")
+    assert got == {"stone": (3, "stone last"), "garden": (1, "..." + flat[at - 45 : at + 95])}
+    ops = spark.createDataFrame([("a", ["x", "y", "k"]), ("a", ["x"]), ("b", ["x", "z"])], "k string, ops array<string>")
+    assert tuple(profile.collective(ops, "k", "ops", ["k"]).first()) == (3, pytest.approx(3 / 4))
+    assert tuple(profile.collective(ops.where("false"), "k", "ops").first()) == (0, 1.0)
