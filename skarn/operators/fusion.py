@@ -16,7 +16,7 @@ from skarn.operators.components import connected_components
 
 UNCOUPLED = "uncoupled"
 STABLE_TERMS, SEED_TERMS, EARNED = 20, 80, 1.5
-WARM, WARM_SHARE, WARM_LEAST = 2.0, 0.8, 20
+WARM, WARM_LEAST = 2.0, 20
 
 
 @dataclass
@@ -36,8 +36,6 @@ def _terms(stats: DataFrame, totals: DataFrame, times: int, size: int, d: float,
     more = lambda *names: [(F.col(c) * times).alias(c) for c in names]
     counts, sums = stats.select("term", *more("cf", "df")), totals.select(*more("doc_count", "token_mass"))
     warm = narrow and d <= WARM
-    if warm:
-        counts = counts.join(F.broadcast(sums.select("doc_count")), F.col("df") <= WARM_SHARE * F.col("doc_count")).drop("doc_count")  # one row
     found = [r.term for r in corpus.vocabulary(counts, sums, size, d=d, seeds=seeds).orderBy("pos").collect()]  # at most ``size``
     plain = [t for t in found if t not in L.VOCAB_STOPWORDS]
     return plain if warm and len(plain) >= WARM_LEAST else found
@@ -64,8 +62,8 @@ def fuse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     """Levels of falling d; each one's 80 best terms seed the next, and agreement of two partitions ends it.
 
     Every level learns the corpus again until its 20 best terms stay, so its counts are multiples of one
-    count, and learning is a factor.  A low d leaves out stop words and what stands in over 0.8 of the
-    passages at the first look, not when it looks again.  ``id_col`` is the order of the passages;
+    count, and learning is a factor.  A low d leaves out stop words at the first look, if 20 terms
+    remain, not when it looks again.  ``id_col`` is the order of the passages;
     ``theta`` defaults to the sampled threshold.  Without any coupling the first level is the last.
     """
     lists = cut(corpus.token_lists(docs, id_col, text_col))

@@ -23,7 +23,7 @@ def plain_vocabulary(cf, df, n, size, d, seeds, narrow):
     warm = narrow and d <= 2
     score = {}
     for t in cf:
-        if len(t) < 3 or (warm and df[t] > 0.8 * n):
+        if len(t) < 3:
             continue
         idf = math.log2(n / df[t])
         if d <= 2:
