@@ -30,7 +30,7 @@ def odd_docs(spark, sf, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["f05_formations"])
+@pytest.mark.parametrize("name", ["f05_formations", "f01_filing"])
 def test_passages_without_words(spark, odd_docs, name):
     got, want = both(spark, odd_docs, name)
     assert got == want and 900 in {r["representative"] for r in got}
