@@ -34,3 +34,14 @@ def odd_docs(spark, sf, tmp_path_factory):
 def test_passages_without_words(spark, odd_docs, name):
     got, want = both(spark, odd_docs, name)
     assert got == want and 900 in {r["representative"] for r in got}
+
+
+@pytest.mark.parametrize("parts", [1, 7, 16])
+def test_centroids_do_not_depend_on_layout(spark, sf01, tmp_path, parts):
+    """Of sf0.01, a mean lies on a tie of the sixth place; SQL adds rows in order."""
+    rows = spark.read.parquet(f"{sf01}/embeddings.parquet")
+    rows.repartition(parts, F.xxhash64("vec_id")).write.parquet(f"{tmp_path}/moved/embeddings.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/whole/embeddings.parquet")
+    got = registry.queries()["f05_cognitive"](spark, f"{tmp_path}/moved").collect()
+    _, want = both(spark, tmp_path / "whole", "f05_cognitive")
+    assert sorted((r.asDict() for r in got), key=lambda r: r["address"]) == sorted(want, key=lambda r: r["address"])
