@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from skarn.core.durable import cut
 from skarn.functions import lexicon as L
 from skarn.functions import text as X
 from skarn.operators import corpus
@@ -98,8 +99,9 @@ def t03_pair_counts(spark, sf):
 @query(f"WITH {PMI} SELECT t1, t2, n, round(pmi, 6) AS pmi FROM pmis")
 def t04_pmi(spark, sf):
     lists = _lists(spark, sf)
-    pairs = corpus.pair_stats(lists)
-    return corpus.pmi(pairs, corpus.token_stats(lists), corpus.corpus_stats(lists, pairs)).select("t1", "t2", "n", F.round("pmi", 6).alias("pmi"))
+    totals = cut(corpus.learned_totals(lists))
+    pairs = corpus.pair_stats(lists, tokens=totals.first().token_mass)
+    return corpus.pmi(pairs, cut(corpus.token_stats(lists)), totals).select("t1", "t2", "n", F.round("pmi", 6).alias("pmi"))
 
 
 @query(f"WITH {STATS} SELECT term, round(pow(0.5, ((SELECT max(id) FROM tok) - last_id) / 500.0), 6) AS recency FROM stats")

@@ -45,3 +45,10 @@ def test_centroids_do_not_depend_on_layout(spark, sf01, tmp_path, parts):
     got = registry.queries()["f05_cognitive"](spark, f"{tmp_path}/moved").collect()
     _, want = both(spark, tmp_path / "whole", "f05_cognitive")
     assert sorted((r.asDict() for r in got), key=lambda r: r["address"]) == sorted(want, key=lambda r: r["address"])
+
+
+@pytest.mark.parametrize("name", ["t03_pair_counts", "t04_pmi"])
+def test_pairs_are_made_once_by_compiled_rows(spark, sf, name):
+    """No function is called token by token, and the mass of all pairs doesn't count them by terms again."""
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and plan.count("explode(slice(") == 1
