@@ -47,7 +47,7 @@ def test_centroids_do_not_depend_on_layout(spark, sf01, tmp_path, parts):
     assert sorted((r.asDict() for r in got), key=lambda r: r["address"]) == sorted(want, key=lambda r: r["address"])
 
 
-@pytest.mark.parametrize("name", ["t03_pair_counts", "t04_pmi"])
+@pytest.mark.parametrize("name", ["t03_pair_counts", "t04_pmi", "t13_retained_pairs"])
 def test_pairs_are_made_once_by_compiled_rows(spark, sf, name):
     """No function is called token by token, and the mass of all pairs doesn't count them by terms again."""
     plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
