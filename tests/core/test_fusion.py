@@ -180,3 +180,36 @@ def test_codebook(spark):
     assert text.index("**TESTING** (1 passages, testing, score=0.900)") < text.index("**ACTING** (3 passages, acting+reflecting, score=0.500)") < text.index("**FEELING** (9 passages)")
     assert '  "we build it"' in text and "themes: build" in text and "3 formations, 13 passages" in text
     assert "0 formations" in formations.codebook(found.where("false"))
+
+
+@pytest.mark.parametrize("common", [1, 5, 1000])
+def test_common_and_rare_words_give_the_same_vectors(spark, common):
+    """Words from the broadcast table and words that are joined add up to what rows of words and links give."""
+    from skarn.operators import corpus
+
+    texts = [*corpus_of(60, 8), "onlyonce again", "", "solitary"]
+    lists = corpus.token_lists(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    stats, totals, vocab, links = corpus.learn(lists, 7, d=4.0)
+    packs, names = fusion.packed(lists, stats, common)
+    assert packs.agg(F.sum("pairs")).first()[0] == totals.first().pair_mass and names.count() == min(common, stats.count())
+    packs = fusion.surprise(packs, names, stats, totals)
+    ache = corpus.surprise(lists, stats, totals)
+    assert {r.id: r.ache for r in packs.collect()} == pytest.approx({r.id: r.ache for r in ache.collect()})
+    want = corpus.vectors(lists, vocab, links).join(ache, "id").select("id", "pos", (F.col("value") * F.col("ache")).alias("value"))
+    rows = fusion.weighed(packs, names, links, 7)
+    got, want = ({r.id: r.vector for r in t.collect()} for t in (rows, corpus.dense(want, 7)))
+    assert got.keys() == want.keys() and len(got) < len(texts)
+    assert all(got[k] == pytest.approx(want[k]) for k in got)
+    near = {(r.src, r.dst): r.gamma for r in coupling.near_gammas(rows, "id", "vector").collect()}
+    pairs = {(r.src, r.dst): r.gamma for r in coupling.couple(rows, "id", "vector", 0.0).collect()}
+    assert near == pytest.approx(pairs) and len(near) > 500
+
+
+def test_near_pairs_over_blocks_gaps_and_signs(spark, monkeypatch):
+    monkeypatch.setattr(coupling, "NEAR_BITS", 4)
+    rng = random.Random(9)
+    ids = [*range(-40, 30), 100, 118, 138, *range(200, 300, 7)]
+    rows = spark.createDataFrame([(i, [rng.choice([0.0, 0.0, rng.random() - 0.5]) for _ in range(3)]) for i in ids], "id long, v array<double>")
+    near = {(r.src, r.dst): r.gamma for r in coupling.near_gammas(rows, "id", "v").collect()}
+    assert near == pytest.approx({(r.src, r.dst): r.gamma for r in coupling.couple(rows, "id", "v", 0.0).collect()})
+    assert near.keys() == {(a, b) for a in ids for b in ids if 1 <= b - a <= 19}
