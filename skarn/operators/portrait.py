@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from skarn.core.durable import cut
 from skarn.functions import lexicon as L
 
 STEM = 5
 
 
 def word_uses(members: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, word, tf, df): uses and passages of words of four letters and more; one shuffle, added up before it.
+    """(key, word, tf, df): uses and passages of words of four letters and more, and passages of the empty word, which
+    every passage has once; one look at the texts, one shuffle.
 
-    A passage's words are sorted, so its first use of a word is where the word changes.
+    A batch's words are numbered, and added up by numbers before they are rows.
     """
-    words = F.array_sort(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)))
-    marked = lambda s: F.transform(s, lambda w, i: F.struct(w.alias("word"), ((i == 0) | (F.get(s, i - 1) != w)).cast("long").alias("first")))
-    flat = members.select(F.col(key).alias("key"), F.explode(F.element_at(F.transform(F.array(words), marked), 1)).alias("u"))
-    return flat.groupBy("key", "u.word").agg(F.count(F.lit(1)).alias("tf"), F.sum("u.first").alias("df"))
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).flatten().dictionary_encode()
+            size = len(flat.dictionary)
+            own = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            keys = batch.column(0).dictionary_encode(null_encoding="encode")
+            of = keys.indices.to_numpy().astype(np.int64)
+            once, tf = np.unique(own * size + flat.indices.to_numpy(), return_counts=True)  # a passage and a word
+            place, at = np.unique(of[once // max(size, 1)] * size + once % max(size, 1), return_inverse=True)
+            passages = np.bincount(of, minlength=len(keys.dictionary)).astype(np.int64)
+            columns = [
+                keys.dictionary.take(pa.array(np.concatenate([place // max(size, 1), np.arange(len(passages))]))),
+                pa.concat_arrays([flat.dictionary.take(pa.array(place % max(size, 1))), pa.array([""] * len(passages), flat.dictionary.type)]),
+                *(pa.array(np.concatenate([np.bincount(at, x, len(place)).astype(np.int64), passages])) for x in (tf, np.ones(len(once)))),
+            ]
+            for k in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([c[k : k + (1 << 16)] for c in columns], ["key", "word", "tf", "df"])
+
+    flat = members.select(F.col(key).cast("string").alias("key"), words.alias("words")).mapInArrow(count, "key string, word string, tf long, df long")
+    return flat.groupBy("key", "word").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
 
 
 def names(members: DataFrame, key: str, text: str, top: int = 3, least: int = 2, share: float = 0.08, left_out: Iterable[str] = L.VOCAB_STOPWORDS) -> DataFrame:
@@ -33,26 +58,29 @@ def names(members: DataFrame, key: str, text: str, top: int = 3, least: int = 2,
     used.  Words that begin with the same five letters count once.  Ties by word.  ``left_out``
     stands for a list of function words.
     """
-    uses = word_uses(members, key, text)
-    n = members.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    whole = uses.groupBy("word").agg(F.sum("df").alias("gdf"))
-    total = members.agg(F.count(F.lit(1)).alias("total"))
-    rated = uses.join(whole, "word").join(n, "key").crossJoin(F.broadcast(total))  # one row
-    by_use = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("tf"), "word"))
-    rated = rated.withColumn("place", by_use).where(~F.col("word").isin(list(left_out)))
-    rarity = F.log((F.col("total") + 1) / (F.col("gdf") + 1))
+    whole = cut(word_uses(members, key, text))
+    n = whole.where("word = ''").select("key", F.col("df").alias("n"))
+    total = n.agg(F.sum("n").alias("total"))
+    uses = whole.where("word <> ''")
+    spoken = ~F.col("word").isin(list(left_out))
     telling = F.col("df") >= F.greatest(F.lit(least), F.floor(F.col("n") * share))
-    first = rated.where(telling).select("key", "word", F.lit(1).alias("tier"), F.round(F.col("tf") / F.col("n") * rarity * rarity * F.sqrt(F.length("word")), 9).alias("score"))
-    used = rated.where("place <= 50").withColumn("kept", F.row_number().over(Window.partitionBy("key").orderBy("place")))
+    told = uses.join(F.broadcast(n), "key").where(spoken & telling)  # a row a formation
+    spread = uses.join(told.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("df").alias("gdf"))
+    rarity = F.log((F.col("total") + 1) / (F.col("gdf") + 1))
+    rated = told.join(spread, "word").crossJoin(F.broadcast(total))  # one row
+    first = cut(rated.select("key", "word", F.lit(1).alias("tier"), F.round(F.col("tf") / F.col("n") * rarity * rarity * F.sqrt(F.length("word")), 9).alias("score")))
+    by_use = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("tf"), "word"))
+    most = cut(uses.withColumn("place", by_use).where("place <= 50")).where(spoken)  # a plain bound is applied before rows are moved
+    used = most.withColumn("kept", F.row_number().over(Window.partitionBy("key").orderBy("place")))
     second = used.where("kept <= 10").join(first.select("key").distinct(), "key", "left_anti").select("key", "word", F.lit(2).alias("tier"), (F.col("tf") * F.length("word")).cast("double").alias("score"))
-    third = rated.where("place <= 30").select("key", "word", F.lit(3).alias("tier"), F.col("tf").cast("double").alias("score"))
+    third = most.where("place <= 30").select("key", "word", F.lit(3).alias("tier"), F.col("tf").cast("double").alias("score"))
     order = ("tier", F.desc("score"), "word")
     stems = Window.partitionBy("key", F.substring("word", 1, STEM)).orderBy(*order)
     single = first.unionByName(second).unionByName(third).withColumn("k", F.row_number().over(stems)).where("k = 1")
     ranked = single.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy(*order)))
-    kept = ranked.where(((F.col("tier") < 3) & (F.col("rank") <= top)) | (F.col("rank") <= 2))
+    kept = ranked.where(F.col("rank") <= max(top, 2)).where(((F.col("tier") < 3) & (F.col("rank") <= top)) | (F.col("rank") <= 2))
     words = F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda s: s["word"])
-    return kept.groupBy("key").agg(F.upper(F.array_join(words, "_")).alias("name")).withColumnRenamed("key", key)
+    return kept.groupBy("key").agg(F.upper(F.array_join(words, "_")).alias("name")).select(F.col("key").cast(members.schema[key].dataType).alias(key), "name")
 
 
 def dimensions(rows: DataFrame, id_col: str, vector: str, text: str, silent: float = 0.0, quote: int = 200) -> DataFrame:

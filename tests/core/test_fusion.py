@@ -213,3 +213,22 @@ def test_near_pairs_over_blocks_gaps_and_signs(spark, monkeypatch):
     near = {(r.src, r.dst): r.gamma for r in coupling.near_gammas(rows, "id", "v").collect()}
     assert near == pytest.approx({(r.src, r.dst): r.gamma for r in coupling.couple(rows, "id", "v", 0.0).collect()})
     assert near.keys() == {(a, b) for a in ids for b in ids if 1 <= b - a <= 19}
+
+
+def test_names_look_at_texts_once(spark):
+    looks = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def looked(x):
+        looks.add(1)
+        return x
+
+    texts = corpus_of(40, 6)
+    docs = spark.createDataFrame([(k % 3, t) for k, t in enumerate(texts)], "k long, text string")
+    plain = {r.k: r.name for r in portrait.names(docs, "k", "text").collect()}
+    assert {r.k: r.name for r in portrait.names(docs.select("k", looked("text").alias("text")), "k", "text").collect()} == plain
+    assert looks.value == len(texts)
+    uses = {(r.key, r.word): (r.tf, r.df) for r in portrait.word_uses(docs, "k", "text").collect()}
+    words = [(str(k % 3), w) for k, t in enumerate(texts) for w in t.split() if len(w) >= 4]
+    once = [(str(k % 3), w) for k, t in enumerate(texts) for w in {"", *t.split()} if len(w) >= 4 or not w]
+    assert uses == {x: (Counter(words)[x] if x[1] else n, n) for x, n in Counter(once).items()}
