@@ -52,7 +52,7 @@ def _lists(spark, sf):
 
 def _model(spark, sf):
     """lists, stats, totals, vocab and links over the documents."""
-    lists = _lists(spark, sf)
+    lists = cut(_lists(spark, sf))  # words are read off the texts once
     return lists, *corpus.learn(lists, VOCAB, seeds=SEED_WEIGHTS)
 
 

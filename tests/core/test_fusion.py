@@ -232,3 +232,19 @@ def test_names_look_at_texts_once(spark):
     words = [(str(k % 3), w) for k, t in enumerate(texts) for w in t.split() if len(w) >= 4]
     once = [(str(k % 3), w) for k, t in enumerate(texts) for w in {"", *t.split()} if len(w) >= 4 or not w]
     assert uses == {x: (Counter(words)[x] if x[1] else n, n) for x, n in Counter(once).items()}
+
+
+def test_totals_and_addresses_without_repeated_work(spark):
+    from skarn.functions import text as X
+    from skarn.operators import corpus
+
+    lists = corpus.token_lists(spark.createDataFrame([(0, "a b a a c"), (1, "d"), (2, "e e f g h i j k l m n o p")], "doc_id long, text string"))
+    words = [r.words for r in lists.collect()]
+    pairs = sum(a != b for ws in words for i, a in enumerate(ws) for b in ws[i + 1 : i + 10])
+    assert tuple(corpus.learned_totals(lists).first()) == (3, sum(map(len, words)), pairs)
+    assert tuple(corpus.learned_totals(lists.where("false")).first()) == (0, 0, 0)
+    plan = lists.select(X.address(X.structural(F.concat_ws(" ", "words"))))._jdf.queryExecution().analyzed().toString()
+    once = lists.select(X.structural(F.concat_ws(" ", "words")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_count") == once.count("regexp_count") > 0  # it was written out for every use of the vector
+    groups = spark.createDataFrame([(["x", "y"], False), (["y"], True), (["z", "x"], False)], "items array<string>, thick boolean")
+    assert {r.term for r in coupling.gap_keywords(groups, "items", "thick").collect()} == {"x", "z"}
