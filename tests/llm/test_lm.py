@@ -1,12 +1,13 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from skarn.llm import lm
+from skarn.llm import lm, packed
 from skarn.llm.queries import op5_lm_score
 from skarn.llm.tokens import word_hashes
 
@@ -149,3 +150,35 @@ def test_word_hashes_agree_with_splitting():
             for word, value in zip(words, own, strict=True):
                 assert seen.setdefault(word, value) == value
     assert len(set(seen.values())) == len(seen)
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(0)
+    codes = np.sort(rng.integers(0, 2**64, 1000, np.uint64))
+    columns = [codes, np.ones(1000, np.int64), rng.random(7), np.zeros(0, np.int64)]
+    back = packed.unpack(packed.pack(*columns))
+    assert all((x.view(np.uint64) == y).all() and len(x) == len(y) for x, y in zip(columns, back, strict=True))
+    assert (packed.unpack(packed.pack(codes[::-1], ordered=False))[0] == codes[::-1]).all()
+    part = packed.part_of(codes, 7)
+    assert part[0] == 0 and part[-1] == 6 and (np.diff(part) >= 0).all()
+    assert [(p, i, j) for p, i, j in packed.runs(np.array([2, 2, 5]))] == [(2, 0, 2), (5, 2, 3)]
+
+
+def test_shuffles_move_few_bytes_a_token(spark, sf01):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    moved = lambda: spark._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = moved()
+    tokens = sum(r.n_tokens for r in lm.lm_scores(docs)[0].collect())
+    time.sleep(1)
+    assert 0 < moved() - before < 6 * tokens  # a row an n-gram: 8 bytes a token here, more on larger tables
+
+
+def test_words_are_numbered_or_not(spark, sf01, monkeypatch):
+    """Few numbers, and blocks and parts that hold little: many blobs give the same sums."""
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    monkeypatch.setattr(lm, "ENTRY_SHARE", 1e-2)
+    monkeypatch.setattr(lm, "PART_TOKENS", 1 << 14)
+    want = brute_scores(rows)
+    got = lm.lm_scores(docs)[0].collect()
+    assert len(got) == len(rows) and all(r.score == pytest.approx(want[r.row_id], rel=1e-9) for r in got)
