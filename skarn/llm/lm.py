@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skarn.core.durable import cut, cut_to, discard, sweep
-from skarn.llm.packed import pack, part_of, runs, summed, unpack
+from skarn.core.packed import pack, part_of, runs, summed, unpack
 from skarn.llm.tokens import _mixed, word_hashes
 
 #: Share of all training tokens from which a value is broadcast and not looked up; 1/ENTRY_SHARE words are.
