@@ -98,10 +98,7 @@ def t03_pair_counts(spark, sf):
 
 @query(f"WITH {PMI} SELECT t1, t2, n, round(pmi, 6) AS pmi FROM pmis")
 def t04_pmi(spark, sf):
-    lists = _lists(spark, sf)
-    totals = cut(corpus.learned_totals(lists))
-    pairs = corpus.pair_stats(lists)
-    return corpus.pmi(pairs, cut(corpus.token_stats(lists)), totals).select("t1", "t2", "n", F.round("pmi", 6).alias("pmi"))
+    return corpus.every_pmi(_lists(spark, sf))[0].select("t1", "t2", "n", corpus.rounded(F.col("pmi"), 6).alias("pmi"))
 
 
 @query(f"WITH {STATS} SELECT term, round(pow(0.5, ((SELECT max(id) FROM tok) - last_id) / 500.0), 6) AS recency FROM stats")
