@@ -190,10 +190,7 @@ def t12_keywords(spark, sf):
 
 @query(f"WITH {PMI} SELECT t1, t2, n FROM (SELECT t1, t2, n, round(n / pair_mass * pmi, 12) AS gain FROM pmis, mass) ORDER BY gain DESC, t1, t2 LIMIT 1000")
 def t13_retained_pairs(spark, sf):
-    lists = _lists(spark, sf)
-    totals = cut(corpus.learned_totals(lists))
-    pairs = corpus.pair_stats(lists)
-    return corpus.retained_pairs(corpus.pmi(pairs, cut(corpus.token_stats(lists)), totals), totals, 1000).select("t1", "t2", "n")
+    return corpus.retained_pairs(*corpus.every_pmi(_lists(spark, sf)), 1000).select("t1", "t2", "n")
 
 
 @query("SELECT md5(text) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1")
